@@ -15,6 +15,18 @@ def op1_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii
+
+    return find_pii(documents(spark, sf_dir)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judge
+
+    return judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -34,7 +46,7 @@ def op9_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_cube_mix, op7_best_fit, op8_differencing, op9_refinement)}
+    return {f.__name__: f for f in (op1_cube_mix, op2_anchor_pii, op3_weak_supervision, op7_best_fit, op8_differencing, op9_refinement)}
 
 
 #: Texts without white space; DuckDB regular expressions run on code points.
