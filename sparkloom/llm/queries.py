@@ -27,6 +27,12 @@ def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(documents(spark, sf_dir))
+
+
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -46,7 +52,7 @@ def op9_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_cube_mix, op2_anchor_pii, op3_weak_supervision, op7_best_fit, op8_differencing, op9_refinement)}
+    return {f.__name__: f for f in (op1_cube_mix, op2_anchor_pii, op3_weak_supervision, op5_signatures, op7_best_fit, op8_differencing, op9_refinement)}
 
 
 #: Texts without white space; DuckDB regular expressions run on code points.
