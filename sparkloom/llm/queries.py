@@ -33,6 +33,12 @@ def op5_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_dedup
+
+    return near_dedup(documents(spark, sf_dir)).drop("__rid")
+
+
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -52,7 +58,7 @@ def op9_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_cube_mix, op2_anchor_pii, op3_weak_supervision, op5_signatures, op7_best_fit, op8_differencing, op9_refinement)}
+    return {f.__name__: f for f in (op1_cube_mix, op2_anchor_pii, op3_weak_supervision, op5_signatures, op6_minhash, op7_best_fit, op8_differencing, op9_refinement)}
 
 
 #: Texts without white space; DuckDB regular expressions run on code points.
@@ -64,6 +70,20 @@ g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DE
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
+#: All links between sets of distinct 2-word shingles, by their shared shingles; then components.
+OP6 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(a) = 0 THEN [] WHEN len(a) = 1 THEN [a[1]] ELSE list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1]) END)) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+sn AS (SELECT s.doc_id, s.g, n.n FROM s JOIN n USING (doc_id)),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS c FROM sn x JOIN sn y ON x.g = y.g AND x.doc_id <> y.doc_id AND least(x.n, y.n) * 100 >= greatest(x.n, y.n) * 80 GROUP BY 1, 2, 3, 4),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 80 * (na + nb - c)),
+r AS (SELECT doc_id, doc_id AS o FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.o = l.a),
+k AS (SELECT doc_id, min(o) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, k.component_id, d.doc_id = k.component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN k USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_refinement": OP9}
+    return {"op6_minhash": OP6, "op9_refinement": OP9}
