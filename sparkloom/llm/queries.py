@@ -27,6 +27,12 @@ def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .classifier import classify
+
+    return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan
 
@@ -57,8 +63,14 @@ def op9_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir), digest=True)
 
 
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_lm import score
+
+    return score(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_cube_mix, op2_anchor_pii, op3_weak_supervision, op5_signatures, op6_minhash, op7_best_fit, op8_differencing, op9_refinement)}
+    return {f.__name__: f for f in (op1_cube_mix, op2_anchor_pii, op3_weak_supervision, op4_byte_cnn, op5_signatures, op6_minhash, op7_best_fit, op8_differencing, op9_refinement, op10_kneser_ney)}
 
 
 #: Texts without white space; DuckDB regular expressions run on code points.
