@@ -53,7 +53,8 @@ def add_repeats(rows: DataFrame) -> DataFrame:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id and the features, from one scan of the whole texts."""
+    """doc_id and the features, from one scan of the whole texts. A filter that also asks for the row
+    number keeps the optimiser from moving filters below the features, which would repeat all their expressions."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("__t"))
     rows = rows.withColumn("__w", split_words(F.col("__t")))
@@ -61,7 +62,7 @@ def features(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("__lines", lines)
     rows = add_repeats(rows)
     t = F.col("__t")
-    return rows.select("doc_id", F.size("__w").cast("long").alias("n_words"), (F.length(t) - F.length(F.translate(t, WS, ""))).alias("__ws"), F.length(t).alias("__len"), without(t, "#*$%&|<>").alias("n_symbols"), (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"), F.size("__lines").cast("long").alias("n_lines"), "n_repeat_words", without(t, LETTERS_UP).alias("n_upper"), without(t, LETTERS_LOW).alias("n_lower"), (F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))).cast("long").alias("n_bangs"), (F.length(t) - F.length(F.replace(t, F.lit("|"), F.lit("")))).cast("long").alias("n_bars"), F.size(F.array_distinct("__w")).cast("long").alias("n_distinct")).withColumn("word_chars", (F.col("__len") - F.col("__ws")).cast("long")).drop("__ws", "__len")
+    return rows.select("doc_id", F.size("__w").cast("long").alias("n_words"), (F.length(t) - F.length(F.translate(t, WS, ""))).alias("__ws"), F.length(t).alias("__len"), without(t, "#*$%&|<>").alias("n_symbols"), (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"), F.size("__lines").cast("long").alias("n_lines"), "n_repeat_words", without(t, LETTERS_UP).alias("n_upper"), without(t, LETTERS_LOW).alias("n_lower"), (F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))).cast("long").alias("n_bangs"), (F.length(t) - F.length(F.replace(t, F.lit("|"), F.lit("")))).cast("long").alias("n_bars"), F.size(F.array_distinct("__w")).cast("long").alias("n_distinct"), F.monotonically_increasing_id().alias("__barrier")).withColumn("word_chars", (F.col("__len") - F.col("__ws")).cast("long")).drop("__ws", "__len")
 
 
 def votes() -> dict[str, Column]:
@@ -144,7 +145,7 @@ def judge(docs: DataFrame) -> DataFrame:
     the patterns and for the verdicts."""
     rules = votes()
     rows = features(docs)
-    rows = cut(rows.select("*", *[v.alias(k) for k, v in rules.items()]))
+    rows = cut(rows.drop("__barrier").select("*", *[v.alias(k) for k, v in rules.items()]))
     quality = 1 / (1 + F.exp(-log_odds(fit_rows(rows))))
     rows = rows.withColumn("base_failed", failed()).withColumn("quality", quality)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("quality") >= 0.5)).alias("kept"), *rules, "quality")
@@ -154,7 +155,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The documents `judge` keeps, rows and columns as they came. The fitted model is a few
     numbers, so verdicts are taken from each row itself in a second scan, without a join."""
     rules = [v.alias(k) for k, v in votes().items()]
-    model = fit_rows(features(docs).select("n_words", "n_repeat_words", *rules))
+    seen = cut(features(docs).select("n_words", "n_repeat_words", *rules))
+    model = fit_rows(seen)
     rows = docs.select("text", F.struct(*docs.columns).alias("doc_id"))  # the row rides along in place of its id
-    judged = features(rows).select("doc_id", "n_words", "n_repeat_words", *rules)
-    return judged.filter(~failed() & (log_odds(model) >= 0)).select("doc_id.*")
+    judged = features(rows).select("doc_id", "n_words", "n_repeat_words", "__barrier", *rules)
+    return judged.filter((F.col("__barrier") >= 0) & ~failed() & (log_odds(model) >= 0)).select("doc_id.*")
