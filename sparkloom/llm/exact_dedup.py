@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WS, cut
+from .common import BROADCAST_ROWS, WS, cut, small
 
 PREFIX = 256
 
@@ -40,7 +40,8 @@ def exact_dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
     docs = docs.select("doc_id", "text")
     sig = cut(signatures(docs, digest))
     lengths = sig.groupBy("__m").agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1").select("__m")
-    shared = cut(sig.join(lengths, "__m", "left_semi").groupBy("__m", "__p").agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1").select("__m", "__p", F.lit(True).alias("__hit")))
+    lengths = cut(lengths)
+    shared = cut(sig.join(small(lengths, lengths.count()), "__m", "left_semi").groupBy("__m", "__p").agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1").select("__m", "__p", F.lit(True).alias("__hit")))
     n = shared.count()
     if digest:
         rows = sig.join(F.broadcast(shared) if n <= BROADCAST_ROWS else shared, ["__m", "__p"], "left")
