@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 
 def _ring(df: DataFrame, side: float, reach: int = 1) -> DataFrame:
     steps = F.sequence(F.lit(-reach), F.lit(reach))
@@ -31,29 +33,32 @@ def knn(data: DataFrame, query: DataFrame, k: int, by: tuple[str, ...] = (), inc
 
     The first bucket side is what k points need at the mean density. A query is settled when its
     k-th distance is within the side (nothing outside the nine cells can be nearer); the others go
-    on with doubled sides, up to the whole extent. include_self=False leaves out nid = qid."""
+    on with wider cells, up to the whole extent. include_self=False leaves out nid = qid."""
     by = list(by)
     box = data.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1)), F.count_distinct(*by) if by else F.lit(1)).first()
     if not box[4]:
         return _near(data, query, 1.0, by).limit(0).select(*by, "qid", "nid", F.sqrt("d2").alias("d"), F.lit(1).alias("rank"))
+    far = query.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    far = far if far[0] is not None else box
+    extent = max(max(box[1], far[1]) - min(box[0], far[0]), max(box[3], far[3]) - min(box[2], far[2]), 1e-9)
     width, height = max(box[1] - box[0], 1e-9), max(box[3] - box[2], 1e-9)
-    side = max(math.sqrt((k + 1) * width * height / max(box[4] / max(box[5], 1), 1)), 1e-9)
+    side = max(math.sqrt((k + 1) * width * height / max(box[4] / max(box[5], 1), 1)), extent * 1e-6)
     w = Window.partitionBy(*by, "qid").orderBy("d2", "nid")
-    done, open_ = [], query
+    done, open_ = [], query.select(*by, "id", "x", "y")
     while True:
         pairs = _near(data, open_, side, by)
         pairs = pairs if include_self else pairs.filter("nid <> qid")
-        best = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(*by, "qid", "nid", F.sqrt("d2").alias("d"), "rank").persist()
-        last = side >= 2 * max(width, height)
-        kth = best.groupBy(*by, "qid").agg(F.max("d").alias("m"), F.count(F.lit(1)).alias("c")).filter((F.col("c") == k) & (F.col("m") <= side)).select(*by, "qid")
-        if last:
+        # written out: the next round's queries depend on it twice
+        best = cut(pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(*by, "qid", "nid", F.sqrt("d2").alias("d"), "rank"))
+        if side >= extent:
             done.append(best)
             break
+        kth = cut(best.groupBy(*by, "qid").agg(F.max("d").alias("m"), F.count(F.lit(1)).alias("c")).filter((F.col("c") == k) & (F.col("m") <= side)).select(*by, "qid"))
         done.append(best.join(kth, [*by, "qid"], "left_semi"))
-        open_ = open_.join(kth.withColumnRenamed("qid", "id"), [*by, "id"], "left_anti").persist()
+        open_ = cut(open_.join(kth.withColumnRenamed("qid", "id"), [*by, "id"], "left_anti"))
         if open_.isEmpty():
             break
-        side *= 2
+        side *= 2.5
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)

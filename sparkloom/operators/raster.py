@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 
 def histogram(pts: DataFrame, x0: float, y0: float, dx: float, nx: int, ny: int) -> DataFrame:
     """Counts per cluster and pixel; bins are half open, the last closed; outside is dropped."""
@@ -164,13 +166,14 @@ def greedy(scores: DataFrame, most: int | None = None) -> DataFrame:
     """Greedy one-to-one matching by score (ties by a, b): rounds of mutual best pairs, which equal
     the sequential greedy under a strict order. A round halves what is left at least in common
     cases; each is a window over survivors. scores: a, b, score."""
-    left, done = scores.select("a", "b", "score").persist(), None
+    left, done = cut(scores.select("a", "b", "score")), None
     order = [F.desc("score"), "a", "b"]
     while not left.isEmpty():
         ra, rb = F.row_number().over(Window.partitionBy("a").orderBy(*order)), F.row_number().over(Window.partitionBy("b").orderBy(*order))
-        best = left.withColumn("ra", ra).withColumn("rb", rb).filter("ra = 1 AND rb = 1").select("a", "b", "score").persist()
+        best = left.withColumn("ra", ra).withColumn("rb", rb).filter("ra = 1 AND rb = 1").select("a", "b", "score")
+        best = cut(best)
         done = best if done is None else done.unionByName(best)
-        left = left.join(best.select("a"), "a", "left_anti").join(best.select("b"), "b", "left_anti").persist()
+        left = cut(left.join(best.select("a"), "a", "left_anti").join(best.select("b"), "b", "left_anti"))
     done = scores.select("a", "b", "score").limit(0) if done is None else done
     return done.orderBy(*order).limit(most) if most else done
 

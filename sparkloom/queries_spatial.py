@@ -211,7 +211,7 @@ def risk_bins(spark, d):
 
 
 @query(BINS + """, b AS (SELECT bin AS i, greatest((scale / 0.9) ^ 2 - 1, 0) AS y, n::DOUBLE AS w, r FROM bins), p AS (SELECT j.i AS j, k.i AS k, sum(b.w * b.y) / sum(b.w) AS m FROM b j JOIN b k ON j.i <= k.i JOIN b ON b.i BETWEEN j.i AND k.i GROUP BY 1, 2),
-l AS (SELECT b.i, p.j, min(p.m) AS m FROM b JOIN p ON p.j <= b.i AND p.k >= b.i GROUP BY 1, 2), f AS (SELECT b.i, r, w, max(l.m) AS fit FROM b JOIN l USING (i) GROUP BY 1, 2, 3)
+iso AS (SELECT b.i, p.j, min(p.m) AS m FROM b JOIN p ON p.j <= b.i AND p.k >= b.i GROUP BY 1, 2), f AS (SELECT b.i, r, w, max(iso.m) AS fit FROM b JOIN iso USING (i) GROUP BY 1, 2, 3)
 SELECT least(50000, greatest(0, sum(w * r * r * fit) / greatest(sum(w * r ^ 4), 1e-12))) AS lam FROM f""", "lam", 4)
 def calibrate_lambda(spark, d):
     return inference.calibrate(bins(spark, d), 0.9).withColumnRenamed("lambda", "lam")
