@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +16,9 @@ from .common import cut, gapless_rank, small
 
 CAPACITY = 4096
 END_ID = 1
-SLICE = 256
-MEMO = 300_000
-_loaded: dict[str, object] = {}
+SLICE = 512
+MEMO = 700_000
+_loaded: dict[str, WordIds] = {}
 
 
 def default_tokenizer() -> str:
@@ -28,35 +30,74 @@ def default_tokenizer() -> str:
 class WordIds:
     """Ids of a text through a memo of its white-space separated words, as little-endian uint32
     bytes. The tokenizer's pattern never crosses white space, so a text's ids are its words' ids
-    in a row. The memo is bounded: it is emptied when full."""
+    in a row. Fresh words are encoded many in one call, apart by a mark that has one id. The memo
+    is bounded: two generations of MEMO words, the older dropped when the younger is full."""
+
+    MARK = b"\x01"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch
+        self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.ends = {x.encode(): self.ids(x).tobytes() for x in ".,"}
+        mark = self.ids(self.MARK.decode())
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def learn(self, words: list[bytes]) -> None:
+        """Memorise ids. A word of ASCII letters with one full stop or comma behind is the word's ids
+        and the stop's, as the pattern parts letters from marks."""
+        ended = [w for w in words if w[-1:] in self.ends and w[:-1].isalpha()]
+        if ended:
+            stems = {w[:-1] for w in ended} - self.memo.keys()
+            words = list(stems.union(words).difference(ended))
+        plain = [w for w in words if self.mark is not None and self.MARK not in w]
+        for i in range(0, len(plain), 2048):
+            part = plain[i : i + 2048]
+            ids = self.ids((b" " + self.MARK + b" ").join(part).decode())
+            at, raw = np.flatnonzero(ids == self.mark), ids.tobytes()
+            self.memo.update(zip(part, (raw[4 * s : 4 * e] for s, e in zip([0, *(at + 1).tolist()], [*at.tolist(), len(ids)])), strict=True))
+        for w in words:
+            if w not in self.memo:
+                self.memo[w] = self.ids(w.decode()).tobytes()
+        for w in ended:
+            self.memo[w] = self.memo[w[:-1]] + self.ends[w[-1:]]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
+        # the normaliser lower-cases; only special tokens are read before it
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
         if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        fresh = list({w for ws in words for w in ws if w not in memo})
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i : i + 4096]
-            for w, e in zip(part, self.encode([w.decode() for w in part], add_special_tokens=False)):
-                memo[w] = b"".join(x.to_bytes(4, "little") for x in e.ids)
+            self.memo, self.older = {}, self.memo
+        memo, older, fresh = self.memo, self.older, []
+        for w in set(chain.from_iterable(words)):
+            if w not in memo:
+                if w in older:
+                    memo[w] = older[w]
+                else:
+                    fresh.append(w)
+        self.learn(fresh)
         return [b"".join(map(memo.__getitem__, ws)) for ws in words]
 
 
+def word_ids_of(path: str) -> WordIds:
+    """One memo for a worker process, whatever tasks it runs."""
+    if path not in _loaded:
+        _loaded[path] = WordIds(path)
+    return _loaded[path]
+
+
 def _texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
 def _pieces(path: str, capacity: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_ids = _loaded.get(path) or _loaded.setdefault(path, WordIds(path))
+        word_ids = word_ids_of(path)
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
