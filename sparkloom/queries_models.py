@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from .functions import kernels
-from .operators import clustering, geometry, inference, neighbours, raster
-from .plans import alignment
+from .operators import clustering, geometry, inference, neighbours, pairing, raster, tissue
+from .plans import alignment, structures
 from .plans import clustering as structure
 from .plans import inference as de
 from .registry import query
@@ -200,3 +200,68 @@ def effective_t_quantile(spark, d):
     from .functions.special import t_quantile
 
     return spark.createDataFrame([(n, t_quantile(0.75, n)) for n in (5, 10, 30, 100)], "df int, q75 double").withColumn("cap", F.lit(inference.LAMBDA_CAP))
+
+
+@query()
+def tissue_support(spark, d):
+    return tissue.tissue_cells(parts(spark, d), 60)
+
+
+@query()
+def boundary_near(spark, d):
+    return tissue.near_boundary(parts(spark, d).withColumn("sample_id", F.lit("one")), 64)
+
+
+@query()
+def automatic_geometry(spark, d):
+    g = tissue.auto_geometry(parts(spark, d).withColumn("sample_id", F.lit("one")))
+    return spark.createDataFrame([(k, float(v)) for k, v in g.items()], "name string, value double")
+
+
+@query("WITH v AS (SELECT id, x, y, cluster FROM (SELECT p_partkey AS id, p_size::DOUBLE AS x, p_retailprice AS y, p_type AS cluster FROM part)) SELECT cluster, sqrt((x - 20.3) ** 2 + (y - 940.1) ** 2) AS d FROM v ORDER BY d, cluster LIMIT 1", "d")
+def nearest_cluster(spark, d):
+    return tissue.cluster_at(parts(spark, d), 20.3, 940.1)
+
+
+@query()
+def shape_bundle(spark, d):
+    return pairing.measure(masks(spark, d, "p_type"), masks(spark, d, "p_brand"), (26, 26), 25.0).select("a", "b", *pairing.METRICS)
+
+
+def _section(spark, d):
+    """part as a section in pixels whose clusters are blocks, and the label raster it came from."""
+    p = parts(spark, d).select("id", (F.col("x") * 0.6).alias("u"), ((F.col("y") - 900) * 0.32).alias("v"))
+    label = F.when(F.col("u") < 16, F.lit(1)).otherwise(F.lit(2)) + F.when(F.col("v") < 16, F.lit(0)).otherwise(F.lit(2))
+    pts = p.select("id", label.cast("string").alias("cluster"), (F.col("u") + 2.0).alias("x"), (F.col("v") + 1.0).alias("y"))
+    g = spark.range(34 * 34).select((F.col("id") / 34).cast("int").alias("iy"), (F.col("id") % 34).cast("int").alias("ix"))
+    inside = (F.col("ix") <= 30) & (F.col("iy") <= 32)
+    labels = g.select("iy", "ix", F.when(inside, F.when(F.col("ix") < 16, F.lit(1)).otherwise(F.lit(2)) + F.when(F.col("iy") < 16, F.lit(0)).otherwise(F.lit(2))).otherwise(F.lit(0)).alias("label"))
+    return pts, labels
+
+
+@query()
+def atlas_alignment(spark, d):
+    pts, labels = _section(spark, d)
+    names = spark.createDataFrame([(i, f"area {i}") for i in range(1, 5)], "label int, name string")
+    out, _, read = structures.align_atlas(pts, labels, names, (34, 34), rounds=1, iterations=20)
+    return out.join(read.select("id", "label", "name"), "id").groupBy("cluster", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def histology_alignment(spark, d):
+    pts, labels = _section(spark, d)
+    target = labels.filter("label <> 0").select(F.col("label").cast("string").alias("mask"), "iy", "ix")
+    return structures.align_histology(pts, target, (34, 34), rounds=1, iterations=10)[1]
+
+
+@query()
+def atac_alignment(spark, d):
+    pts, _ = _section(spark, d)
+    return structures.align_atac(pts, pts.select("id", "cluster", (F.col("x") - 1).alias("x"), "y"), (36, 36), rounds=1, iterations=10)[1]
+
+
+@query()
+def label_set_selection(spark, d):
+    m = pairing.score(pairing.measure(masks(spark, d, "p_type"), masks(spark, d, "p_brand"), (26, 26), 25.0), pairing.Scoring(0.2, 0.2, 0.2, 0.2, 0.2, 0.0, 1e9, 25.0))
+    rows = m.select(F.col("a").alias("cluster"), F.col("b").alias("candidate"), F.array(F.substring("b", 1, 7)).alias("labels"), "score")
+    return pairing.layers_then_rest(rows, F.col("candidate").endswith("1")).select("cluster", "candidate", "score")

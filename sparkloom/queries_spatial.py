@@ -110,10 +110,10 @@ def density_filter(spark, d):
     return neighbours.density_filter(nn8(spark, d), parts(spark, d).select("id", "cluster"), 2.0)
 
 
-@query(f"{P}, q AS (SELECT * FROM p WHERE id % 2 = 0), r AS (SELECT * FROM p WHERE id % 2 = 1), n AS ({sql_knn(1, 'r', 'q')}) SELECT q.cluster, count(*) AS n, avg((q.cluster = r.cluster)::INT) AS match_rate, avg(d) AS mean_distance FROM n JOIN q ON q.id = qid JOIN r ON r.id = nid GROUP BY 1", "match_rate mean_distance")
+@query(f"{P}, q AS (SELECT * FROM p WHERE sample_id < 'Brand#2'), r AS (SELECT * FROM p WHERE sample_id >= 'Brand#2'), n AS ({sql_knn(1, 'r', 'q')}) SELECT q.cluster, count(*) AS n, avg((q.cluster = r.cluster)::INT) AS match_rate, avg(d) AS mean_distance FROM n JOIN q ON q.id = qid JOIN r ON r.id = nid GROUP BY 1", "match_rate mean_distance")
 def agreement_1nn(spark, d):
     p = parts(spark, d)
-    return neighbours.agreement(p.filter("id % 2 = 0"), p.filter("id % 2 = 1"))
+    return neighbours.agreement(p.filter("sample_id < 'Brand#2'"), p.filter("sample_id >= 'Brand#2'"))
 
 
 @query(KN + ", r AS (SELECT qid, avg((a.sample_id = b.sample_id)::INT) AS p FROM n JOIN p a ON a.id = qid JOIN p b ON b.id = nid WHERE qid <> nid GROUP BY 1) SELECT avg(p) AS same_batch, avg(1 / (p * p + (1 - p) * (1 - p))) AS ilisi FROM r", "same_batch ilisi")
@@ -343,10 +343,10 @@ def paths(spark, d):
     return s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.concat(F.lit("/"), "n_regionkey", F.lit("/"), F.col("n_nationkey") + 100, F.lit("/"), F.col("s_suppkey") + 1000, F.lit("/")).alias("path"))
 
 
-@query(f"WITH p AS ({PATHS}), k AS (SELECT id, unnest([2, 3]) AS k, string_split(trim(path, '/'), '/') AS parts FROM p WHERE id % 3 > 0) SELECT '/' || array_to_string(parts[1:k], '/') || '/' AS prefix, array_to_string(list_sort(list(DISTINCT id)), ',') AS leaves, count(DISTINCT id) AS n FROM k GROUP BY 1")
+@query(f"WITH p AS ({PATHS}), k AS (SELECT id, unnest([2, 3]) AS k, string_split(trim(path, '/'), '/') AS parts FROM p) SELECT '/' || array_to_string(parts[1:k], '/') || '/' AS prefix, array_to_string(list_sort(list(DISTINCT id)), ',') AS leaves, count(DISTINCT id) AS n FROM k GROUP BY 1")
 def prefix_explode(spark, d):
     p = paths(spark, d)
-    return raster.path_prefixes(p, p.filter("id % 3 > 0").select("id")).withColumn("leaves", F.array_join(F.col("leaves").cast("array<string>"), ","))
+    return raster.path_prefixes(p, p.select("id")).withColumn("leaves", F.array_join(F.col("leaves").cast("array<string>"), ","))
 
 
 @query(f"""WITH {OV}, pre AS (SELECT left(mask, 8) AS candidate, mask AS label FROM nb UNION ALL SELECT mask, mask FROM nb), c AS (SELECT a AS cluster, candidate, sum("both") AS s FROM (SELECT a.mask AS a, b.mask AS b, count(*) AS "both" FROM a JOIN b USING (iy, ix) GROUP BY 1, 2) JOIN pre ON b = label GROUP BY 1, 2),

@@ -43,10 +43,14 @@ def gene_intersection(spark, d):
     return expression.shared_genes(_sampled(spark, d))
 
 
-@query(f"""WITH e AS (SELECT sample_id, obs, gene, 1.0::DOUBLE AS value FROM ({SAMPLES}) WHERE obs % 50 = 0), o AS (SELECT DISTINCT sample_id, obs FROM e), g AS (SELECT DISTINCT gene FROM e)
+STRATA = "SELECT o_orderstatus AS sample_id, o_orderpriority AS obs, 'g' || l_suppkey AS gene, sum(l_quantity) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3"
+
+
+@query(f"""WITH e AS ({STRATA}), o AS (SELECT DISTINCT sample_id, obs FROM e), g AS (SELECT DISTINCT gene FROM e)
 SELECT o.sample_id, o.obs, g.gene, coalesce(e.value, 0) AS value FROM o CROSS JOIN g LEFT JOIN e ON e.sample_id = o.sample_id AND e.obs = o.obs AND e.gene = g.gene""", "value")
 def gene_union_zero_fill(spark, d):
-    e = _sampled(spark, d).filter("obs % 50 = 0").withColumn("value", F.lit(1.0))
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    e = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_orderstatus").alias("sample_id"), F.col("o_orderpriority").alias("obs"), F.concat(F.lit("g"), "l_suppkey").alias("gene")).agg(F.sum("l_quantity").alias("value"))
     return expression.union_zero_fill(e, e.select("sample_id", "obs").distinct())
 
 
@@ -81,9 +85,9 @@ def quality_control(spark, d):
     return expression.quality_control(counts(spark, d).withColumn("is_control", F.col("gene").isin("g0", "g1")), 60, 3, 0.05)
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'right' ELSE 'left' END AS side FROM (SELECT o_custkey AS k FROM orders GROUP BY 1) a FULL JOIN (SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 <> 0) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
+@query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'right' ELSE 'left' END AS side FROM (SELECT o_orderkey AS k FROM orders GROUP BY 1) a FULL JOIN (SELECT l_orderkey AS k FROM lineitem GROUP BY 1) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
 def id_set_mismatch(spark, d):
-    return contracts.id_mismatch(table(spark, d, "orders").select(F.col("o_custkey").alias("k")), table(spark, d, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k")), "k")
+    return contracts.id_mismatch(table(spark, d, "orders").select(F.col("o_orderkey").alias("k")), table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")), "k")
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -91,9 +95,9 @@ def one_to_one_check(spark, d):
     return contracts.duplicates(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def anti_missing(spark, d):
-    return contracts.missing(table(spark, d, "customer"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return contracts.missing(table(spark, d, "orders"), table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (isnan(x) OR isnan(y)) AS bad_xy, count(*) FILTER (cluster IS NULL) AS null_labels, count(DISTINCT sample_id) AS samples, count(*) FILTER (lower(trim(cluster)) IN ('', 'nan', 'none')) AS incomplete FROM (" + SQL_POINTS + ")")
@@ -205,7 +209,7 @@ def ellipse_fit(spark, d):
     return geometry.ellipse(points(spark, d))
 
 
-SWEEP = f"""WITH p AS ({SQL_PARTS}), q AS (SELECT x, y FROM p WHERE id % 2 = 0), r AS (SELECT x, y FROM p WHERE id % 2 = 1),
+SWEEP = f"""WITH p AS ({SQL_PARTS}), q AS (SELECT x, y FROM p WHERE sample_id < 'Brand#2'), r AS (SELECT x, y FROM p WHERE sample_id >= 'Brand#2'),
 c AS (SELECT a * 30.0 AS angle, s AS scale FROM range(12) t(a), (VALUES (0.9), (1.0)) v(s)),
 m AS (SELECT angle, scale, floor((scale * (cos(radians(angle)) * (x - mx) - sin(radians(angle)) * (y - my)) + rx) / 5)::BIGINT AS px, floor((scale * (sin(radians(angle)) * (x - mx) + cos(radians(angle)) * (y - my)) + ry) / 5)::BIGINT AS py
 FROM (SELECT q.x, q.y, (SELECT avg(x) FROM q) AS mx, (SELECT avg(y) FROM q) AS my, (SELECT avg(x) FROM r) AS rx, (SELECT avg(y) FROM r) AS ry, c.angle, c.scale FROM q, c)),
@@ -217,7 +221,7 @@ SELECT angle, scale::DOUBLE AS scale, both_ / (nq + (SELECT count(*) FROM t) - b
 @query(SWEEP, "angle scale iou")
 def iou_sweep(spark, d):
     p = parts(spark, d)
-    return geometry.iou_sweep(p.filter("id % 2 = 0"), p.filter("id % 2 = 1"), 5.0, 30.0, (0.9, 1.0))
+    return geometry.iou_sweep(p.filter("sample_id < 'Brand#2'"), p.filter("sample_id >= 'Brand#2'"), 5.0, 30.0, (0.9, 1.0))
 
 
 # rankings and robust statistics
