@@ -57,8 +57,9 @@ def exact_dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
     same = ["__m", "__p", "text_sha256"]
     best = F.min(F.struct(-F.col("__n"), F.col("doc_id").isNull().alias("x"), "doc_id", "__rid"))
     groups = rows.filter("__hit").groupBy(*same).agg(best.alias("__k"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.select(*same, F.col("__k.doc_id").alias("keep_id"), F.col("__k.__rid").alias("__keep"), "group_size").filter("group_size > 1")
-    out = rows.join(groups, same, "left")
+    # written out, so that the join sees its size: broadcast, or a join whose hot group can be split
+    groups = cut(groups.select(*same, F.col("__k.doc_id").alias("keep_id"), F.col("__k.__rid").alias("__keep"), "group_size").filter("group_size > 1"))
+    out = rows.join(small(groups, groups.count()), same, "left")
     alone = F.col("group_size").isNull()
     return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (alone | (F.col("__rid") == F.col("__keep"))).alias("kept"), "text_sha256")
 
