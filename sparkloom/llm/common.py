@@ -15,7 +15,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A side of a join is broadcast only when a count has shown at most this many short rows.
 BROADCAST_ROWS = 400_000
 #: Rows of one key that a single task ranks or solves.
-CHUNK = 1024
+CHUNK = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
