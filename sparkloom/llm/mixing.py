@@ -12,7 +12,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CAP = 2.0
 FLIGHT = 1024
-#: A source's smallest units, kept from the last flight to settle what it leaves undecided.
+#: At least so many of a source's smallest units are kept from its last flight, to settle what that
+#: leaves undecided; at most half of them.
 LANDING = 16
 _PRIME = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -66,7 +67,7 @@ def flight(sizes: list[float], rows: list[float], probs: list[float], seed: int)
 
 
 def land(sizes: list[float], probs: list[float], aim: float) -> list[float]:
-    """Landing phase: the few units left, at most LANDING + 2; greedy from the largest, each taken
+    """Landing phase: the units left, at most half of a last chunk; greedy from the largest, each taken
     if that brings the running token sum nearer to `aim`."""
     out, sum_ = [0.0] * len(probs), 0.0
     for i in sorted(range(len(probs)), key=lambda i: -sizes[i]):
@@ -79,7 +80,12 @@ def _fly(last: bool):
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "key"], ascending=[False, True], kind="stable").reset_index(drop=True)
         sizes, rows, probs = (pdf[c].astype(float).tolist() for c in ("mass", "m", "p"))
-        flown = len(pdf) - LANDING if last and len(pdf) > LANDING else 0 if last else len(pdf)  # the smallest wait for the landing
+        flown = len(pdf)
+        if last:  # the smallest wait for the landing, as many as can make up for the largest
+            play = 0.0
+            while flown > len(pdf) - LANDING and flown or flown > len(pdf) // 2 and play < sizes[0]:
+                flown -= 1
+                play += sizes[flown] * min(probs[flown], 1 - probs[flown])
         p = flight(sizes[:flown], rows[:flown], probs[:flown], int(pdf["key"].iloc[0]) ^ len(pdf)) + probs[flown:]
         if last:
             open_ = [i for i, x in enumerate(p) if _EPS < x < 1 - _EPS]
@@ -128,7 +134,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     is taken by all, its fraction is the inclusion probability moved by the cube method under two
     equations, tokens and documents. Sources are dealt by hash into chunks of about FLIGHT units;
     each chunk leaves at most two units undecided, which are gathered and flown again until one
-    chunk a source is left, where the landing decides the last two and the LANDING smallest. So no source comes into one
+    chunk a source is left, where the landing decides the last two and the smallest. So no source comes into one
     task whole, and the number of rounds is the logarithm of the corpus.
 
     Returns doc_id, source, size, source_size, target, copies, taken (= copies * size), one row per
