@@ -137,3 +137,27 @@ def map_radius(spacing: float, configured: float | None = None, multiplier: floa
             raise ValueError("a radius must be over 0")
         return configured
     return multiplier * spacing
+
+
+def search_similarity(query: DataFrame, reference: DataFrame, cell: float, steps=(30.0, 5.0, 1.0)) -> tuple[float, float, float]:
+    """Turn and scale of the query about its mean that overlap the reference's occupied cells best:
+    a coarse sweep of all angles, then finer ones about the best. Returns angle, scale, IoU."""
+    angle, scale, best = 0.0, 1.0, -1.0
+    for i, step in enumerate(steps):
+        turned = rotate(query, angle) if i else query
+        rows = iou_sweep(turned, reference, cell, step, (scale * 0.95, scale, scale * 1.05))
+        if i:  # only angles about the best so far
+            near = 2 * steps[i - 1]
+            rows = rows.filter((F.col("angle") <= near) | (F.col("angle") >= 360 - near))
+        r = rows.orderBy(F.desc("iou"), "angle", "scale").first()
+        if r["iou"] > best:
+            best, scale, angle = r["iou"], r["scale"], (angle + r["angle"]) % 360
+    return angle, scale, best
+
+
+def rotate(pts: DataFrame, angle: float) -> DataFrame:
+    """Turn points about their mean by degrees."""
+    m = pts.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    c, s = math.cos(math.radians(angle)), math.sin(math.radians(angle))
+    x, y = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
+    return pts.join(F.broadcast(m)).withColumn("x2", c * x - s * y + F.col("mx")).withColumn("y2", s * x + c * y + F.col("my")).drop("x", "y", "mx", "my").withColumnsRenamed({"x2": "x", "y2": "y"})

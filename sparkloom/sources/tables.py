@@ -204,3 +204,36 @@ def two_samples(spark: SparkSession, clusters: int = 3, points: int = 20, seed:
     x, y = F.col("x") - 0.8, F.col("y") + 0.4
     q = r.select((F.col("id") + clusters * points).alias("id"), "cluster", ((x * math.cos(t) + y * math.sin(t)) / 1.08).alias("x"), ((y * math.cos(t) - x * math.sin(t)) / 1.08).alias("y"))
     return r.withColumn("sample_id", F.lit("reference")).unionByName(q.withColumn("sample_id", F.lit("query")))
+
+
+def read_arrays(spark: SparkSession, folder: str, aliases: dict[str, str] | None = None) -> DataFrame:
+    """NPZ replicates as rows: repeat (the number in the file's name), name (aliased), shape, values.
+    A file is read whole by the task that holds it."""
+    names = aliases or {}
+
+    def run(batches):
+        import io
+        import re
+
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                number = re.search(r"(\d+)\.npz$", path)
+                with np.load(io.BytesIO(content), allow_pickle=False) as z:
+                    rows += [(int(number[1]) if number else -1, names.get(k, k), list(z[k].shape), np.asarray(z[k], float).ravel()) for k in z.files]
+            yield pd.DataFrame(rows, columns=["repeat", "name", "shape", "values"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(folder).select("path", "content")
+    return files.mapInPandas(run, "repeat long, name string, shape array<long>, values array<double>")
+
+
+def legacy_batch(meta: DataFrame, genes_by_spot: DataFrame, prefix: str, index: int) -> tuple[DataFrame, DataFrame]:
+    """A sample in the older layout: expression with a gene a row and a spot a column. The sample id
+    is <prefix>_sample<index>_<slide>_age<age>."""
+    sample = F.concat_ws("_", F.lit(prefix), F.lit(f"sample{index}"), F.col("slide").cast("string"), F.concat(F.lit("age"), F.col("age").cast("string")))
+    spots = [c for c in genes_by_spot.columns if c != "gene"]
+    cast = genes_by_spot.select("gene", *[F.col(f"`{s}`").try_cast("double").alias(s) for s in spots])
+    return meta.withColumn("sample_id", sample), cast.unpivot(["gene"], [f"`{s}`" for s in spots], "obs", "value")
