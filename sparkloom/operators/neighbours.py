@@ -195,3 +195,14 @@ def erode(nn: DataFrame, flags: DataFrame, radius: float, tau: float = 0.6) -> D
     rows = nn.filter("qid <> nid").join(flags.select(F.col("id").alias("nid"), F.col("on").cast("double").alias("v")), "nid")
     share = rows.groupBy("qid").agg((F.sum(w * F.col("v")) / F.sum(w)).alias("share"))
     return flags.join(share.withColumnRenamed("qid", "id"), "id", "left").select("id", (F.col("on") & (F.coalesce("share", F.lit(0.0)) >= tau)).alias("on"))
+
+
+def kernel_density(edges: DataFrame, edge_distance: DataFrame, h: float, floor: float = 0.5) -> DataFrame:
+    """Sum of weights at each query over the share of the kernel that lies inside the support,
+    taken as the normal mass within its distance to the edge (at least `floor`); outside the
+    support the density is 0. edge_distance: qid, bd (distance to the edge, negative outside)."""
+    from ..functions.special import normal
+
+    s = edges.groupBy("qid").agg(F.sum("w").alias("s"))
+    mass = F.greatest(normal(F.col("bd") / h), F.lit(floor))
+    return edge_distance.join(s, "qid", "left").select("qid", F.when(F.col("bd") < 0, F.lit(0.0)).otherwise(F.coalesce("s", F.lit(0.0)) / mass).alias("density"))

@@ -145,3 +145,10 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r["cluster"], r["cx"], r["n"]) for r in spark.sql("select * from cents").collect()} == {("a", 2.0, 2), ("b", 5.0, 1)}
+
+
+def test_kernel_density_corrects_edges(spark):
+    e = spark.createDataFrame([(1, 0.5), (1, 0.5), (2, 0.5)], "qid long, w double")
+    d = spark.createDataFrame([(1, 100.0), (2, 0.0), (3, 1.0), (4, -1.0)], "qid long, bd double")
+    got = {r["qid"]: r["density"] for r in neighbours.kernel_density(e, d, 1.0).collect()}
+    assert got == pytest.approx({1: 1.0, 2: 1.0, 3: 0.0, 4: 0.0})
