@@ -40,6 +40,14 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def lean_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers a thousand at a time, unless the session says otherwise already:
+    Spark's own ten thousand would take a tenth of a small executor for each task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def lower_az(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
