@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean_batches
+
 FILTERS, WIDTH, STRIDE, CHUNK = 16, 8, 2, 256
 #: The bounded training sample: so many documents of either label, each of at most so many bytes.
 PER_LABEL, MOST_BYTES = 500, 8192
@@ -172,5 +174,6 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Train on the bounded sample and score all: doc_id, held_out, score, predicted."""
+    lean_batches(docs.sparkSession)
     net = train(*sample(docs, labels))
     return score(docs, net).select("doc_id", (remainder() == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

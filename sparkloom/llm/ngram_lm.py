@@ -21,7 +21,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, n_words, shared_dir
+from .common import cut, lean_batches, n_words, shared_dir
 from .hashing import column_words, mix
 
 ORDER = 2
@@ -296,6 +296,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
 def train(docs: DataFrame) -> tuple[str, str] | None:
     """Count a model over the texts of docs (column text): its folder and a JSON of its numbers.
     None without any text row. Null counts as empty: an end after an end."""
+    lean_batches(docs.sparkSession)
     spark, rows = docs.sparkSession, docs.select("text")
     size, n = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     if not n:

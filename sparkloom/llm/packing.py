@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, gapless_rank, small
+from .common import cut, gapless_rank, lean_batches, small
 
 CAPACITY = 4096
 END_ID = 1
@@ -213,4 +213,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     rank among equal lengths. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset
     (and ids), a row per piece. Null text counts as empty and is END_ID alone; repeated rows are
     packed as often as they come; other columns are ignored; an empty table gives an empty one."""
+    lean_batches(docs.sparkSession)
     return place(cut(pieces(docs, tokenizer, capacity, keep_ids)), capacity)

@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import lean_batches
+
 KINDS = ("email", "ip", "card", "phone", "url", "account", "secret")
 BASE = KINDS[:4]
 SLICE = 512
@@ -126,6 +128,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
     Null text counts as empty and has no spans; repeated rows are scanned like others; other
     columns are ignored; an empty table gives an empty one."""
+    lean_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, " + "".join(f"n_{k} long, " for k in KINDS) + "base_sha256 string, spans string"
     return docs.select("doc_id", "text").mapInArrow(_scan, schema)
