@@ -4,7 +4,8 @@ A document's set of word shingles goes to BANDS * ROWS bins by one hash; a bin k
 value, an empty bin borrows from the bin its own probe sequence first finds filled. Documents that
 agree on all ROWS bins of a band share a bucket. A bucket proposes stars, its members against two
 centres, so proposals are linear in its size; links are confirmed on full sets. Buckets that the
-links found so far leave in several components propose again (see `link`)."""
+links found so far leave in several components propose again, and what stars leave open is tested
+whole, blocks of members against blocks (see `link`)."""
 
 from __future__ import annotations
 
@@ -25,6 +26,8 @@ PROBES = 48
 PERCENT = 80
 #: Pairs between components that a bucket may have for each member to be tested whole.
 CROSSING = 8
+#: Members, and shingles of all members, that a block of a large bucket holds on average.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 
 
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -171,18 +174,64 @@ def crossing(rows: DataFrame) -> DataFrame:
     return one.join(two, "key").filter((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & fits).select("a", "b").distinct()
 
 
+def _cell(table: pa.Table) -> pa.Table:
+    """Links (a, b) between different components in a cell, block s against block t of a bucket, as
+    a forest: a pair that the cell's other links connect already adds nothing to the components."""
+    s, t, block = table.column("s")[0].as_py(), table.column("t")[0].as_py(), table.column("block").to_numpy()
+    node, n = table.column("node").to_numpy(), table.column("n").to_numpy()
+    _, comp = np.unique(table.column("comp").to_numpy(), return_inverse=True)
+    sets = table.column("set").combine_chunks()
+    bounds, values = sets.offsets.to_numpy(), sets.values.to_numpy(zero_copy_only=False)
+    left, right = np.flatnonzero(block == s), np.flatnonzero(block == t)
+    tokens = np.concatenate([values[bounds[i] : bounds[i + 1]] for i in left])
+    owner = np.repeat(np.arange(len(left)), bounds[left + 1] - bounds[left])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    a, b = [], []
+    for j in right.tolist():
+        own = values[bounds[j] : bounds[j + 1]]
+        lo = np.searchsorted(tokens, own)
+        many = np.searchsorted(tokens, own, "right") - lo
+        at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+        both = np.bincount(owner[at], minlength=len(left))
+        for i in left[both * 100 >= (n[left] + n[j] - both) * PERCENT].tolist():
+            if comp[i] != comp[j]:
+                a.append(min(node[i], node[j]))
+                b.append(max(node[i], node[j]))
+                comp[comp == comp[i]] = comp[j]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def blocks(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that connect, in each bucket of rows (key, node, n, comp), all members of
+    different components whose full sets reach PERCENT. Members outside a bucket's largest component
+    meet all its members, block by block, so that no task holds more than two blocks; the largest
+    component is not tested against itself. sets: node, set."""
+    parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+    whole = parts.groupBy("key").agg(F.max(F.struct("c", "w", "comp")).alias("top"), F.sum("c").alias("c"), F.sum("w").alias("w"))
+    n_blocks = lambda c, w: F.ceil(F.greatest(c / BLOCK, w / BLOCK_SHINGLES))
+    top = cut(whole.select("key", F.col("top.comp").alias("largest"), n_blocks(F.col("c") - F.col("top.c"), F.col("w") - F.col("top.w")).alias("others"), n_blocks(F.col("top.c"), F.col("top.w")).alias("own")))
+    other, h = F.col("comp") != F.col("largest"), F.xxhash64("node")
+    dealt = rows.join(small(top, top.count()), "key").withColumn("block", F.when(other, F.pmod(h, "others")).otherwise(F.col("others") + F.pmod(h, "own")))
+    last = F.when(other, F.col("others") + F.col("own")).otherwise(F.col("others")) - 1
+    met = dealt.select("key", "node", "n", "comp", "block", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("x"))
+    cells = met.select("key", F.least("block", "x").alias("s"), F.greatest("block", "x").alias("t"), "block", "node", "n", "comp")
+    return cells.join(sets, "node").groupBy("key", "s", "t").applyInArrow(_cell, "a long, b long").distinct()
+
+
 def link(members: DataFrame, sets_of) -> DataFrame:
     """Components (node, comp) of the nodes of members (key, node, n).
 
     The first round tests each bucket's stars. A bucket that its links leave in several components
     has pairs between them; where these are at most CROSSING a member, all are tested, so no link
     is lost there. The rest, large buckets of mixed contents, send stars from fresh centres, round
-    by round, until a round finds no new link; a pair shares about twelve buckets, and is missed
-    only if all of these are such and neither end is ever a centre. Every round costs pairs linear
-    in the members left, and only its new links are added to the components."""
+    by round, until a round finds no new link. Those still mixed then are tested whole, blocks
+    against blocks, so that no pair that shares a bucket stays untested across components. Every
+    round costs pairs linear in the members left; the blocks cost as many comparisons as pairs
+    outside a bucket's largest component, but rows of only two members a BLOCK of them."""
     comps = cut(members.select("node").distinct().withColumn("comp", F.col("node")))
     n = comps.count()
-    tested, salt = None, 0
+    tested, salt, exact = None, 0, False
     while True:
         if salt:
             rows = members.join(small(comps, n), "node")
@@ -191,23 +240,23 @@ def link(members: DataFrame, sets_of) -> DataFrame:
             mixed = cut(parts.filter(pairs > 0).select("key", (pairs > CROSSING * F.col("m")).alias("large")))
             rows = cut(rows.join(small(mixed, mixed.count()), "key"))
             few, rows = rows.filter(~F.col("large")).drop("large"), rows.filter("large").drop("large")
-            last = rows.isEmpty()
+            last = exact or rows.isEmpty()
             edges = crossing(few) if last else crossing(few).union(stars(rows, salt)).distinct()
             members = rows.drop("comp")
             edges = cut(edges.join(tested, ["a", "b"], "left_anti"))
         else:
             last, edges = False, cut(stars(members, salt))
-        if edges.isEmpty():
-            return comps
         tested = edges if tested is None else tested.union(edges)
         found = cut(confirm(edges, sets_of(edges)))
+        if exact and not rows.isEmpty():
+            found = cut(found.union(blocks(rows, sets_of(rows.select(F.col("node").alias("a"), F.col("node").alias("b"))))))
         if not found.isEmpty():
             at = lambda c, d: small(comps.select(F.col("node").alias(c), F.col("comp").alias(d)), n)
             between = found if not salt else found.join(at("a", "x"), "a").join(at("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
             merged = components(between).toDF("comp", "to")
             comps = cut(comps.join(small(merged, merged.count()), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
         elif salt:
-            return comps
+            exact = True
         if last:
             return comps
         salt += 1

@@ -298,6 +298,22 @@ def test_near_dedup(docs, rows, none, width):
     assert near_dedup.near_dedup(none, width).count() == 0 and near_dedup.drop_near(none, width).count() == 0
 
 
+def test_near_dedup_tests_large_mixed_buckets_whole(spark, tmp_path):
+    """Versions of one text: 497 heavily edited ones that reach no other, three lightly edited that reach each other."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(500):
+        w = [f"base{k}" for k in range(300)]
+        for k in rng.choice(np.arange(0, 300, 3), 8 if i % 150 == 149 else 17, replace=False):
+            w[k] = f"edit{i}x{k}"
+        rows.append((i, " ".join(w)))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    got = near_dedup.near_dedup(spark.read.parquet(str(tmp_path / "d"))).collect()
+    want = Counter((r[0], *x) for r, x in zip(rows, brute_components(rows, 2)))
+    assert len({c for _, _, c in want}) == 498
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2))
