@@ -123,7 +123,7 @@ def communities(spark, d):
 @query()
 def joint_clustering(spark, d):
     p = parts(spark, d).select("id", "sample_id", "x", "y")
-    return structure.cluster(p, part_expression(spark, d), k=8, components=6, labels=5, harmonise=False).select("id", "label", "refined")
+    return structure.cluster(p, part_expression(spark, d), k=8).select("id", "label", "refined")
 
 
 @query()

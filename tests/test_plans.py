@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import clustering, contracts, geometry, neighbours, raster
+from sparkloom.plans import clustering as structure
 from sparkloom.plans import alignment, inference
 from sparkloom.sources import tables
 
@@ -57,6 +58,27 @@ def test_communities_find_two_cliques(spark):
     assert clustering.modularity(edges, labels) > 0.45
 
 
+def test_joint_labels_span_samples(spark):
+    rng = np.random.default_rng(6)
+    pts, expr = [], []
+    for i in range(240):
+        x, y = rng.random(2) * 10
+        pts.append((i, "ab"[i % 2], float(x), float(y)))
+        expr += [(i, "g", float(rng.poisson(40 if x > 5 else 2))), (i, "h", float(rng.poisson(2 if x > 5 else 40)))]
+    p, e = spark.createDataFrame(pts, "id long, sample_id string, x double, y double"), spark.createDataFrame(expr, "id long, gene string, value double")
+    got = structure.cluster(p, e, k=8).select("sample_id", "label", (F.col("x") > 5).alias("right")).toPandas()
+    both = got.groupby("label")["sample_id"].nunique()
+    assert got["label"].map(both).eq(2).mean() > 0.9
+    assert got.groupby("label")["right"].agg(lambda r: max(r.mean(), 1 - r.mean())).min() > 0.8
+
+
+def test_knn_vectors_is_exact_across_blocks(spark):
+    x = np.random.default_rng(7).random((60, 3))
+    got = neighbours.knn_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>"), 5, 16).collect()
+    order = np.argsort(((x[:, None] - x[None]) ** 2).sum(2), axis=1)[:, :5]
+    assert {(r["qid"], r["rank"], r["nid"]) for r in got} == {(i, t + 1, int(j)) for i, o in enumerate(order) for t, j in enumerate(o)}
+
+
 def test_kmeans_pca_harmony(spark):
     rng = np.random.default_rng(2)
     x = np.vstack([rng.normal(c, 0.1, (30, 3)) for c in ((0, 0, 0), (5, 0, 0), (0, 5, 0))])
