@@ -95,6 +95,27 @@ def test_kmeans_pca_harmony(spark):
     assert abs(z[::2, 2].mean() - z[1::2, 2].mean()) < 0.5 * 2
 
 
+def test_kmeans_seeds_over_all_rows_by_weight(spark):
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(0, 0.1, (3000, 2)), rng.normal((5, 0), 0.1, (3000, 2)), rng.normal((0, 90), 0.1, (4, 2))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    labels, centres = clustering.kmeans(df, 3)
+    assert np.allclose(sorted(centres.round(0).tolist()), [[0, 0], [0, 90], [5, 0]])
+    few = spark.createDataFrame([(i, [float(i % 2)], float(i % 2)) for i in range(20)], "id long, v array<double>, weight double")
+    assert clustering.kmeans(few, 2)[1].tolist() == [[1.0]]
+
+
+def test_spatial_refinement_follows_neighbours(spark):
+    """A line of two halves; one row's value lies a little nearer to the other half's centre."""
+    v = [0.0] * 10 + [1.0] * 10
+    v[4] = 0.7
+    df = spark.createDataFrame([(i, [x]) for i, x in enumerate(v)], "id long, v array<double>")
+    edges = spark.createDataFrame([(i, j, 1.0) for i in range(20) for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < 20], "qid long, nid long, w double")
+    labels = spark.createDataFrame([(i, int(x > 0.5)) for i, x in enumerate(v)], "id long, label long")
+    centres = clustering.refine_spatially(df, labels, np.array([[0.0], [1.0]]), edges)[1]
+    assert np.allclose(centres, [[0.07], [1.0]])
+
+
 def test_inference_finds_the_changed_gene(spark):
     rng = np.random.default_rng(3)
     pts, expr = [], []
