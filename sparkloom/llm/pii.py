@@ -23,7 +23,12 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE_RUN = re.compile(r"[\x20().0-9-]+")
 _URL_REST = re.compile(r"[^\s<>\"']+")
-_IDENTIFIER = re.compile(r"(?:\s{0,2}(?:number|no\.?|id|key|code))?\s{0,3}[:=#]?\s{0,3}[\"']?([A-Za-z0-9][A-Za-z0-9_-]{5,127})")
+_HEAD = r"(?:\s{0,2}(?:number|no\.?|id|key|code))?\s{0,3}[:=#]?\s{0,3}[\"']?"
+_BEFORE_RUN = re.compile(_HEAD + r"(?=[A-Za-z0-9][A-Za-z0-9_-]{5})")
+_BEFORE_GROUP = re.compile(_HEAD + r"(?=[A-Za-z0-9])")
+_RUN = re.compile(r"[A-Za-z0-9_-]+")
+_IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]){11,30}")
+_GROUPS = re.compile(r"[0-9]{2,5}(?:\x20[0-9]{2,}(?![A-Za-z0-9_-]))+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789.+-")
 
@@ -33,6 +38,21 @@ def luhn(digits: str) -> bool:
     return (total + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])) % 10 == 0
 
 
+def printed(text: str, at: int) -> int:
+    """End of an account identifier in printed groups at `at`, or 0: an IBAN whose checksum holds,
+    or groups of two digits or more, six at least together, the first of at most five."""
+    if m := _IBAN.match(text, at):
+        for stop in range(m.end(), at + 14, -1):
+            if text[stop : stop + 1].isalnum() or text[stop - 1] == " ":
+                continue
+            code = text[at:stop].replace(" ", "").upper()
+            if len(code) >= 15 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
+                return stop
+    if (m := _GROUPS.match(text, at)) and sum(c != " " for c in m[0]) >= 6:
+        return m.end()
+    return 0
+
+
 def automaton():
     """Aho-Corasick over at-sign, plus, scheme mark, digits and identifier cues."""
     import ahocorasick
@@ -55,7 +75,7 @@ def find(text: str, auto) -> dict[str, list[tuple[int, int]]]:
     ended, valid or not, so matches are the leftmost ones that don't overlap. Every parser is
     linear in the text: runs that failed are not tried again."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    end = dict.fromkeys(KINDS, 0)
+    end, failed = dict.fromkeys(KINDS, 0), dict.fromkeys(KINDS, 0)
     for last, (what, size) in auto.iter(text):
         at = last - size + 1
         if what == "d":
@@ -96,10 +116,17 @@ def find(text: str, auto) -> dict[str, list[tuple[int, int]]]:
                 if stop > last + 1:
                     end["url"] = stop
                     out["url"].append((start, stop))
-        elif at >= end[what] and not (at and text[at - 1].isalnum()) and (m := _IDENTIFIER.match(text, last + 1)):
-            if sum(c in "0123456789" for c in m[1]) >= 4:
-                end[what] = m.end(1)
-                out[what].append(m.span(1))
+        elif at >= end[what] and not (at and text[at - 1].isalnum()):
+            if what == "account" and (m := _BEFORE_GROUP.match(text, last + 1)) and (stop := printed(text, m.end())):
+                end[what] = stop
+                out[what].append((m.end(), stop))
+            elif (m := _BEFORE_RUN.match(text, last + 1)) and m.end() >= failed[what]:
+                run = _RUN.match(text, m.end())
+                if sum(c in "0123456789" for c in run[0]) >= 4:
+                    end[what] = run.end()
+                    out[what].append(run.span())
+                else:  # nor has any end of this run four digits
+                    failed[what] = run.end()
     return out
 
 

@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -118,6 +119,21 @@ def test_pii_table(spark, docs, rows, none):
     assert all(r["base_sha256"] == empty for r in pii.find_pii(docs).filter("doc_id between 200 and 202").collect())
 
 
+@pytest.mark.parametrize("before, what, after", [("api_key=", "a1" * 300, " end"), ("IBAN: ", "GB82 WEST 1234 5698 7654 32", " is ours"), ("account ", "1234 5678 9012", ", closed"), ("account number: ", "12345678", " 2020 was"), ("iban ", "DE89370400440532013000", "")])
+def test_pii_takes_whole_identifiers(before, what, after):
+    text = before + what + after
+    kind = "secret" if "key" in before else "account"
+    assert pii.find(text, AUTO)[kind] == [(len(before), len(before) + len(what))]
+    assert what[-4:] not in pii.redact(text, pii.find(text, AUTO))
+
+
+def test_pii_runs_stay_linear():
+    text = "token x_" + "token-secret_" * 100_000
+    began = time.perf_counter()
+    assert pii.find(text, AUTO)["secret"] == []
+    assert time.perf_counter() - began < 20
+
+
 # 3 quality rules
 
 
