@@ -156,8 +156,15 @@ def trajectories(spark, d):
 
 @query()
 def ward_levels(spark, d):
-    """Hierarchy cut of cluster centroids: at most a few dozen clusters reach the driver."""
-    c = geometry.centroids(parts(spark, d), by=("sample_id",)).orderBy("sample_id").limit(50).toPandas()
+    """Hierarchy cut of cluster centroids, all of which reach the driver."""
+    return ward_cut(spark, geometry.centroids(parts(spark, d), by=("sample_id",)))
+
+
+def ward_cut(spark, centroids, most: int = 2000):
+    """Levels of a Ward tree over all centroids (sample_id, cx, cy, n); more than `most` raise an error."""
+    c = centroids.orderBy("sample_id").limit(most + 1).toPandas()
+    if len(c) > most:
+        raise ValueError(f"more than {most} groups for a hierarchy on the driver")
     xy, w = c[["cx", "cy"]].to_numpy(), c["n"].to_numpy()
     tree, rows = kernels.ward(xy, w), []
     for level, k in enumerate(kernels.hierarchy_levels(len(c), 4)):
@@ -243,7 +250,7 @@ def _section(spark, d):
 def atlas_alignment(spark, d):
     pts, labels = _section(spark, d)
     names = spark.createDataFrame([(i, f"area {i}") for i in range(1, 5)], "label int, name string")
-    out, _, read = structures.align_atlas(pts, labels, names, (34, 34), rounds=1, iterations=20)
+    out, _, read = structures.align_atlas(pts, labels, names, (34, 34))
     return out.join(read.select("id", "label", "name"), "id").groupBy("cluster", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -251,13 +258,13 @@ def atlas_alignment(spark, d):
 def histology_alignment(spark, d):
     pts, labels = _section(spark, d)
     target = labels.filter("label <> 0").select(F.col("label").cast("string").alias("mask"), "iy", "ix")
-    return structures.align_histology(pts, target, (34, 34), rounds=1, iterations=10)[1]
+    return structures.align_histology(pts, target, (34, 34))[1]
 
 
 @query()
 def atac_alignment(spark, d):
     pts, _ = _section(spark, d)
-    return structures.align_atac(pts, pts.select("id", "cluster", (F.col("x") - 1).alias("x"), "y"), (36, 36), rounds=1, iterations=10)[1]
+    return structures.align_atac(pts, pts.select("id", "cluster", (F.col("x") - 1).alias("x"), "y"), (36, 36))[1]
 
 
 @query()

@@ -195,3 +195,12 @@ def test_kernel_density_corrects_edges(spark):
     d = spark.createDataFrame([(1, 100.0), (2, 0.0), (3, 1.0), (4, -1.0)], "qid long, bd double")
     got = {r["qid"]: r["density"] for r in neighbours.kernel_density(e, d, 1.0).collect()}
     assert got == pytest.approx({1: 1.0, 2: 1.0, 3: 0.0, 4: 0.0})
+
+
+def test_ward_levels_keep_every_group(spark):
+    from sparkloom import queries_models
+
+    c = spark.createDataFrame([(f"g{i:03d}", float(i), float(i % 7), 1) for i in range(60)], "sample_id string, cx double, cy double, n long")
+    assert queries_models.ward_cut(spark, c).select("sample_id").distinct().count() == 60
+    with pytest.raises(ValueError, match="more than 59"):
+        queries_models.ward_cut(spark, c, 59)
