@@ -66,10 +66,11 @@ def test_joint_labels_span_samples(spark):
         pts.append((i, "ab"[i % 2], float(x), float(y)))
         expr += [(i, "g", float(rng.poisson(40 if x > 5 else 2))), (i, "h", float(rng.poisson(2 if x > 5 else 40)))]
     p, e = spark.createDataFrame(pts, "id long, sample_id string, x double, y double"), spark.createDataFrame(expr, "id long, gene string, value double")
-    got = structure.cluster(p, e, k=8).select("sample_id", "label", (F.col("x") > 5).alias("right")).toPandas()
+    got = structure.cluster(p, e, k=8, shared=30).select("sample_id", "label", (F.col("x") > 5).alias("right")).toPandas()
     both = got.groupby("label")["sample_id"].nunique()
     assert got["label"].map(both).eq(2).mean() > 0.9
-    assert got.groupby("label")["right"].agg(lambda r: max(r.mean(), 1 - r.mean())).min() > 0.8
+    # points at the border, whose neighbourhoods are mixed, may have a label of their own
+    assert got.groupby("label")["right"].agg(lambda r: max(r.sum(), (~r).sum())).sum() > 0.9 * len(got)
 
 
 def test_knn_vectors_is_exact_across_blocks(spark):
