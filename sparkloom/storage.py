@@ -9,12 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a private one is set only where none is named."""
+    """The folder named in spark.checkpoint.dir, with its file system's scheme. Where none is named,
+    a private folder serves a session in one process; on a cluster that is an error, as executors
+    would each write to their own disk."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
         at = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.makeQualified(path).toString().rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
