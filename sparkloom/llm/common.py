@@ -1,43 +1,73 @@
-"""Helpers shared by the corpus operators: shared storage, checked broadcasts, gapless ranks."""
+"""Helpers shared by the corpus operators: row ids, checked broadcasts, gapless ranks."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..storage import cut, shared_dir
+
+__all__ = ["cut", "shared_dir"]
 
 #: The white space of every word definition here: \x20 and \x09-\x0D.
 WS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A side of a join is broadcast only when a count has shown at most this many short rows.
-BROADCAST_ROWS = 400_000
-#: Rows of one key that a single task ranks or solves.
+#: A side of a join is broadcast only when its rows have been measured to be at most so large.
+BROADCAST_BYTES = 32 << 20
+#: Rows of one key that a single task ranks or solves, at least; their square root, if that is more.
 CHUNK = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a private one is set only where none is named."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
+def _long_fields(kind: T.DataType, at: str) -> list[str]:
+    """Paths of the strings and binaries in a row, whose length is not fixed."""
+    if isinstance(kind, T.StructType):
+        return [x for f in kind.fields for x in _long_fields(f.dataType, f"{at}.`{f.name}`" if at else f"`{f.name}`")]
+    return [at] if isinstance(kind, (T.StringType, T.BinaryType)) else []
+
+
+def fits(df: DataFrame) -> bool:
+    """Whether all rows of a materialised table of scalars together are small enough for every
+    executor: 16 bytes a column, 32 a row, and the bytes of strings and binaries."""
+    long_ = _long_fields(df.schema, "")
+    n, *sums = df.agg(F.count(F.lit(1)), *[F.sum(F.octet_length(F.col(c))) for c in long_]).first()
+    return n * (32 + 16 * len(df.columns)) + sum(s or 0 for s in sums) <= BROADCAST_BYTES
+
+
+def small(df: DataFrame, ok: bool | None = None) -> DataFrame:
+    """df with a broadcast hint if it fits (as measured here, unless `ok` says so already); else as
+    it is, for a join that shuffles."""
+    return F.broadcast(df) if (fits(df) if ok is None else ok) else df
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind as no column of df has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df once as a table in the shared folder and read it back: short lineage that
-    survives a lost executor, and no second computation as checkpoint() would make."""
-    at = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+def with_row_id(docs: DataFrame, name: str) -> DataFrame:
+    """docs and, in column `name`, what tells its rows apart in every scan: the file a row stands in
+    (hashed) and its place there, however files are split into tasks. What is no scan of files is
+    written out first, with its ids."""
+    if "_metadata" not in (c.lower() for c in docs.columns):
+        f, r = F.xxhash64(F.col("_metadata.file_path")), F.col("_metadata.row_index")
+        try:
+            return docs.withColumn(name, F.struct(f.alias("f"), r.alias("r")))
+        except AnalysisException:
+            pass
+    return cut(docs.withColumn(name, F.struct(F.lit(0).cast("long").alias("f"), F.monotonically_increasing_id().alias("r"))))
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if its counted rows allow it; else as it is (a shuffle join)."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def without_rows(docs: DataFrame, rid: str, gone: DataFrame) -> DataFrame:
+    """docs (with row ids in `rid`) without the rows whose ids are in the one column of `gone`."""
+    return docs.join(small(gone.toDF(rid)), rid, "left_anti").drop(rid)
 
 
 def lean_batches(spark: SparkSession) -> None:
@@ -64,12 +94,13 @@ def gapless_rank(df: DataFrame, key: str, tie: list[str], out: str, chunk: int =
     """Number the rows of each key 0, 1, 2, ... in column `out` without bringing a key together.
 
     The caller guarantees few distinct keys (at most a few thousand), so the table of counts is
-    small by construction. Each key is dealt by a hash of `tie` into chunks of about `chunk` rows;
-    a window numbers each chunk, and running sums of chunk counts give the offsets. Rows equal in
+    small by construction. Each key is dealt by a hash of `tie` into chunks of about `chunk` rows or
+    the square root of its rows, whichever is more; a window numbers each chunk, and running sums of
+    chunk counts give the offsets, so neither window sees more rows than that. Rows equal in
     `tie` are interchangeable. `df` should be materialised: it is read twice."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    # fixed number of salts for a key: its rows / chunk
-    salts = F.broadcast(counts.select(key, chunks_of(F.col("__n"), chunk).alias("__s")))
+    n = F.col("__n")
+    salts = F.broadcast(counts.select(key, F.ceil(n / F.greatest(F.lit(float(chunk)), F.sqrt(n))).cast("long").alias("__s")))
     dealt = df.join(salts, key).withColumn("__salt", F.pmod(F.xxhash64(*tie), F.col("__s"))).drop("__s")
     within = Window.partitionBy(key, "__salt").orderBy(*tie)
     before = Window.partitionBy(key).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)

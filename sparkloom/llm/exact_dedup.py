@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WS, cut, small
+from .common import WS, cut, fits, small, unused, with_row_id, without_rows
 
 PREFIX = 256
 
@@ -15,12 +15,34 @@ def normal(text: str | Column) -> Column:
     return F.translate(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), WS, "")
 
 
-def signatures(docs: DataFrame, digest: bool) -> DataFrame:
-    """One short row per document: __rid, doc_id, __n, __m (normalised length), __p (prefix hash)
-    and, if `digest`, text_sha256. Lengths come from the text without building other columns."""
+def settle(docs: DataFrame, rid: str, digest: bool) -> tuple[DataFrame, DataFrame]:
+    """For docs with row ids in `rid`: a short row (rid, doc_id, ...) of every document, and of those
+    that equal another rid, keep (the rid that stays), keep_id, group_size and text_sha256.
+
+    The first scan writes the short rows; with `digest` they hold the full hash of every text.
+    Without, only texts that share length and prefix hash with another are hashed, in a second scan
+    that finds them by their row ids. Where these ids are too many to broadcast, that scan hashes
+    every text rather than shuffle any, and the other hashes are dropped."""
     norm = normal("text")
-    cols = [F.monotonically_increasing_id().alias("__rid"), "doc_id", F.length(F.coalesce("text", F.lit(""))).alias("__n"), F.length(norm).alias("__m"), F.xxhash64(F.substring(norm, 1, PREFIX)).alias("__p")]
-    return docs.select(*cols, *([F.sha2(norm, 256).alias("text_sha256")] if digest else []))
+    rows = docs.select(F.col(rid).alias("rid"), "doc_id", "text")
+    cols = ["rid", "doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n"), F.length(norm).alias("m"), F.xxhash64(F.substring(norm, 1, PREFIX)).alias("p")]
+    sig = cut(rows.select(*cols, *([F.sha2(norm, 256).alias("text_sha256")] if digest else [])))
+    lengths = cut(sig.groupBy("m").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("m"))
+    alike = cut(sig.join(small(lengths), "m", "left_semi").groupBy("m", "p").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("m", "p"))
+    shared = sig.join(small(alike), ["m", "p"], "left_semi")
+    if not digest:
+        shared = cut(shared)
+        ids, sha = shared.select("rid"), F.sha2(norm, 256).alias("text_sha256")
+        if fits(ids):
+            hashed = cut(rows.join(F.broadcast(ids), "rid").select("rid", sha))
+        else:
+            hashed = cut(rows.select("rid", sha))
+        shared = shared.join(hashed, "rid")
+    same = ["m", "p", "text_sha256"]
+    best = F.min(F.struct(-F.col("n"), F.col("doc_id").isNull().alias("x"), "doc_id", "rid"))
+    # written out, so that the join sees its size: broadcast, or a join whose hot group can be split
+    groups = cut(shared.groupBy(*same).agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1").select(*same, F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep"), "group_size"))
+    return sig, shared.join(small(groups), same).select("rid", "keep", "keep_id", "group_size", "text_sha256")
 
 
 def exact_dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
@@ -28,59 +50,24 @@ def exact_dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
 
     Texts are equal when identical after white space is deleted. Stage 1 counts normalised lengths,
     stage 2 counts prefix hashes among documents that share a length, stage 3 compares SHA-256 of
-    whole texts among documents that share both. Full hashes are computed in the scan that finds
-    survivors again (survivor keys are broadcast if a count shows them few; beyond that every row
-    is hashed in the scan, so that texts are never shuffled). With `digest`, the caller wants the
-    hash of every row; it is then taken in the first scan and stage 3 only regroups.
+    whole texts among documents that share both (see `settle`).
 
-    Returns doc_id, keep_id, group_size, kept (and text_sha256 with `digest`), one row per input
-    row. Null text counts as empty; empty texts equal each other. Of equal texts the longest
-    original stays, then the smallest doc_id (null last); of rows that are equal in both, one.
-    Other columns of docs are ignored, whatever their names; an empty table gives an empty one."""
-    docs = docs.select("doc_id", "text")
-    sig = cut(signatures(docs, digest))
-    lengths = sig.groupBy("__m").agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1").select("__m")
-    lengths = cut(lengths)
-    shared = cut(sig.join(small(lengths, lengths.count()), "__m", "left_semi").groupBy("__m", "__p").agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1").select("__m", "__p", F.lit(True).alias("__hit")))
-    n = shared.count()
-    if digest:
-        rows = sig.join(F.broadcast(shared) if n <= BROADCAST_ROWS else shared, ["__m", "__p"], "left")
-    else:
-        norm = normal("text")
-        scan = docs.select(F.monotonically_increasing_id().alias("__rid"), "doc_id", "text", F.length(F.coalesce("text", F.lit(""))).alias("__n"), F.length(norm).alias("__m"), F.xxhash64(F.substring(norm, 1, PREFIX)).alias("__p"))
-        if n <= BROADCAST_ROWS:
-            scan = scan.join(F.broadcast(shared), ["__m", "__p"], "left")
-            rows = scan.withColumn("text_sha256", F.when(F.col("__hit"), F.sha2(normal("text"), 256))).drop("text")
-        else:
-            rows = scan.withColumn("text_sha256", F.sha2(normal("text"), 256)).drop("text").join(shared, ["__m", "__p"], "left")
-        rows = cut(rows)
-    same = ["__m", "__p", "text_sha256"]
-    best = F.min(F.struct(-F.col("__n"), F.col("doc_id").isNull().alias("x"), "doc_id", "__rid"))
-    groups = rows.filter("__hit").groupBy(*same).agg(best.alias("__k"), F.count(F.lit(1)).alias("group_size"))
-    # written out, so that the join sees its size: broadcast, or a join whose hot group can be split
-    groups = cut(groups.select(*same, F.col("__k.doc_id").alias("keep_id"), F.col("__k.__rid").alias("__keep"), "group_size").filter("group_size > 1"))
-    out = rows.join(small(groups, groups.count()), same, "left")
+    Returns doc_id, keep_id, group_size, kept and text_sha256, one row per input row; without
+    `digest` the hash is null for texts that equal no other. Null text counts as empty; empty texts
+    equal each other. Of equal texts the longest original stays, then the smallest doc_id (null
+    last); of rows that are equal in both, one. Other columns of docs are ignored, whatever their
+    names; an empty table gives an empty one."""
+    sig, twins = settle(with_row_id(docs.select("doc_id", "text"), "rid"), "rid", digest)
+    twins = cut(twins.drop("text_sha256") if digest else twins)
+    out = sig.join(small(twins), "rid", "left")
     alone = F.col("group_size").isNull()
-    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (alone | (F.col("__rid") == F.col("__keep"))).alias("kept"), "text_sha256")
+    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (alone | (F.col("rid") == F.col("keep"))).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that exact_dedup keeps, whole rows and columns as they came. Rows that agree
-    in doc_id and normalised text count as repeats of one, of which the longest text stays."""
-    verdict = cut(exact_dedup(docs, digest=True))
-    gone = verdict.filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    stay = verdict.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    n = gone.count()
-    on = [F.col("doc_id").eqNullSafe(F.col("__id")), F.col("__h") == F.col("__sha")]
-    hint = (lambda x: F.broadcast(x)) if n <= BROADCAST_ROWS else (lambda x: x)
-    rows = docs.withColumn("__h", F.sha2(normal("text"), 256))
-    clean = rows.join(hint(gone.distinct()), on, "left_anti").drop("__h")
-    twice = gone.distinct().join(stay, ["__id", "__sha"], "left_semi").filter("__id is not null")
-    nulls = gone.filter("__id is null").join(stay.filter("__id is null").select("__sha"), "__sha", "left_semi").select("__id", "__sha").distinct()
-    twice = cut(twice.unionByName(nulls))
-    if twice.isEmpty():
-        return clean
-    again = rows.join(hint(twice), on, "left_semi").withColumn("__n", F.length(F.coalesce("text", F.lit(""))))
-    key = again.select("__h", "doc_id", "__n", F.struct(*docs.columns).alias("__row"))
-    one = key.groupBy("doc_id", "__h").agg(F.max_by("__row", "__n").alias("__row"))
-    return clean.unionByName(one.select("__row.*"))
+    """The documents that exact_dedup keeps, whole rows and columns as they came, whatever the names
+    of other columns. Only texts that share length and prefix hash are hashed whole."""
+    (rid,) = unused(docs, "rid")
+    rows = with_row_id(docs, rid)
+    _, twins = settle(rows, rid, False)
+    return without_rows(rows, rid, cut(twins.filter(F.col("rid") != F.col("keep")).select("rid")))

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks_of, cut, n_words, small
+from .common import chunks_of, cut, n_words, small, unused, with_row_id
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -142,28 +142,30 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     draw like any other; null source is a source of its own, last in order; rows equal in
     doc_id, source and size are one unit and get equal copies. The draw depends only on values and
     `seed`. Other columns are ignored; an empty table gives an empty one."""
-    units, stats = plan_mix(docs, weights, share, cap, seed)
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    return _attach(rows, units)
+    rows = cut(sizes_of(docs))
+    return attach(rows, plan_mix(rows, weights, share, cap, seed))
 
 
-def _attach(rows: DataFrame, units: DataFrame) -> DataFrame:
-    n = units.count()
-    u = units.select(*[F.col(c).alias(f"__{c}") for c in units.columns])
-    on = [rows["doc_id"].eqNullSafe(u["__doc_id"]), rows["source"].eqNullSafe(u["__source"]), rows["size"] == u["__size"]]
-    joined = rows.join(small(u, n), on)
-    return joined.select("doc_id", "source", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"), (F.col("__copies") * F.col("size")).alias("taken"))
+def sizes_of(docs: DataFrame, *more) -> DataFrame:
+    return docs.select(*more, "doc_id", "source", n_words(F.col("text")).alias("size"))
 
 
-def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """The units (doc_id, source, size, source_size, target, copies), each a distinct triple of the
-    first three, and the source table."""
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+def attach(rows: DataFrame, units: DataFrame) -> DataFrame:
+    """rows (doc_id, source, size and others) with what their units hold, and taken."""
+    keys = ["doc_id", "source", "size"]
+    u = units.select(*[F.col(c).alias(f"unit_{c}") if c in keys else c for c in units.columns])
+    on = [F.col(c).eqNullSafe(F.col(f"unit_{c}")) for c in keys]
+    return rows.join(small(u), on).drop(*[f"unit_{c}" for c in keys]).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def plan_mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 17) -> DataFrame:
+    """Of materialised rows (doc_id, source, size) the units: doc_id, source, size, each triple once,
+    source_size, target and copies."""
     units = cut(rows.groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("m")))
     sources = cut(units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count(F.lit(1)).alias("__units")))
     goal = targets(sources.select("source", "source_size"), weights, share, cap)
     goal = cut(goal.join(sources.select(F.col("source").alias("__src"), "__units"), F.col("source").eqNullSafe(F.col("__src"))).drop("__src"))
-    g = small(goal.withColumnRenamed("source", "__src"), goal.count())
+    g = small(goal.withColumnRenamed("source", "__src"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     units = units.join(g, F.col("source").eqNullSafe(F.col("__src"))).drop("__src")
     key = F.xxhash64(F.lit(seed), "doc_id", "size")
@@ -173,7 +175,7 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
     decided = []
     open_, most = units, goal.agg(F.max("__units")).first()[0] or 0
     if most == 0:
-        return units.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("copies")), goal
+        return units.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("copies"))
     chunk = chunks_of(F.col("__units"), FLIGHT)
     while True:
         last = most <= FLIGHT
@@ -189,20 +191,21 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
         most = left.agg(F.max("__units")).first()[0]
         if not most:
             break
-        left = small(left.withColumnRenamed("source", "__src"), left.count())
+        left = small(left.withColumnRenamed("source", "__src"))
         open_ = rest.join(left, F.col("source").eqNullSafe(F.col("__src"))).drop("__src")
     out = decided[0]
     for x in decided[1:]:
         out = out.unionByName(x)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.round("p")).cast("long").alias("copies")), goal
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.round("p")).cast("long").alias("copies"))
 
 
 def take_mix(docs: DataFrame, **how) -> DataFrame:
-    """The mixed corpus: each document as often as `mix` takes it, columns as they came."""
-    units, _ = plan_mix(docs, **how)
-    units = cut(units.filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__src"), F.col("size").alias("__sz"), "copies").withColumnRenamed("copies", "__copies"))
-    rows = docs.withColumn("__size", n_words(F.col("text")))
-    on = [F.col("doc_id").eqNullSafe(F.col("__id")), F.col("source").eqNullSafe(F.col("__src")), F.col("__size") == F.col("__sz")]
-    picked = rows.join(small(units, units.count()), on)
-    again = F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))
-    return picked.withColumn("__again", again).select(*docs.columns)
+    """The mixed corpus: each document as often as `mix` takes it, columns as they came, whatever
+    the names of others than doc_id, source and text. Words are counted once; documents meet their
+    copies by row ids."""
+    rid, copies = unused(docs, "rid", "copies")
+    docs_ = with_row_id(docs, rid)
+    rows = cut(sizes_of(docs_, F.col(rid).alias("rid")))
+    taken = cut(attach(rows, plan_mix(rows, **how)).filter("copies > 0").select(F.col("rid").alias(rid), F.col("copies").cast("int").alias(copies)))
+    again = F.explode(F.sequence(F.lit(1), F.col(copies)))
+    return docs_.join(small(taken), rid).drop(rid).withColumn(copies, again).drop(copies)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, lean_batches, small
+from .common import cut, fits, lean_batches, small, unused, with_row_id, without_rows
 from .hashing import column_words, mix
 
 ROWS, BANDS = 6, 45
@@ -28,6 +28,10 @@ PERCENT = 80
 CROSSING = 8
 #: Members, and shingles of all members, that a block of a large bucket holds on average.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Edges of one node that meet its set in one piece.
+SPLIT = 1024
+#: A row's id: its file, hashed, and its place there.
+RID = "rid struct<f:bigint,r:bigint>"
 
 
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -115,17 +119,22 @@ def _sets(width: int):
     return run
 
 
-def with_row_id(docs: DataFrame) -> DataFrame:
-    """docs with __rid, a row's place in its scan: the same in every scan of the same files."""
-    return docs.withColumn("__rid", F.monotonically_increasing_id())
+def attach(edges: DataFrame, sets: DataFrame, end: str, name: str) -> DataFrame:
+    """The edges with the set of the node at one end. The edges of a node of many are dealt into
+    pieces by their other end, each of which meets a copy of its set."""
+    many = edges.groupBy(end).agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("pieces")).filter("pieces > 1")
+    many = cut(many)
+    hot = small(many)
+    dealt = edges.join(hot, end, "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("a", "b"), "pieces"), F.lit(0)).cast("int")).drop("pieces")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("pieces") - 1, F.lit(0)))).alias("piece")
+    held = sets.withColumnRenamed("node", end).join(hot, end, "left").select(end, F.col("set").alias(name), copies)
+    return dealt.join(held, [end, "piece"]).drop("piece")
 
 
 def confirm(edges: DataFrame, sets: DataFrame) -> DataFrame:
     """The edges (a, b) whose full sets reach PERCENT: 100 * both >= PERCENT * either."""
-    left = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    tested = edges.join(right, "b").join(left, "a")
+    tested = attach(attach(edges, sets, "b", "sb"), sets, "a", "sa")
     return tested.filter(both * 100 >= (F.size("sa") + F.size("sb") - both) * PERCENT).select("a", "b")
 
 
@@ -139,10 +148,9 @@ def components(links: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a")).toDF("a", "b")
         to = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p")))
-        hop = small(to.select(F.col("a").alias("p"), F.col("p").alias("q")), to.count())
-        to = cut(to.join(hop, "p").select("a", F.col("q").alias("p")))
-        n = to.count()
-        at = lambda c, d: small(to.select(F.col("a").alias(c), F.col("p").alias(d)), n)
+        ok = fits(to)
+        to = cut(to.join(small(to.select(F.col("a").alias("p"), F.col("p").alias("q")), ok), "p").select("a", F.col("q").alias("p")))
+        at = lambda c, d: small(to.select(F.col("a").alias(c), F.col("p").alias(d)), ok)
         if labels is None:
             labels = to.select(F.col("a").alias("node"), F.col("p").alias("comp"))
         else:
@@ -159,7 +167,7 @@ def stars(members: DataFrame, salt: int) -> DataFrame:
     comp = "comp" in members.columns
     order = F.struct(F.xxhash64(F.lit(salt), "node").alias("h"), "node", "n", *(["comp"] if comp else []))
     ends = cut(members.groupBy("key").agg(F.min(order).alias("c"), F.max(order).alias("z")))
-    ends = small(ends.withColumn("c", F.explode(F.array("c", "z"))).select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("cn"), *([F.col("c.comp").alias("ccomp")] if comp else [])), 2 * ends.count())
+    ends = small(ends.withColumn("c", F.explode(F.array("c", "z"))).select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("cn"), *([F.col("c.comp").alias("ccomp")] if comp else [])))
     pairs = members.join(ends, "key").filter("node <> centre")
     if comp:
         pairs = pairs.filter("comp <> ccomp")
@@ -212,7 +220,7 @@ def blocks(rows: DataFrame, sets: DataFrame) -> DataFrame:
     n_blocks = lambda c, w: F.ceil(F.greatest(c / BLOCK, w / BLOCK_SHINGLES))
     top = cut(whole.select("key", F.col("top.comp").alias("largest"), n_blocks(F.col("c") - F.col("top.c"), F.col("w") - F.col("top.w")).alias("others"), n_blocks(F.col("top.c"), F.col("top.w")).alias("own")))
     other, h = F.col("comp") != F.col("largest"), F.xxhash64("node")
-    dealt = rows.join(small(top, top.count()), "key").withColumn("block", F.when(other, F.pmod(h, "others")).otherwise(F.col("others") + F.pmod(h, "own")))
+    dealt = rows.join(small(top), "key").withColumn("block", F.when(other, F.pmod(h, "others")).otherwise(F.col("others") + F.pmod(h, "own")))
     last = F.when(other, F.col("others") + F.col("own")).otherwise(F.col("others")) - 1
     met = dealt.select("key", "node", "n", "comp", "block", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("x"))
     cells = met.select("key", F.least("block", "x").alias("s"), F.greatest("block", "x").alias("t"), "block", "node", "n", "comp")
@@ -230,15 +238,15 @@ def link(members: DataFrame, sets_of) -> DataFrame:
     round costs pairs linear in the members left; the blocks cost as many comparisons as pairs
     outside a bucket's largest component, but rows of only two members a BLOCK of them."""
     comps = cut(members.select("node").distinct().withColumn("comp", F.col("node")))
-    n = comps.count()
+    ok = fits(comps)
     tested, salt, exact = None, 0, False
     while True:
         if salt:
-            rows = members.join(small(comps, n), "node")
+            rows = members.join(small(comps, ok), "node")
             parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"))
             pairs = (F.col("m") * F.col("m") - F.col("s")) / 2
             mixed = cut(parts.filter(pairs > 0).select("key", (pairs > CROSSING * F.col("m")).alias("large")))
-            rows = cut(rows.join(small(mixed, mixed.count()), "key"))
+            rows = cut(rows.join(small(mixed), "key"))
             few, rows = rows.filter(~F.col("large")).drop("large"), rows.filter("large").drop("large")
             last = exact or rows.isEmpty()
             edges = crossing(few) if last else crossing(few).union(stars(rows, salt)).distinct()
@@ -251,10 +259,10 @@ def link(members: DataFrame, sets_of) -> DataFrame:
         if exact and not rows.isEmpty():
             found = cut(found.union(blocks(rows, sets_of(rows.select(F.col("node").alias("a"), F.col("node").alias("b"))))))
         if not found.isEmpty():
-            at = lambda c, d: small(comps.select(F.col("node").alias(c), F.col("comp").alias(d)), n)
+            at = lambda c, d: small(comps.select(F.col("node").alias(c), F.col("comp").alias(d)), ok)
             between = found if not salt else found.join(at("a", "x"), "a").join(at("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
             merged = components(between).toDF("comp", "to")
-            comps = cut(comps.join(small(merged, merged.count()), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+            comps = cut(comps.join(small(merged), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
         elif salt:
             exact = True
         if last:
@@ -262,43 +270,49 @@ def link(members: DataFrame, sets_of) -> DataFrame:
         salt += 1
 
 
-def near_dedup(docs: DataFrame, width: int = 2) -> DataFrame:
-    """Near-duplicate classes over sets of distinct `width`-word shingles (A-Z lower-cased).
-
-    Documents of equal sets are one node from the start, so groups of copies cost nothing more.
-    Returns __rid, doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept
-    (the row that stands for its component), one row per input row. Null, empty and blank texts
-    have empty sets: they link with nothing and stay. Of repeated rows one is kept; null doc_id
-    comes last in order. Other columns are ignored; an empty table gives an empty one."""
+def classes(docs: DataFrame, rid: str, width: int) -> DataFrame:
+    """near_dedup of docs with row ids in `rid`; the result has these too, as `rid`."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     lean_batches(docs.sparkSession)
-    scan = with_row_id(docs).select("__rid", "doc_id", "text")
-    base = cut(scan.mapInArrow(_sign(width), f"rid long, doc_id {kind}, n long, print binary, keys array<bigint>"))
+    scan = docs.select(F.col(rid).alias("rid"), "doc_id", "text")
+    base = cut(scan.mapInArrow(_sign(width), f"{RID}, doc_id {kind}, n long, print binary, keys array<bigint>"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "rid")).alias("rep")
-    some = base.filter("n > 0").groupBy("print").agg(first, F.max("n").alias("n"))
-    nodes = cut(some.select(F.monotonically_increasing_id().alias("node"), "print", "n", "rep"))
+    some = base.filter("n > 0").groupBy("print").agg(first, F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    nodes = cut(some.select(F.monotonically_increasing_id().alias("node"), "print", "n", "rep", "rows"))
     reps = nodes.select("node", F.col("rep.rid").alias("rid"))
-    banded = base.select("rid", "n", "keys").join(small(reps, nodes.count()), "rid").select("node", "n", F.explode("keys").alias("key"))
+    banded = base.select("rid", "n", "keys").join(small(reps), "rid").select("node", "n", F.explode("keys").alias("key"))
     shared = cut(banded.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"))
-    members = cut(banded.join(small(shared, shared.count()), "key"))
+    members = cut(banded.join(small(shared), "key"))
 
     def sets_of(edges: DataFrame) -> DataFrame:
         wanted = cut(edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct().join(reps, "node"))
-        rows = scan.select(F.col("__rid").alias("rid"), "text").join(small(wanted, wanted.count()), "rid").select("node", "text")
+        rows = scan.select("rid", "text").join(small(wanted), "rid").select("node", "text")
         return cut(rows.mapInArrow(_sets(width), "node long, set array<bigint>"))
 
     comps = link(members, sets_of)
-    labelled = cut(nodes.join(small(comps, comps.count()), "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-    best = cut(labelled.groupBy("comp").agg(F.min("rep").alias("best")))
-    verdict = cut(labelled.select("print", "comp").join(small(best, best.count()), "comp").select("print", "best"))
-    out = base.drop("keys").join(small(verdict, verdict.count()), "print", "left")
+    labelled = cut(nodes.join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    best = labelled.groupBy("comp").agg(F.min("rep").alias("best"), F.sum("rows").alias("size")).filter("size > 1")
+    best = cut(best.drop("size"))
+    verdict = cut(labelled.select("print", "comp").join(small(best), "comp").select("print", "best"))
+    out = base.drop("keys").join(small(verdict), "print", "left")
     alone = F.col("best").isNull()
-    return out.select(F.col("rid").alias("__rid"), "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"), (alone | (F.col("rid") == F.col("best.rid"))).alias("kept"))
+    return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"), (alone | (F.col("rid") == F.col("best.rid"))).alias("kept"))
+
+
+def near_dedup(docs: DataFrame, width: int = 2) -> DataFrame:
+    """Near-duplicate classes over sets of distinct `width`-word shingles (A-Z lower-cased).
+
+    Documents of equal sets are one node from the start, so groups of copies cost nothing more.
+    Returns doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept (the row
+    that stands for its component), one row per input row. Null, empty and blank texts have empty
+    sets: they link with nothing and stay. Of repeated rows one is kept; null doc_id comes last in
+    order. Other columns are ignored, whatever their names; an empty table gives an empty one."""
+    return classes(with_row_id(docs.select("doc_id", "text"), "rid"), "rid", width).drop("rid")
 
 
 def drop_near(docs: DataFrame, width: int = 5) -> DataFrame:
-    """One document of each near-duplicate component, rows and columns as they came. docs is to be
-    a table read from files: rows are met again by their place in its scan."""
-    gone = cut(near_dedup(docs, width).filter(~F.col("kept")).select("__rid"))
-    n = gone.count()
-    return with_row_id(docs).join(F.broadcast(gone) if n <= BROADCAST_ROWS else gone, "__rid", "left_anti").drop("__rid")
+    """One document of each near-duplicate component, whole rows and columns as they came, whatever
+    the names of other columns."""
+    (rid,) = unused(docs, "rid")
+    rows = with_row_id(docs, rid)
+    return without_rows(rows, rid, cut(classes(rows, rid, width).filter(~F.col("kept")).select("rid")))

@@ -198,7 +198,7 @@ def place(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     steps, _ = plan(histogram, capacity)
     table = spark.createDataFrame(steps, "length long, __rank long, __take long, __f long, __first long, __offset long")
     ranked = gapless_rank(rows, "length", ["doc_id", "piece", "ids_crc32"], "__r")
-    t = small(table.withColumnRenamed("length", "__len"), len(steps))
+    t = small(table.withColumnRenamed("length", "__len"))
     at = F.col("__r") - F.col("__rank")
     placed = ranked.join(t, (F.col("length") == F.col("__len")) & (at >= 0) & (at < F.col("__take")))
     return placed.select(*rows.columns, (F.col("__first") + F.pmod(at, F.col("__f"))).alias("sequence_id"), (F.col("__offset") + F.col("length") * F.floor(at / F.col("__f"))).cast("long").alias("offset"))
