@@ -1,18 +1,21 @@
-"""Byte-balanced shards by Karmarkar-Karp differencing over indivisible groups of equal texts."""
+"""Byte-balanced shards by Karmarkar-Karp differencing over indivisible groups of equal texts.
+
+Groups as large as a small fraction of a shard are differenced one by one, all others in bundles of
+about that size, so that whatever the corpus one list of bounded length spans large and small alike:
+what the large ones leave uneven, the small ones still level."""
 
 from __future__ import annotations
 
 import heapq
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks_of, cut, gapless_rank, small
+from .common import chunks_of, cut, gapless_rank
 
 OVERHEAD = 16
-UNITS = 2048
-PARTIALS = 128
+#: A unit of at least this fraction of a shard's fair share is differenced by itself.
+FRACTION = 200
 #: A group larger than a shard's fair share is cut into parts of this fraction of a share.
 PARTS_PER_SHARE = 16
 
@@ -55,48 +58,38 @@ def leaves(tree) -> list:
     return out
 
 
-def _units(k: int):
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bytes", "__h", "__part"], ascending=[False, True, True]).reset_index(drop=True)
-        slot = [0] * len(pdf)
-        for s, (_, tree) in enumerate(difference([[(float(b), i)] for i, b in enumerate(pdf["bytes"])], k)):
-            for i in leaves(tree):
-                slot[i] = s
-        return pdf.assign(slot=slot)[["__h", "__part", "bytes", "chunk", "slot"]]
-
-    return solve
-
-
-def _partials(k: int):
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["chunk", "slot"]).reset_index(drop=True)
-        parts = [[(float(b), i) for b, i in zip(g["bytes"], g.index)] for _, g in pdf.groupby("chunk", sort=True)]
-        slot = [0] * len(pdf)
-        for s, (_, tree) in enumerate(difference(parts, k)):
-            for i in leaves(tree):
-                slot[i] = s
-        return pdf.assign(to=slot)[["chunk", "slot", "bytes", "up", "to"]]
-
-    return solve
-
-
-def shard_units(units: DataFrame, k: int) -> DataFrame:
-    """units (__h, __part, bytes) -> __h, __part, shard. Units are dealt by hash into chunks of about
-    UNITS, each differenced to one partial partition of k sums; partial partitions are differenced
-    again, PARTIALS at a time, until one is left. Every task holds a bounded number of either."""
-    n = units.count()
-    chunk = F.pmod(F.xxhash64("__h", "__part"), F.lit(max(1, -(-n // UNITS))))
-    at = cut(units.withColumn("chunk", chunk).groupBy("chunk").applyInPandas(_units(k), "__h string, __part long, bytes long, chunk long, slot long"))
-    sums = at.groupBy("chunk", "slot").agg(F.sum("bytes").alias("bytes"))
-    chunks = max(1, -(-n // UNITS))
-    while chunks > 1:
-        up = -(-chunks // PARTIALS)
-        dealt = sums.withColumn("up", F.pmod(F.col("chunk"), F.lit(up)))
-        moved = cut(dealt.groupBy("up").applyInPandas(_partials(k), "chunk long, slot long, bytes long, up long, to long"))
-        at = at.join(small(moved.select("chunk", "slot", "up", "to"), chunks * k), ["chunk", "slot"]).select("__h", "__part", "bytes", F.col("up").alias("chunk"), F.col("to").alias("slot"))
-        sums = moved.groupBy(F.col("up").alias("chunk"), F.col("to").alias("slot")).agg(F.sum("bytes").alias("bytes"))
-        chunks = up
-    return at.select("__h", "__part", F.col("slot").cast("int").alias("shard"))
+def solve(sizes: list[int], k: int) -> list[int]:
+    """The shard of each size, by differencing all of them."""
+    out = [0] * len(sizes)
+    for s, (_, tree) in enumerate(difference([[(float(b), i)] for i, b in enumerate(sizes)], k)):
+        for i in leaves(tree):
+            out[i] = s
+    return out
+
+
+def plan(units: DataFrame, k: int) -> tuple[DataFrame, DataFrame, int]:
+    """Of units (__h, __part, bytes), materialised: a table of the large ones' shards (__h, __part,
+    __own), one of the bundles' (__bundle, __theirs), and the number of bundles.
+
+    A unit of a fair share / FRACTION or more is an item; smaller ones are dealt by hash into bundles
+    of about that size, which are items too. At any size of corpus there are at most k * FRACTION of
+    either; the driver takes their sizes and differences them. As bundles are small and of random
+    sizes, their differences shrink as far as those of single documents."""
+    spark = units.sparkSession
+    total = units.agg(F.sum("bytes")).first()[0] or 0
+    least = max(1, total // (k * FRACTION))
+    large = units.filter(F.col("bytes") >= least).select("__h", "__part", "bytes").collect()
+    rest = total - sum(r["bytes"] for r in large)
+    bundles = max(1, -(-rest // least))
+    sums = units.filter(F.col("bytes") < least).groupBy(bundle(bundles).alias("b")).agg(F.sum("bytes").alias("bytes")).collect()
+    items = sorted([(-r["bytes"], r["__h"], r["__part"]) for r in large] + [(-r["bytes"], "", r["b"]) for r in sums])
+    placed = [(h, n, s) for (_, h, n), s in zip(items, solve([-b for b, _, _ in items], k))]
+    own = spark.createDataFrame([x for x in placed if x[0]], "__h string, __part long, __own int")
+    return own, spark.createDataFrame([x[1:] for x in placed if not x[0]], "__bundle long, __theirs int"), bundles
+
+
+def bundle(bundles: int) -> Column:
+    return F.pmod(F.xxhash64("__h", "__part"), F.lit(bundles))
 
 
 def shard(docs: DataFrame, k: int = 40) -> DataFrame:
@@ -104,10 +97,12 @@ def shard(docs: DataFrame, k: int = 40) -> DataFrame:
 
     A group of equal texts is indivisible up to a shard's fair share of bytes; a larger one (at
     most k of them can exist) cannot be balanced whole and is dealt by a hash of doc_id into parts
-    of a fraction of a share. Texts meet by SHA-256; only hashes, sizes and ids are shuffled.
+    of a fraction of a share. Texts meet by SHA-256; only hashes and sizes are shuffled, pre-aggregated,
+    and ids once to number each shard.
 
     Returns doc_id, size (UTF-8 bytes + 16), text_crc32, law ('bytes'), shard, slot (gapless in
-    the shard) and grown_shard (null), one row per input row. Null text counts as empty; repeated
+    the shard), grown_shard (null) and group_parts (into how many parts the row's group of equal
+    texts was cut; 1: it is whole in its shard), one row per input row. Null text counts as empty; repeated
     rows are rows like others; other columns are ignored; an empty table gives an empty one."""
     text = F.coalesce("text", F.lit(""))
     rows = cut(docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("__h")))
@@ -116,8 +111,9 @@ def shard(docs: DataFrame, k: int = 40) -> DataFrame:
     groups = rows.groupBy("__h").agg(F.sum("size").alias("bytes"))
     large = cut(groups.filter(F.col("bytes") > share).select("__h", chunks_of(F.col("bytes"), max(1, share / PARTS_PER_SHARE)).alias("__parts")))
     rows = rows.join(F.broadcast(large), "__h", "left")  # fewer than k rows: each has over 1/k of all bytes
-    rows = rows.withColumn("__part", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("__parts")), F.lit(0))).drop("__parts")
-    units = cut(rows.groupBy("__h", "__part").agg(F.sum("size").alias("bytes")))
-    placed = cut(rows.join(shard_units(units, k), ["__h", "__part"]).select("doc_id", "size", "text_crc32", "shard"))
+    rows = cut(rows.withColumn("__part", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("__parts")), F.lit(0))))
+    own, theirs, bundles = plan(cut(rows.groupBy("__h", "__part").agg(F.sum("size").alias("bytes"))), k)
+    rows = rows.join(F.broadcast(own), ["__h", "__part"], "left").withColumn("__bundle", bundle(bundles)).join(F.broadcast(theirs), "__bundle", "left")
+    placed = cut(rows.select("doc_id", "size", "text_crc32", F.coalesce("__own", "__theirs").alias("shard"), F.coalesce("__parts", F.lit(1)).cast("long").alias("group_parts")))
     ranked = gapless_rank(placed, "shard", ["doc_id", "size", "text_crc32"], "slot")
-    return ranked.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return ranked.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "group_parts")
