@@ -13,15 +13,10 @@ from pyspark.sql import functions as F
 from .common import WS, cut
 
 WINDOW = 8
-STEPS = 25
-#: The prior belief in a vote.
-TRUST = 0.95
-LETTERS_UP, LETTERS_LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def without(c: Column, chars: str) -> Column:
-    """How many characters of c are among chars."""
-    return (F.length(c) - F.length(F.translate(c, chars, ""))).cast("long")
+STEPS = 100
+#: The prior belief: the share of good documents, how often a rule that votes on a good one says
+#: good, and how often it says so on a bad one. Each counts as much as PRIOR documents, of any corpus.
+GOOD, SAYS_GOOD, SAYS_BAD, PRIOR = 0.9, 0.95, 0.4, 20.0
 
 
 def split_words(text: Column) -> Column:
@@ -29,20 +24,19 @@ def split_words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
 
 
-def windows(words: Column) -> Column:
-    """64-bit hashes of all WINDOW-word windows."""
-    h = F.transform(words, lambda w: F.xxhash64(w))
-    return F.when(F.size(words) < WINDOW, F.array().cast("array<bigint>")).otherwise(h)
-
-
 def add_repeats(rows: DataFrame) -> DataFrame:
-    """From __w, the words, add n_repeat_words: words inside WINDOW-word windows that occur twice or
-    more in the text. Sorted (hash, place) pairs, made only where the hashes are not all distinct,
-    show the repeated places; each covers up to the next one. A column at each step, so that no
-    expression is evaluated again inside a lambda."""
+    """From __w, the words, add __hashes of them and n_repeat_words: words inside WINDOW-word windows that occur twice or
+    more in the text. A window's hash is made of those of its halves, and these of theirs. Sorted
+    (hash, place) pairs, made only where the hashes are not all distinct, show the repeated places;
+    each covers up to the next one. A column at each step, so that no expression is evaluated again
+    inside a lambda."""
     none = F.array().cast("array<struct<h:bigint,i:int>>")
-    step = rows.withColumn("__h", windows(F.col("__w")))
-    step = step.withColumn("__win", F.transform(F.slice("__h", F.lit(1), F.greatest(F.size("__h") - (WINDOW - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(F.col("__h"), i + k) for k in range(1, WINDOW)])))
+    step = rows.withColumn("__hashes", F.transform("__w", lambda w: F.xxhash64(w)))
+    step, width = step.withColumn("__win", F.col("__hashes")), 1
+    while width < WINDOW:
+        kept = F.greatest(F.size("__win") - width, F.lit(0))
+        step = step.withColumn("__win", F.zip_with(F.slice("__win", F.lit(1), kept), F.slice("__win", F.lit(width + 1), kept), lambda a, b: F.xxhash64(a, b)))
+        width *= 2
     pairs = F.sort_array(F.transform("__win", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     step = step.withColumn("__pairs", F.when(F.size(F.array_distinct("__win")) == F.size("__win"), none).otherwise(pairs))
     near = lambda x, k: F.coalesce(F.get(F.col("__pairs"), k)["h"] == x["h"], F.lit(False))
@@ -53,36 +47,48 @@ def add_repeats(rows: DataFrame) -> DataFrame:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id and the features, from one scan of the whole texts. A filter that also asks for the row
-    number keeps the optimiser from moving filters below the features, which would repeat all their expressions."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("__t"))
+    """doc_id and the features, from one scan of the whole texts."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__t"))
     rows = rows.withColumn("__w", split_words(F.col("__t")))
-    lines = F.filter(F.split("__t", "\n"), lambda x: F.btrim(x, F.lit(WS)) != "")
-    rows = rows.withColumn("__lines", lines)
+    rows = rows.withColumn("__lines", F.filter(F.split("__t", "\n"), lambda x: F.btrim(x, F.lit(WS)) != ""))
     rows = add_repeats(rows)
     t = F.col("__t")
-    return rows.select("doc_id", F.size("__w").cast("long").alias("n_words"), (F.length(t) - F.length(F.translate(t, WS, ""))).alias("__ws"), F.length(t).alias("__len"), without(t, "#*$%&|<>").alias("n_symbols"), (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"), F.size("__lines").cast("long").alias("n_lines"), "n_repeat_words", without(t, LETTERS_UP).alias("n_upper"), without(t, LETTERS_LOW).alias("n_lower"), (F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))).cast("long").alias("n_bangs"), (F.length(t) - F.length(F.replace(t, F.lit("|"), F.lit("")))).cast("long").alias("n_bars"), F.size(F.array_distinct("__w")).cast("long").alias("n_distinct"), F.monotonically_increasing_id().alias("__barrier")).withColumn("word_chars", (F.col("__len") - F.col("__ws")).cast("long")).drop("__ws", "__len")
+    count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("long")
+    found = {
+        "n_words": F.size("__w").cast("long"),
+        "word_chars": F.length(F.array_join("__w", "")).cast("long"),
+        "n_symbols": count(r"[#*$%&|<>]"),
+        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+        "n_lines": F.size("__lines").cast("long"),
+        "n_repeat_words": F.col("n_repeat_words"),
+        "n_upper": count("[A-Z]"),
+        "n_marks": count(r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]"),
+        "n_ends": count(r"[.!?](?![^\x20\x09-\x0D])"),
+        "n_bars": (F.length(t) - F.length(F.replace(t, F.lit("|"), F.lit("")))).cast("long"),
+        "n_distinct": F.size(F.array_distinct("__hashes")).cast("long"),
+    }
+    return rows.select("doc_id", *[v.alias(k) for k, v in found.items()])
 
 
 def votes() -> dict[str, Column]:
-    """Rule name -> -1 (bad), 1 (good) or 0 (abstains)."""
+    """Rule name -> -1 (bad), 1 (good) or 0 (abstains). Every rule votes either way; between its two
+    bounds, or where a text is too short to tell, it abstains."""
 
-    def rule(bad: Column, good: Column | None = None) -> Column:
-        vote = F.when(bad, F.lit(-1))
-        return (vote if good is None else vote.when(good, F.lit(1))).otherwise(F.lit(0)).cast("tinyint")
+    def rule(bad: Column, good: Column, on: Column | None = None) -> Column:
+        vote = F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0))
+        return (vote if on is None else F.when(on, vote).otherwise(F.lit(0))).cast("tinyint")
 
-    n, c = F.greatest(F.col("n_words"), F.lit(1)), F.col
-    letters = F.greatest(c("n_upper") + c("n_lower"), F.lit(1))
+    n, chars, c = F.col("n_words"), F.col("word_chars"), F.col
     return {
-        "v_prose": rule((c("word_chars") > n * 14) | (c("word_chars") < n * 2), (n >= 50) & (c("word_chars") <= n * 10) & (c("n_upper") * 4 < letters)),
-        "v_repeats": rule(c("n_repeat_words") * 100 > 25 * n),
-        "v_symbols": rule(c("n_symbols") * 5 > n),
-        "v_lines": rule((c("n_dup_lines") >= 3) & (c("n_dup_lines") * 10 > c("n_lines") * 3)),
-        "v_upper": rule(c("n_upper") * 2 > letters),
-        "v_bangs": rule(c("n_bangs") * 5 > n),
-        "v_bars": rule(c("n_bars") * 5 > n),
-        "v_distinct": rule((n >= 50) & (c("n_distinct") * 12 < n) & (n < 2000)),
+        "v_length": rule((chars * 2 > n * 15) | (chars < n * 3), (chars * 2 <= n * 13) & (chars * 2 >= n * 7)),
+        "v_symbols": rule(c("n_symbols") * 4 > n, c("n_symbols") * 50 <= n),
+        "v_marks": rule(c("n_marks") * 7 > chars, c("n_marks") * 14 <= chars),
+        "v_ends": rule((c("n_ends") * 40 < n) | (c("n_ends") * 3 > n), (c("n_ends") * 30 >= n) & (c("n_ends") * 4 <= n), n >= 40),
+        "v_upper": rule(c("n_upper") * 2 > chars, c("n_upper") * 6 <= chars),
+        "v_lines": rule((c("n_dup_lines") >= 2) & (c("n_dup_lines") * 10 > c("n_lines") * 3), c("n_dup_lines") * 10 <= c("n_lines"), c("n_lines") >= 3),
+        "v_repeats": rule(c("n_repeat_words") * 5 > n, c("n_repeat_words") * 20 <= n, n >= 50),
+        "v_bars": rule(c("n_bars") * 5 > n, c("n_bars") * 50 <= n),
+        "v_variety": rule(c("n_distinct") * c("n_distinct") < 9 * n, c("n_distinct") * c("n_distinct") > 16 * n, n >= 50),
     }
 
 
@@ -91,31 +97,32 @@ def logit(p: float) -> float:
 
 
 def log_odds(model: dict) -> Column:
-    """Log odds of good against bad, for a row with the vote columns. A vote moves them from the
-    prior towards the vote's own estimated rate of good documents; who abstains moves nothing."""
-    prior = logit(model["good"])
-    total = F.lit(prior)
-    for name, (bad_vote, good_vote) in model["rules"].items():
-        total = total + F.when(F.col(name) < 0, F.lit(logit(bad_vote) - prior)).when(F.col(name) > 0, F.lit(logit(good_vote) - prior)).otherwise(F.lit(0.0))
+    """Log odds of good against bad, for a row with the vote columns: the prior's, and for each vote
+    the log ratio of its likelihoods in good and bad documents. Who abstains adds nothing."""
+    total = F.lit(logit(model["good"]))
+    for name, (good, bad) in model["rules"].items():
+        total = total + F.when(F.col(name) > 0, F.lit(math.log(good / bad))).when(F.col(name) < 0, F.lit(math.log((1 - good) / (1 - bad)))).otherwise(F.lit(0.0))
     return total
 
 
 def fit(patterns: DataFrame, names: list[str], steps: int = STEPS) -> dict:
     """Expectation-maximisation over the vote patterns (vote columns and n).
 
-    The model has the share of good documents and, for each rule and vote, the share of good
-    documents among those it so votes on (its accuracy). Votes count as independent. A rule whose
-    bad votes no other rule confirms leaves its accuracy undetermined, so each vote has a prior of
-    as many documents as it is cast on, of which TRUST agree. An empty table keeps the prior."""
-    model: dict = {"good": 0.9, "rules": dict.fromkeys(names, (1 - TRUST, TRUST))}
+    The model has the share of good documents and, for each rule, how often it votes good on good
+    documents and on bad ones, given that it votes; votes count as independent within a class, and
+    whether a rule votes as told by neither. The prior belief is worth PRIOR documents in each of
+    these, so a corpus of some thousand documents overrules it. An empty table keeps the prior."""
+    model: dict = {"good": GOOD, "rules": dict.fromkeys(names, (SAYS_GOOD, SAYS_BAD))}
+    q, n = F.col("__q"), F.col("n")
+    cells = [F.sum(F.when(F.col(v).isin(*which), n * part)) for v in names for part in (q, 1 - q) for which in ((1,), (-1, 1))]
     for _ in range(steps):
         post = 1 / (1 + F.exp(-log_odds(model)))
-        cells = [F.sum(F.when(F.col(v) == x, y)) for v in names for x in (-1, 1) for y in (F.col("n") * F.col("__q"), F.col("n"))]
-        good, all_, *rest = patterns.withColumn("__q", post).agg(F.sum(F.col("n") * F.col("__q")), F.sum("n"), *cells).first()
+        good, all_, *sums = patterns.withColumn("__q", post).agg(F.sum(n * q), F.sum("n"), *cells).first()
         if not all_:
             break
-        rates = [((agree or 0.0) + (cast or 0.0) * belief + belief) / (2 * (cast or 0.0) + 1) for agree, cast, belief in zip(rest[::2], rest[1::2], [1 - TRUST, TRUST] * len(names))]
-        new = {"good": min(0.99, max(0.5, (good + 0.9) / (all_ + 1))), "rules": dict(zip(names, zip(rates[::2], rates[1::2])))}
+        rate = lambda said, cast, belief: ((said or 0.0) + PRIOR * belief) / ((cast or 0.0) + PRIOR)
+        rules = {v: (rate(*sums[4 * i : 4 * i + 2], SAYS_GOOD), rate(*sums[4 * i + 2 : 4 * i + 4], SAYS_BAD)) for i, v in enumerate(names)}
+        new = {"good": rate(good, all_, GOOD), "rules": rules}
         moved = max(abs(a - b) for v in names for a, b in zip(new["rules"][v], model["rules"][v]))
         model = new
         if moved < 1e-4:
@@ -128,35 +135,36 @@ def failed() -> Column:
     return (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
 
 
+def voted(rows: DataFrame) -> DataFrame:
+    """Features with the votes and base_failed."""
+    return rows.select("*", *[v.alias(k) for k, v in votes().items()], failed().alias("base_failed"))
+
+
 def fit_rows(rows: DataFrame) -> dict:
-    """The model of the documents that pass the base rule. rows: features and votes."""
+    """The model of the documents that pass the base rule. rows: votes and base_failed."""
     rules = list(votes())
-    return fit(cut(rows.filter(~failed()).groupBy(*rules).agg(F.count(F.lit(1)).alias("n"))), rules)
+    return fit(cut(rows.filter("not base_failed").groupBy(*rules).agg(F.count(F.lit(1)).alias("n"))), rules)
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """Score documents by weighed votes: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, the votes, quality (posterior) and kept, a row per document.
+    n_repeat_words, base_failed, kept, the votes and quality (the posterior), a row per document.
 
     base_failed (under 20 words, or over 30 % of words in repeated windows) always rejects; else a
     document is kept if its posterior is at least 0.5. Null text counts as empty and fails the
     base; repeated rows are judged alike; other columns are ignored; an empty table gives an empty
     one. Features are written once to the shared folder (a few numbers a document) and read for
     the patterns and for the verdicts."""
-    rules = votes()
-    rows = features(docs)
-    rows = cut(rows.drop("__barrier").select("*", *[v.alias(k) for k, v in rules.items()]))
-    quality = 1 / (1 + F.exp(-log_odds(fit_rows(rows))))
-    rows = rows.withColumn("base_failed", failed()).withColumn("quality", quality)
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("quality") >= 0.5)).alias("kept"), *rules, "quality")
+    rows = cut(voted(features(docs)))
+    rows = rows.withColumn("quality", 1 / (1 + F.exp(-log_odds(fit_rows(rows)))))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("quality") >= 0.5)).alias("kept"), *votes(), "quality")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents `judge` keeps, rows and columns as they came. The fitted model is a few
-    numbers, so verdicts are taken from each row itself in a second scan, without a join."""
-    rules = [v.alias(k) for k, v in votes().items()]
-    seen = cut(features(docs).select("n_words", "n_repeat_words", *rules))
-    model = fit_rows(seen)
-    rows = docs.select("text", F.struct(*docs.columns).alias("doc_id"))  # the row rides along in place of its id
-    judged = features(rows).select("doc_id", "n_words", "n_repeat_words", "__barrier", *rules)
-    return judged.filter((F.col("__barrier") >= 0) & ~failed() & (log_odds(model) >= 0)).select("doc_id.*")
+    """The documents `judge` keeps, rows and columns as they came, whatever their names. One scan
+    writes rows and votes to the shared folder; the model is fitted on the votes alone, and the
+    verdicts filter what was written."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = voted(features(docs.select(whole.alias("doc_id"), "text")))  # the row rides along in place of its id
+    seen = cut(rows.select("doc_id", *votes(), "base_failed"))
+    return seen.filter(~F.col("base_failed") & (log_odds(fit_rows(seen)) >= 0)).select("doc_id.*")
