@@ -11,18 +11,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lower_az
-from .license_rules import rules
+from .common import cut
+from .license_rules import gate_word, rules
 
 #: Base phrases and their labels.
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LEVELS = 4
+#: The two characters beyond A-Z whose lower case has an ASCII letter, and stand-ins without one.
+ODD = [("\u0130", "\u0131"), ("\u212a", "\u0138")]
 
 
 def canonical(text: Column) -> Column:
-    """' w1 w2 ... wn ': lower-cased A-Z, words apart by single spaces, one at either end."""
-    return F.regexp_replace(F.concat(F.lit(" "), lower_az(F.coalesce(text, F.lit(""))), F.lit(" ")), SEPARATOR, " ")
+    """' w1 w2 ... wn ': lower case, words apart by single spaces, one at either end. Other letters
+    than A-Z are lower-cased too, which moves no word: none of them becomes an ASCII letter."""
+    plain = F.coalesce(text, F.lit(""))
+    for odd, other in ODD:
+        plain = F.replace(plain, F.lit(odd), F.lit(other))
+    return F.regexp_replace(F.concat(F.lit(" "), F.lower(plain), F.lit(" ")), SEPARATOR, " ")
 
 
 def places(canon: Column, words: Column, phrase: str) -> Column:
@@ -33,34 +39,50 @@ def places(canon: Column, words: Column, phrase: str) -> Column:
     return F.when(F.contains(canon, F.lit(f" {phrase} ")), F.filter(marks, lambda x: x.isNotNull())).otherwise(F.array().cast("array<int>"))
 
 
-def gates() -> Column:
-    """An array literal of keywords, each with the rules it opens."""
+def opened(c: str, words: str) -> Column:
+    """(rule, its matches) of every rule whose keyword is in column c and that matches. Each pattern
+    is a literal, so it is compiled once, and tried only on texts with its keyword; that is looked
+    for only if its longest word is among `words`. Written as SQL, which is parsed in one go."""
     by: dict[str, list] = {}
-    for i, (p, label, keyword, pattern, w) in enumerate(rules()):
-        by.setdefault(keyword, []).append((i, p, label, rf"(?<= )(?:{pattern})(?= )", w))
-    rule = lambda r: F.struct(F.lit(r[0]).alias("id"), F.lit(r[1]).alias("prio"), F.lit(r[2]).alias("label"), F.lit(r[3]).alias("pattern"), F.lit(r[4]).alias("weight"))
-    return F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*map(rule, rs)).alias("rules")) for k, rs in by.items()])
+    for i, (_, _, keyword, pattern, _) in enumerate(rules()):
+        by.setdefault(keyword, []).append(f"named_struct('id', {i}, 'hits', regexp_extract_all({c}, r'(?<= )(?:{pattern})(?= )', 0))")
+    there = lambda k: " OR ".join(f"array_contains({words}, '{gate_word(x)}') AND contains({c}, ' {x} ')" for x in k.split("|"))
+    groups = ", ".join(f"CASE WHEN {there(k)} THEN array({', '.join(tried)}) END" for k, tried in by.items())
+    return F.expr(f"filter(flatten(filter(array({groups}), g -> g IS NOT NULL)), r -> size(r.hits) > 0)")
 
 
 def matches(docs: DataFrame) -> DataFrame:
     """One scan: doc_id, __rid, n_words, __places (an array for each base phrase) and __hits, every
-    match of every opened rule as (rule, k-th, characters before it since the last match, length)."""
+    match of every opened rule as (rule, first character, one past its last, its first word, words).
+
+    A text is searched for keywords only where it has a word of theirs. A match's place is
+    where its text next stands as whole words: patterns look no further than their own ends, so
+    there is none before it."""
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("__rid"), canonical(F.col("text")).alias("__c"))
-    c = F.col("__c")
-    base = reduce(lambda a, b: a | b, [F.contains(c, F.lit(f" {p} ")) for p, _ in BASE])
-    rows = rows.withColumn("__w", F.when(base, F.split(F.btrim("__c"), " ")).otherwise(F.array().cast("array<string>")))
-    opened = F.flatten(F.transform(F.filter(gates(), lambda g: F.contains(c, g["keyword"])), lambda g: g["rules"]))
-    rows = rows.withColumn("__rules", opened)
+    c, w = F.col("__c"), F.col("__w")
+    rows = rows.withColumn("__w", F.when(F.length(F.btrim(c)) > 0, F.split(F.btrim(c), " ")).otherwise(F.array().cast("array<string>")))
+    none = F.array().cast("array<struct<id:int,hits:array<string>>>")
+    gates = F.array(*map(F.lit, sorted({gate_word(k) for r in rules() for k in r[2].split("|")})))
+    rows = rows.withColumn("__gates", F.array_intersect(gates, w))
+    rows = rows.withColumn("__rules", F.when(F.size("__gates") > 0, opened("__c", "__gates")).otherwise(none))
+    spaces_in = lambda x: (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))).cast("int")
+    empty = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("starts"))
 
     def found(r: Column) -> Column:
-        hits, pieces = F.regexp_extract_all(c, r["pattern"], F.lit(0)), F.split(c, r["pattern"])
-        spans = F.zip_with(pieces, hits, lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("len"), (F.length(b) - F.length(F.replace(b, F.lit(" "), F.lit(""))) + 1).alias("words"), (F.length(a) - F.length(F.replace(a, F.lit(" "), F.lit("")))).alias("before")))
-        spans = F.filter(spans, lambda s: s["len"].isNotNull())
-        return F.transform(spans, lambda s, k: F.struct(r["id"].alias("id"), r["prio"].alias("prio"), r["label"].alias("label"), r["weight"].alias("weight"), k.alias("k"), s["gap"].alias("gap"), s["len"].alias("len"), s["before"].alias("before"), s["words"].alias("words")))
+        def step(acc, hit):
+            at = F.call_function("locate", F.concat(F.lit(" "), hit, F.lit(" ")), c, acc["at"])
+            return F.struct((at + F.length(hit) + 1).alias("at"), F.array_append(acc["starts"], at).alias("starts"))
+
+        starts = F.aggregate(r["hits"], empty, step, lambda acc: acc["starts"])
+        return F.zip_with(r["hits"], starts, lambda h, s: F.struct(r["id"].alias("id"), s.alias("start"), (s + F.length(h)).alias("end"), (spaces_in(F.substr(c, F.lit(1), s)) - 1).alias("first_word"), (spaces_in(h) + 1).alias("words")))
 
     rows = rows.withColumn("__hits", F.flatten(F.transform("__rules", found)))
-    spaces = F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
-    return rows.select("doc_id", "__rid", F.greatest(spaces - 1, F.lit(0)).cast("long").alias("n_words"), F.array(*[places(c, F.col("__w"), p) for p, _ in BASE]).alias("__places"), "__hits")
+    return rows.select("doc_id", "__rid", F.size(w).cast("long").alias("n_words"), F.array(*[places(c, w, p) for p, _ in BASE]).alias("__places"), "__hits")
+
+
+def of_rule(id_: str) -> Column:
+    """prio, label and weight of the rule in column id_: a literal table."""
+    return F.expr("get(array(" + ", ".join(f"named_struct('prio', {p}, 'label', '{label}', 'weight', {w}D)" for p, label, _, _, w in rules()) + f"), {id_})")
 
 
 def detections(found: DataFrame) -> DataFrame:
@@ -68,14 +90,11 @@ def detections(found: DataFrame) -> DataFrame:
     n_words, kept. A match is suppressed by one that contains it with a better priority, or with
     the same priority if that is longer or its rule comes first."""
     hits = found.filter(F.size("__hits") > 0).select("__rid", F.explode("__hits").alias("h")).select("__rid", "h.*")
-    before = Window.partitionBy("__rid", "id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.col("gap") + F.col("len")).over(before), F.lit(0)) + F.col("gap")
-    # spaces before a match end words before it; the first space of the text ends none
-    word = F.coalesce(F.sum(F.col("before") + F.col("words") - 1).over(before), F.lit(0)) + F.col("before") - 1
-    at = hits.repartition("__rid").withColumn("start", start).withColumn("first_word", word).withColumn("end", F.col("start") + F.col("len"))
+    hits = hits.withColumn("r", of_rule("id")).select("*", "r.*").drop("r")
+    at = hits.repartition("__rid")
     earlier = Window.partitionBy("__rid").orderBy("start", F.desc("end"), "prio", "id").rowsBetween(Window.unboundedPreceding, -1)
     inside = reduce(lambda a, b: a | b, [(F.col("prio") >= p) & (F.coalesce(F.max(F.when(F.col("prio") == p, F.col("end"))).over(earlier), F.lit(-1)) >= F.col("end")) for p in range(1, LEVELS + 1)])
-    return at.select("__rid", "id", "label", "weight", "start", "end", F.col("first_word").cast("long"), F.col("words").cast("long").alias("n_words"), (~inside).alias("kept"))
+    return at.select("__rid", "id", "label", "weight", "start", "end", F.col("first_word").cast("long").alias("first_word"), F.col("words").cast("long").alias("n_words"), (~inside).alias("kept"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
