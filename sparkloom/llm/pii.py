@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import lean_batches
 
@@ -27,6 +28,11 @@ _HEAD = r"(?:\s{0,2}(?:number|no\.?|id|key|code))?\s{0,3}[:=#]?\s{0,3}[\"']?"
 _BEFORE_RUN = re.compile(_HEAD + r"(?=[A-Za-z0-9][A-Za-z0-9_-]{5})")
 _BEFORE_GROUP = re.compile(_HEAD + r"(?=[A-Za-z0-9])")
 _RUN = re.compile(r"[A-Za-z0-9_-]+")
+#: Tokens go on over the marks of base64, of three-part tokens and of paths, but don't end on a stop.
+_TOKEN = re.compile(r"[A-Za-z0-9_-]+(?:[./+=]+[A-Za-z0-9_-]+)*=*")
+_SSN = re.compile(r"([0-9]{3})[- ]?([0-9]{2})[- ]?([0-9]{4})(?![A-Za-z0-9_-])")
+_ROUTING = re.compile(r"[0-9]{9}(?![A-Za-z0-9_-])")
+_PASSPORT = re.compile(r"[A-Za-z]{0,2}[0-9]{5,9}[A-Za-z]?(?![A-Za-z0-9_-])")
 _IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]){11,30}")
 _GROUPS = re.compile(r"[0-9]{2,5}(?:\x20[0-9]{2,}(?![A-Za-z0-9_-]))+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -38,9 +44,8 @@ def luhn(digits: str) -> bool:
     return (total + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])) % 10 == 0
 
 
-def printed(text: str, at: int) -> int:
-    """End of an account identifier in printed groups at `at`, or 0: an IBAN whose checksum holds,
-    or groups of two digits or more, six at least together, the first of at most five."""
+def iban(text: str, at: int) -> int:
+    """End of an IBAN at `at`, plain or in printed groups, whose checksum holds; else 0."""
     if m := _IBAN.match(text, at):
         for stop in range(m.end(), at + 14, -1):
             if text[stop : stop + 1].isalnum() or text[stop - 1] == " ":
@@ -48,9 +53,40 @@ def printed(text: str, at: int) -> int:
             code = text[at:stop].replace(" ", "").upper()
             if len(code) >= 15 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
                 return stop
+    return 0
+
+
+def ssn(text: str, at: int) -> int:
+    """End of a social security number: 3, 2 and 4 digits, of an area, group and serial in use."""
+    m = _SSN.match(text, at)
+    return m.end() if m and m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000" else 0
+
+
+def routing(text: str, at: int) -> int:
+    """End of a bank's routing number: nine digits whose sum by weights 3, 7, 1 is divisible by 10."""
+    m = _ROUTING.match(text, at)
+    return m.end() if m and sum(int(d) * w for d, w in zip(m[0], (3, 7, 1) * 3)) % 10 == 0 else 0
+
+
+def passport(text: str, at: int) -> int:
+    """End of a passport number: five to nine digits, at most two letters before and one behind."""
+    m = _PASSPORT.match(text, at)
+    return m.end() if m and 6 <= len(m[0]) <= 11 else 0
+
+
+def account(text: str, at: int) -> int:
+    """End of an account number: an IBAN, groups of two digits or more, six at least together, the
+    first of at most five, or a run of six letters and digits or more with four digits."""
+    if stop := iban(text, at):
+        return stop
     if (m := _GROUPS.match(text, at)) and sum(c != " " for c in m[0]) >= 6:
         return m.end()
-    return 0
+    m = _RUN.match(text, at)
+    return m.end() if m and len(m[0]) >= 6 and sum(c in "0123456789" for c in m[0]) >= 4 else 0
+
+
+#: What reads the identifier behind a cue; `account` behind all others of its kind.
+PARSERS = {"iban": iban, "ssn": ssn, "routing": routing, "passport": passport}
 
 
 def automaton():
@@ -63,9 +99,9 @@ def automaton():
     auto.add_word("://", ("s", 3))
     for d in "0123456789":
         auto.add_word(d, ("d", 1))
-    for cue, kind in CUES.items():
+    for cue in CUES:
         for form in {cue, cue.title(), cue.upper(), cue.capitalize()}:
-            auto.add_word(form, (kind, len(form)))
+            auto.add_word(form, (cue, len(form)))
     auto.make_automaton()
     return auto
 
@@ -116,17 +152,22 @@ def find(text: str, auto) -> dict[str, list[tuple[int, int]]]:
                 if stop > last + 1:
                     end["url"] = stop
                     out["url"].append((start, stop))
-        elif at >= end[what] and not (at and text[at - 1].isalnum()):
-            if what == "account" and (m := _BEFORE_GROUP.match(text, last + 1)) and (stop := printed(text, m.end())):
-                end[what] = stop
-                out[what].append((m.end(), stop))
-            elif (m := _BEFORE_RUN.match(text, last + 1)) and m.end() >= failed[what]:
-                run = _RUN.match(text, m.end())
+        elif at >= end[kind := CUES[what]] and not (at and text[at - 1].isalnum()):
+            if kind == "account":
+                m = _BEFORE_GROUP.match(text, last + 1)
+                if m and m.end() >= failed[kind]:
+                    if stop := PARSERS.get(what, account)(text, m.end()):
+                        end[kind] = stop
+                        out[kind].append((m.end(), stop))
+                    elif what not in PARSERS:  # nor has any end of this run four digits
+                        failed[kind] = _RUN.match(text, m.end()).end()
+            elif (m := _BEFORE_RUN.match(text, last + 1)) and m.end() >= failed[kind]:
+                run = _TOKEN.match(text, m.end())
                 if sum(c in "0123456789" for c in run[0]) >= 4:
-                    end[what] = run.end()
-                    out[what].append(run.span())
-                else:  # nor has any end of this run four digits
-                    failed[what] = run.end()
+                    end[kind] = run.end()
+                    out[kind].append(run.span())
+                else:
+                    failed[kind] = run.end()
     return out
 
 
@@ -150,22 +191,27 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """Find personal data in whole texts: doc_id, n_<kind> for each of KINDS, base_sha256 (of the
-    spans of BASE kinds) and spans (kind:start:end, by kind as listed, then start), a row per
-    document; one scan without a shuffle.
+    spans of BASE kinds), spans (kind:start:end, by kind as listed, then start) and n_private (spans
+    of all kinds but url), a row per document; one scan without a shuffle.
 
     Null text counts as empty and has no spans; repeated rows are scanned like others; other
     columns are ignored; an empty table gives an empty one."""
     lean_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, " + "".join(f"n_{k} long, " for k in KINDS) + "base_sha256 string, spans string"
-    return docs.select("doc_id", "text").mapInArrow(_scan, schema)
+    found = docs.select("doc_id", "text").mapInArrow(_scan, schema)
+    return found.withColumn("n_private", sum((F.col(f"n_{k}") for k in KINDS if k != "url"), F.lit(0).cast("long")))
 
 
 def redact(text: str, found: dict[str, list[tuple[int, int]]]) -> str:
-    """The text with every span replaced by its kind in brackets; of overlapping spans the first."""
+    """The text with spans replaced by their kind in brackets. Spans that overlap are replaced as one,
+    by all their kinds, so that nothing of any span stays."""
     out, at = [], 0
     for s, e, k in sorted((s, e, k) for k, xs in found.items() for s, e in xs):
-        if s >= at:
+        if out and s < at:
+            at, kinds = max(at, e), out[-1][1:-1].split("+")
+            out[-1] = f"[{'+'.join([*kinds, *([k] if k not in kinds else [])])}]"
+        else:
             out += [text[at:s], f"[{k}]"]
             at = e
     return "".join(out) + text[at:]

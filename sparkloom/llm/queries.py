@@ -18,7 +18,7 @@ def op1_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_pii
 
-    return find_pii(documents(spark, sf_dir)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    return find_pii(documents(spark, sf_dir)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_private")
 
 
 def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op5_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_dedup
 
-    return near_dedup(documents(spark, sf_dir)).drop("__rid")
+    return near_dedup(documents(spark, sf_dir))
 
 
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
