@@ -1,10 +1,10 @@
 """A byte-level convolutional quality classifier in numpy.
 
-FILTERS learned filters of WIDTH bytes slide over the whole document at STRIDE; their responses are
-max-pooled within chunks of CHUNK positions (neighbouring chunks share the bytes that a filter
-reaches over), and the chunks' mean and maximum are combined into one probability. As inputs are
-single bytes, a filter is a table of one weight for each (place, byte), so a response is WIDTH
-table look-ups and both training and scoring run without matrix products."""
+FILTERS learned filters of WIDTH bytes slide over the whole document, byte by byte; their responses
+are max-pooled within chunks of CHUNK positions, each of which shares half of them with the next,
+and the chunks' mean and maximum are combined into one probability. As inputs are single bytes, a
+filter is a table of one weight for each (place, byte), so a response is WIDTH table look-ups and
+both training and scoring run without matrix products."""
 
 from __future__ import annotations
 
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import lean_batches
 
-FILTERS, WIDTH, STRIDE, CHUNK = 16, 8, 2, 256
+FILTERS, WIDTH, CHUNK = 16, 8, 256
+HALF = CHUNK // 2
 #: The bounded training sample: so many documents of either label, each of at most so many bytes.
 PER_LABEL, MOST_BYTES = 500, 8192
 EPOCHS, BATCH, RATE, DECAY = 14, 32, 0.08, 1e-4
@@ -40,39 +41,41 @@ class Net:
         return [self.w, self.b, self.u, self.v, self.c]
 
     def respond(self, texts: list[bytes]):
-        """Responses at all positions, position bounds of the chunks, chunk bounds of the texts, the
-        padded bytes and the byte at which each position starts."""
+        """Responses at all positions of the joined texts, where each half chunk starts and ends, the
+        bounds of the texts' half chunks and the bytes. A text's last position is just behind it."""
         pad = b"\0" * WIDTH
         data = np.frombuffer(b"".join(t + pad for t in texts) + pad, np.uint8)
-        places, chunks, bounds, at, n = [], [], [0], 0, 0
-        for t in texts:
-            k = len(t) // STRIDE + 1  # the last position starts in the text or just behind it
-            places.append(np.arange(at, at + k * STRIDE, STRIDE))
-            chunks.append(np.arange(n, n + k, CHUNK))
-            bounds.append(bounds[-1] + len(chunks[-1]))
-            at += len(t) + WIDTH
-            n += k
-        place, chunk = np.concatenate(places), np.concatenate(chunks)
-        r = self.w[0][data[place]]
+        n = len(data) - WIDTH + 1  # one more than there are positions
+        r = np.take(self.w[0], data[:n], axis=0)
         for k in range(1, WIDTH):
-            r += self.w[k][data[place + k]]
-        return r, chunk, np.array(bounds), data, place
-
-    def pooled(self, r, chunk, bounds):
-        top = np.maximum.reduceat(r, chunk) + self.b
+            r += np.take(self.w[k], data[k : n + k], axis=0)
+        sizes = np.array([len(t) + 1 for t in texts])
+        starts = np.cumsum(sizes + WIDTH - 1) - (sizes + WIDTH - 1)
+        halves = -(-sizes // HALF)
+        bounds = np.concatenate(([0], np.cumsum(halves)))
+        lo = np.repeat(starts, halves) + HALF * (np.arange(bounds[-1]) - np.repeat(bounds[:-1], halves))
+        hi = np.minimum(lo + HALF, np.repeat(starts + sizes, halves))
+        return r, lo, hi, bounds, data
+
+    def pooled(self, r, lo, hi, bounds):
+        """Of chunks, a half and the next of the same text: largest response, that rectified, and
+        its mean and maximum in each text."""
+        edges = np.column_stack((lo, hi)).ravel()  # what lies between a text's end and the next is not looked at
+        top = np.maximum.reduceat(r, edges)[::2]
+        top = joined(top, bounds) + self.b
         z = np.maximum(top, 0)
         n = np.diff(bounds)[:, None]
         return top, z, np.add.reduceat(z, bounds[:-1]) / n, np.maximum.reduceat(z, bounds[:-1])
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        r, chunk, bounds, _, _ = self.respond(texts)
-        _, _, mean, most = self.pooled(r, chunk, bounds)
+        r, lo, hi, bounds, _ = self.respond(texts)
+        _, _, mean, most = self.pooled(r, lo, hi, bounds)
         return 1 / (1 + np.exp(-np.clip(mean @ self.u + most @ self.v + self.c[0], -30, 30).astype(np.float64)))
 
     def gradients(self, texts: list[bytes], y: np.ndarray) -> list[np.ndarray]:
         """Of the mean log loss. Only the window that gave a chunk's maximum passes gradient on."""
-        r, chunk, bounds, data, place = self.respond(texts)
-        top, z, mean, most = self.pooled(r, chunk, bounds)
+        r, lo, hi, bounds, data = self.respond(texts)
+        top, z, mean, most = self.pooled(r, lo, hi, bounds)
         p = 1 / (1 + np.exp(-np.clip(mean @ self.u + most @ self.v + self.c[0], -30, 30)))
         d = ((p - y) / len(texts)).astype(np.float32)
         counts = np.diff(bounds)
@@ -81,14 +84,25 @@ class Net:
         dz = d[of, None] * (self.u / counts[of, None] + self.v * is_most / np.maximum(np.add.reduceat(is_most.astype(np.float32), bounds[:-1])[of], 1))
         dz *= top > 0
         gw = np.zeros_like(self.w)
-        ends = np.append(chunk[1:], len(r))
-        best = np.stack([s + r[s:e].argmax(0) for s, e in zip(chunk.tolist(), ends.tolist())])
+        best = np.stack([s + r[s:e].argmax(0) for s, e in zip(lo.tolist(), hi.tolist())])
+        most_r = np.take_along_axis(r, best, 0)
+        other = np.flatnonzero(np.isin(np.arange(1, len(best)), bounds, invert=True))
+        best[other] = np.where(most_r[other + 1] > most_r[other], best[other + 1], best[other])
         f = np.broadcast_to(np.arange(FILTERS), best.shape)
         for k in range(WIDTH):
-            np.add.at(gw[k], (data[place[best] + k], f), dz)
+            np.add.at(gw[k], (data[best + k], f), dz)
         return [gw, dz.sum(0), d @ mean, d @ most, d.sum(keepdims=True)]
 
 
+def joined(halves: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Half chunks' maxima to those of chunks: each half with the next one of its text."""
+    out = halves.copy()
+    np.maximum(halves[:-1], halves[1:], out=out[:-1])
+    last = bounds[1:] - 1
+    out[last] = halves[last]
+    return out
+
+
 def train(texts: list[bytes], labels: list[int], seed: int = 11) -> Net:
     """Adam over EPOCHS epochs in a seeded order. Without both labels, the untrained net with even odds."""
     net, y = Net(seed), np.array(labels, np.float32)
@@ -117,7 +131,8 @@ def remainder(c="doc_id"):
 
 def sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple[list[bytes], list[int]]:
     """At most per_label documents of either label, by the smallest hashes of their ids among those
-    that may be learned from. Every text is whole; longer ones than MOST_BYTES are not drawn."""
+    that may be learned from. Every text is whole; longer ones than MOST_BYTES are not drawn. Of several
+    texts with one id, that of the smallest hash is drawn."""
     size = docs.select("doc_id", F.octet_length("text").alias("__b")).filter(F.col("__b").between(1, MOST_BYTES))
     known = labels.filter((remainder() != 1) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("__q")).filter("quality = __q").drop("__q")
     fit = known.join(size.select("doc_id").distinct(), "doc_id")
@@ -126,7 +141,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tu
     if not ids:
         return [], []
     chosen = docs.sparkSession.createDataFrame(ids, fit.select("doc_id", "quality").schema)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.octet_length("text").between(1, MOST_BYTES)).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.octet_length("text").between(1, MOST_BYTES)).groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("quality").alias("quality")).orderBy("doc_id").collect()
     return [r["text"].encode() for r in rows], [int(r["quality"]) for r in rows]
 
 
@@ -148,18 +163,17 @@ def _score(net: Net):
 
 
 def score_long(net: Net, text: bytes) -> np.ndarray:
-    """A very long text piece by piece, each of whole chunks, with the same pooling."""
-    step, total, n, most = STRIDE * CHUNK * 1024, 0.0, 0, np.zeros(FILTERS, np.float32)
+    """A very long text piece by piece, each of whole half chunks and one more, with the same pooling."""
+    step, total, n, most = HALF * 4096, 0.0, 0, np.zeros(FILTERS, np.float32)
     for at in range(0, len(text) + 1, step):
-        piece = text[at : at + step + WIDTH]
         last = at + step > len(text)
-        r, chunk, bounds, _, _ = net.respond([piece])
-        if not last:
-            k = CHUNK * 1024
-            r, chunk = r[:k], chunk[chunk < k]
-            bounds = np.array([0, len(chunk)])
-        _, z, _, top = net.pooled(r, chunk, bounds)
-        total, n, most = total + z.sum(0, dtype=np.float64), n + len(chunk), np.maximum(most, top[0])
+        r, lo, hi, bounds, _ = net.respond([text[at : at + step + HALF + WIDTH]])
+        if not last:  # the piece's chunks, and the half that its last one shares with the next piece
+            lo, hi = lo[: 4096 + 1], hi[: 4096 + 1]
+            bounds = np.array([0, len(lo)])
+        _, z, _, _ = net.pooled(r, lo, hi, bounds)
+        z = z if last else z[:4096]
+        total, n, most = total + z.sum(0, dtype=np.float64), n + len(z), np.maximum(most, z.max(0))
     logit = (total / n) @ net.u.astype(np.float64) + most @ net.v + net.c[0]
     return np.array([1 / (1 + np.exp(-np.clip(float(logit), -30, 30)))])
 
