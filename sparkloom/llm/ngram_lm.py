@@ -3,14 +3,18 @@
 Three counting passes, each a scan that pre-aggregates its partition and sends sorted arrays to
 shards whose number grows with the corpus: words (by ranges of their 64-bit hash, so that a word's
 id is its rank), bigrams (pairs of ids, by hash) and, from the merged bigrams, context and
-continuation counts (by ranges of ids). Shards are written to a model folder in the shared folder;
-scoring tasks map the files into memory and look up sorted queries. Nothing but shard sizes and
-counts of counts reaches the driver."""
+continuation counts (by ranges of ids). More than RADIX shards are reached in two passes, by groups
+of shards first, so that a task sends few arrays however large the corpus. A bigram's key holds the
+low 32 bits of either id; their high bits choose a range of shards, so ids have no limit. Shards are
+written to a model folder in the shared folder, with the tables of shard sizes; scoring tasks map
+the files into memory and look up sorted queries. Nothing but shard sizes and counts of counts
+reaches the driver."""
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -30,9 +34,14 @@ END = np.uint64(0xFFFFFFFFFFFFFFF1)
 SLICE = 512
 #: Entries a task gathers before it merges them.
 GATHER = 3_000_000
-#: Text bytes for each shard of words and of bigrams; at least LEAST shards.
-WORD_BYTES, PAIR_BYTES, LEAST = 64 << 20, 12 << 20, 64
+#: Text bytes for each shard of words and of bigrams in a small corpus; at least LEAST shards. Distinct
+#: n-grams grow more slowly than a corpus, so shards grow as its size to the power GROWTH.
+WORD_BYTES, PAIR_BYTES, LEAST, GROWTH = 64 << 20, 12 << 20, 64, 0.8
+#: Shards, or groups of shards, that one pass deals to. A power of two, as the numbers of shards are.
+RADIX = 2048
 UINT = np.uint64
+LOW = UINT(0xFFFFFFFF)
+HALF = UINT(32)
 
 
 class Store:
@@ -41,23 +50,22 @@ class Store:
 
     def __init__(self, uri: str):
         self.uri = uri
-        self.local = uri.removeprefix("file://") if uri.startswith(("file:", "/")) else None
-        if self.local and self.local.startswith("file:"):
-            self.local = self.local.removeprefix("file:")
+        self.local = re.sub("^file:(//)?", "", uri) if uri.startswith("file:") else None
 
     def save(self, name: str, array: np.ndarray) -> None:
         """Written beside and renamed, so a repeated task leaves the same whole file."""
+        temp = f".{name}.{uuid.uuid4().hex}"
         if self.local:
             os.makedirs(self.local, exist_ok=True)
-            temp = f"{self.local}/.{name}.{uuid.uuid4().hex}"
-            with open(temp, "wb") as f:
+            with open(f"{self.local}/{temp}", "wb") as f:
                 np.save(f, array)
-            os.replace(temp, f"{self.local}/{name}.npy")
+            os.replace(f"{self.local}/{temp}", f"{self.local}/{name}.npy")
         else:
             fs, path = pa.fs.FileSystem.from_uri(self.uri)
             fs.create_dir(path, recursive=True)
-            with fs.open_output_stream(f"{path}/{name}.npy") as f:
+            with fs.open_output_stream(f"{path}/{temp}") as f:
                 np.save(f, array)
+            fs.move(f"{path}/{temp}", f"{path}/{name}.npy")
 
     def load(self, name: str) -> np.ndarray:
         if self.local:
@@ -106,6 +114,11 @@ class Tally:
         return merge(np.concatenate([k for k, _ in self.parts]), np.concatenate([c for _, c in self.parts]))
 
 
+def group(shard: np.ndarray, shards: int) -> np.ndarray:
+    """The group that stands for a shard in the first pass; the shard itself if one pass is enough."""
+    return shard // max(1, shards // RADIX)
+
+
 def _rows(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A row (shard, keys, counts) for each run of `shard`, which ascends; keys as differences."""
     if not len(keys):
@@ -121,10 +134,58 @@ def _rows(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Iterator[p
 _ROWS = "shard long, keys binary, counts binary"
 
 
-def _gathered(pdf: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    keys = [np.cumsum(np.frombuffer(k, UINT), dtype=UINT) for k in pdf["keys"]]
-    counts = [np.frombuffer(c, np.uint32).reshape(-1, width) for c in pdf["counts"]]
-    return merge(np.concatenate(keys), np.concatenate(counts).astype(np.int64))
+def _arrays(keys: bytes, counts: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(np.frombuffer(keys, UINT), dtype=UINT), np.frombuffer(counts, np.uint32).reshape(-1, width)
+
+
+def _gathered(rows, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """All (keys, counts) of a shard merged, some GATHER entries beyond the distinct ones at a time."""
+    parts, size = [], 0
+    for k, c in rows:
+        keys, counts = _arrays(k, c, width)
+        parts.append((keys, counts.astype(np.int64)))
+        size += len(keys)
+        if size > GATHER:
+            parts, size = [merge(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))], 0
+    return merge(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
+
+
+def _split(shards: int, shard_of):
+    """The second pass: from rows of a group, rows of its shards. Gathers GATHER entries at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        size = 0
+
+        def flush():
+            for shard in sorted(held):
+                keys, counts = (np.concatenate(x) for x in zip(*held[shard]))
+                keys, counts = merge(keys, counts)
+                yield from _rows(np.full(len(keys), shard), keys, counts)
+            held.clear()
+
+        for batch in batches:
+            for label, k, c in zip(*(x.to_pylist() for x in batch.columns)):
+                keys, counts = _arrays(k, c, 1)
+                shard = shard_of(keys) + shards * (label // RADIX)
+                order = np.argsort(shard, kind="stable")
+                keys, counts, shard = keys[order], counts[order, 0], shard[order]
+                for s, e in runs(shard):
+                    held.setdefault(int(shard[s]), []).append((keys[s:e], counts[s:e]))
+                size += len(keys)
+                if size > GATHER:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    return run
+
+
+def dealt(rows: DataFrame, shards: int, shard_of) -> DataFrame:
+    """Rows (shard, keys, counts) of all shards, from what tasks have sent by groups."""
+    if shards <= RADIX:
+        return rows
+    return rows.repartition(RADIX, "shard").mapInArrow(_split(shards, shard_of), _ROWS)
 
 
 def stream(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,20 +210,24 @@ def _shift(shards: int) -> np.uint64:
     return UINT(64 - (shards.bit_length() - 1))
 
 
+def word_shard(shards: int):
+    return lambda keys: (keys >> _shift(shards)).astype(np.int64)
+
+
 def _count_words(shards: int):
     def run(batches):
         tally = Tally()
         for _, tokens, _ in _slices(batches, 0):
             tally.add(tokens[1:])
         keys, counts = tally.all()
-        yield from _rows((keys >> _shift(shards)).astype(np.int64), keys, counts)
+        yield from _rows(group(word_shard(shards)(keys), shards), keys, counts)
 
     return run
 
 
 def _save_words(uri: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = _gathered(pdf, 1)
+        keys, counts = _gathered(zip(pdf["keys"], pdf["counts"]), 1)
         shard, store = int(pdf["shard"].iloc[0]), Store(uri)
         store.save(f"word-{shard}", keys)
         store.save(f"count-{shard}", counts[:, 0])
@@ -176,8 +241,9 @@ class Model:
 
     def __init__(self, uri: str, meta: dict):
         self.store, self.meta, self.open = Store(uri), meta, {}
-        self.words, self.pairs = meta["word_shards"], meta.get("pair_shards", 0)
-        self.offsets = np.array(meta["offsets"], np.int64)
+        self.words, self.pairs = meta["word_shards"], meta["pair_shards"]
+        self.offsets = self.file("offsets")
+        self.halves = (meta["vocabulary"] >> 32) + 1
 
     def file(self, name: str) -> np.ndarray:
         if name not in self.open:
@@ -200,6 +266,18 @@ class Model:
         place, found = self.find("word", shard, hashes, lambda s: self.offsets[s + 1] > self.offsets[s])
         return np.where(found, place + self.offsets[shard], -1)
 
+    def times(self, keys: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """How often the pairs (see `packed`) were seen."""
+        shard = pair_shard(self.pairs)(keys) + self.pairs * part
+        order = np.lexsort((keys, shard))
+        keys, shard = keys[order], shard[order]
+        there, out = self.file("shards"), np.zeros(len(keys), np.int64)
+        place, found = self.find("pair", shard, keys, lambda s: there[min(np.searchsorted(there, s), len(there) - 1)] == s)
+        for s, e in runs(shard):
+            if found[s:e].any():
+                out[order[s:e]] = np.where(found[s:e], self.file(f"times-{shard[s]}")[place[s:e]], 0)
+        return out
+
     def take(self, kind: str, ids: np.ndarray) -> np.ndarray:
         """Rows of the id-indexed files for ids that ascend but for unknown ones; -1 gives zeros."""
         out = np.zeros((len(ids), *(() if kind == "count" else (4,))), np.int64)
@@ -221,21 +299,34 @@ def opened(uri: str, meta: str) -> Model:
     return _models[uri + meta]
 
 
-def pair_shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(keys) % UINT(shards)).astype(np.int64)
+def pair_shard(shards: int):
+    return lambda keys: (mix(keys) & UINT(shards - 1)).astype(np.int64)
+
+
+def packed(first: np.ndarray, second: np.ndarray, halves: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of ids: a key of their low halves, and the range of shards of their high halves."""
+    return ((first & LOW) << HALF) | (second & LOW), ((first >> HALF) * UINT(halves) + (second >> HALF)).astype(np.int64)
+
+
+def unpacked(keys: np.ndarray, part: int, halves: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of ids again."""
+    return (keys >> HALF) | (UINT(part // halves) << HALF), (keys & LOW) | (UINT(part % halves) << HALF)
 
 
 def _count_pairs(uri: str, meta: str):
     def run(batches):
-        model, tally = opened(uri, meta), Tally()
+        model, tallies = opened(uri, meta), {}
         for _, tokens, _ in _slices(batches, 0):
             words, at = np.unique(tokens, return_inverse=True)
             ids = model.ids(words).astype(UINT)[at]
-            tally.add((ids[:-1] << UINT(32)) | ids[1:])
-        keys, counts = tally.all()
-        shard = pair_shard(keys, model.pairs)
-        order = np.argsort(shard, kind="stable")
-        yield from _rows(shard[order], keys[order], counts[order])
+            keys, part = packed(ids[:-1], ids[1:], model.halves)
+            for p in np.unique(part).tolist():
+                tallies.setdefault(p, Tally()).add(keys[part == p] if model.halves > 1 else keys)
+        for p, tally in sorted(tallies.items()):
+            keys, counts = tally.all()
+            shard = pair_shard(model.pairs)(keys) + model.pairs * p
+            order = np.argsort(shard, kind="stable") if model.pairs <= RADIX else np.lexsort((keys, group(shard, model.pairs)))
+            yield from _rows(group(shard, model.pairs)[order], keys[order], counts[order])
 
     return run
 
@@ -250,16 +341,16 @@ def _save_pairs(uri: str, meta: str):
 
     def run(batches):
         model = opened(uri, meta)
-        parts = [b for batch in batches for b in [batch.to_pandas()]]
-        if not parts:
-            return
-        every = pd.concat(parts)
-        for shard, pdf in every.groupby("shard"):
-            keys, counts = _gathered(pdf, 1)
+        by: dict[int, list] = {}
+        for batch in batches:
+            for shard, k, c in zip(*(x.to_pylist() for x in batch.columns)):
+                by.setdefault(shard, []).append((k, c))
+        for shard in sorted(by):
+            keys, counts = _gathered(by.pop(shard), 1)
             counts = counts[:, 0]
             model.store.save(f"pair-{shard}", keys)
             model.store.save(f"times-{shard}", np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
-            first, second = keys >> UINT(32), keys & UINT(0xFFFFFFFF)
+            first, second = unpacked(keys, shard // model.pairs, model.halves)
             add = np.zeros((2 * len(keys), 4), np.uint32)
             add[np.arange(len(keys)), np.minimum(counts, 3) - 1] = 1
             add[len(keys) :, 3] = 1
@@ -275,7 +366,7 @@ def _save_pairs(uri: str, meta: str):
 def _save_contexts(uri: str, meta: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         model, shard = opened(uri, meta), int(pdf["shard"].iloc[0])
-        ids, add = _gathered(pdf, 4)
+        ids, add = _gathered(zip(pdf["keys"], pdf["counts"]), 4)
         table = np.zeros((int(model.offsets[shard + 1] - model.offsets[shard]), 4), np.int64)
         table[ids.astype(np.int64) - model.offsets[shard]] = add
         model.store.save(f"context-{shard}", table)
@@ -301,21 +392,22 @@ def train(docs: DataFrame) -> tuple[str, str] | None:
     size, n = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     if not n:
         return None
-    power = lambda k: 1 << max(0, (max(LEAST, k) - 1).bit_length())
-    words, pairs = power((size or 0) // WORD_BYTES), power((size or 0) // PAIR_BYTES)
+    power = lambda per: 1 << max(0, (max(LEAST, int(((size or 0) / per) ** GROWTH)) - 1).bit_length())
+    words, pairs = power(WORD_BYTES), power(PAIR_BYTES)
     uri = f"{shared_dir(spark)}/ngram-{uuid.uuid4().hex}"
-    got = rows.mapInArrow(_count_words(words), _ROWS).groupBy("shard").applyInPandas(_save_words(uri), "shard long, n long, total long").collect()
+    sent = dealt(rows.mapInArrow(_count_words(words), _ROWS), words, word_shard(words))
+    got = sent.groupBy("shard").applyInPandas(_save_words(uri), "shard long, n long, total long").collect()
     per = {r["shard"]: r["n"] for r in got}
-    offsets = np.concatenate(([0], np.cumsum([per.get(s, 0) for s in range(words)]))).tolist()
-    if offsets[-1] >= 1 << 32:
-        raise ValueError("more than 2 ** 32 distinct words")
-    meta = {"word_shards": words, "pair_shards": pairs, "offsets": offsets, "tokens": sum(r["total"] for r in got), "vocabulary": offsets[-1]}
+    offsets = np.concatenate(([0], np.cumsum([per.get(s, 0) for s in range(words)])))
+    meta = {"word_shards": words, "pair_shards": pairs, "tokens": sum(r["total"] for r in got), "vocabulary": int(offsets[-1])}
+    Store(uri).save("offsets", offsets.astype(np.int64))
     text = json.dumps(meta)
-    sent = rows.mapInArrow(_count_pairs(uri, text), _ROWS).repartition(pairs, "shard").mapInArrow(_save_pairs(uri, text), _ROWS)
-    sent = cut(sent)
-    tallies = [np.frombuffer(r["counts"], UINT) for r in sent.filter("shard < 0").select("counts").collect()]  # four numbers a shard
+    sent = dealt(rows.mapInArrow(_count_pairs(uri, text), _ROWS), pairs, pair_shard(pairs))
+    sent = cut(sent.repartition(pairs, "shard").mapInArrow(_save_pairs(uri, text), _ROWS))
+    tallies = sent.filter("shard < 0").select("keys", "counts").collect()  # a shard and four numbers
     done = sent.filter("shard >= 0").groupBy("shard").applyInPandas(_save_contexts(uri, text), "shard long, total long, n1 long, n2 long, n3 long, n4 long, more long").collect()
-    pair_n = np.sum(tallies, axis=0).tolist()
+    Store(uri).save("shards", np.sort(np.array([np.frombuffer(r["keys"], UINT)[0] for r in tallies]).astype(np.int64)))
+    pair_n = np.sum([np.frombuffer(r["counts"], UINT) for r in tallies], axis=0).tolist()
     cont_n = [sum(r[k] for r in done) for k in ("n1", "n2", "n3", "n4")]
     meta |= {"d2": discounts(*pair_n), "d1": discounts(*cont_n), "cont_total": sum(r["total"] for r in done), "cont_n": [*cont_n[:2], sum(r["more"] for r in done)]}
     return uri, json.dumps(meta)
@@ -334,17 +426,10 @@ def probabilities(model: Model, tokens: np.ndarray) -> tuple[np.ndarray, np.ndar
     lower = np.maximum(cont - d1[np.minimum(cont, 3)], 0) / m["cont_total"] + spread
     mass = context[:, :3] @ d2[1:]
     before, after = at[:-1], at[1:]
-    keys = (ids[before].astype(UINT) << UINT(32)) | ids[after].astype(UINT)
-    known = (ids[before] >= 0) & (ids[after] >= 0)
-    asked, back = np.unique(keys[known], return_inverse=True)
-    shard = pair_shard(asked, model.pairs)
-    order = np.argsort(shard, kind="stable")
-    place, found = model.find("pair", shard[order], asked[order], lambda s: True)
-    times = np.zeros(len(asked), np.int64)
-    for s, e in runs(shard[order]):
-        times[order[s:e]] = np.where(found[s:e], model.file(f"times-{shard[order[s]]}")[place[s:e]], 0)
     c = np.zeros(len(before), np.int64)
-    c[known] = times[back]
+    known = (ids[before] >= 0) & (ids[after] >= 0)
+    keys, part = packed(ids[before[known]].astype(UINT), ids[after[known]].astype(UINT), model.halves)
+    c[known] = model.times(keys, part)
     total = counts[before]
     seen = total > 0
     p = np.where(seen, (np.maximum(c - d2[np.minimum(c, 3)], 0) + mass[before] * lower[after]) / np.maximum(total, 1), lower[after])
