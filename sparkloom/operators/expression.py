@@ -67,7 +67,7 @@ def pseudobulk(expr: DataFrame, clusters: DataFrame) -> DataFrame:
     """Mean log1p value per cluster and gene, zeros included. clusters: obs, cluster."""
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     sums = expr.join(clusters, "obs").groupBy("cluster", "gene").agg(F.sum(F.log1p("value")).alias("s"))
-    return sums.join(F.broadcast(sizes), "cluster").select("cluster", "gene", (F.col("s") / F.col("n")).alias("mean_log1p"))
+    return sums.join(sizes, "cluster").select("cluster", "gene", (F.col("s") / F.col("n")).alias("mean_log1p"))
 
 
 def count_like(expr: DataFrame) -> DataFrame:

@@ -5,11 +5,16 @@ column expression over them; the t tail is the one vectorised Python function.""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ..functions.columns import inflate
-from ..functions.special import t_two_sided
+from ..functions.special import normal, t_two_sided
 from .ranking import bh, isotonic
 
 #: Fixed values of the inference defaults.
@@ -27,7 +32,7 @@ def contrasts(stats: DataFrame, reference: str, neff_min: float) -> DataFrame:
     rows = stats.filter(F.col("sample_id") != reference).select(F.col("sample_id").alias("contrast"), *cols).join(ref, ["gene", "qid"])
     rows = rows.filter((F.col("neff") > 0) & (F.col("nr") > 0)).withColumn("v0", F.col("s2") / F.col("neff") + F.col("sr") / F.col("nr"))
     med = rows.groupBy("gene", "contrast").agg((FLOOR * F.median("v0")).alias("least"))
-    rows = rows.join(F.broadcast(med), ["gene", "contrast"]).withColumn("v", F.greatest("v0", "least"))
+    rows = rows.join(med, ["gene", "contrast"]).withColumn("v", F.greatest("v0", "least"))
     return rows.select("gene", "contrast", "qid", (F.col("mu") - F.col("mr")).alias("y"), "v", (1 / F.col("v")).alias("w"), (F.least("neff", "nr") >= neff_min).alias("use"))
 
 
@@ -36,7 +41,7 @@ def anchors(rows: DataFrame) -> DataFrame:
     a grid cell's contrasts: gene, qid, anchor."""
     t = rows.filter("use").withColumn("t0", F.abs(F.col("y")) / F.sqrt("v"))
     q = t.groupBy("gene", "contrast").agg(F.percentile("t0", F.lit(CTL_Q)).alias("lim"))
-    return t.join(F.broadcast(q), ["gene", "contrast"]).groupBy("gene", "qid").agg((F.avg((F.col("t0") <= F.col("lim")).cast("double")) >= CTL_TAU).alias("anchor"))
+    return t.join(q, ["gene", "contrast"]).groupBy("gene", "qid").agg((F.avg((F.col("t0") <= F.col("lim")).cast("double")) >= CTL_TAU).alias("anchor"))
 
 
 def ridge_intercept(rows: DataFrame, lam: float = 10.0) -> DataFrame:
@@ -53,9 +58,93 @@ def ridge_two(rows: DataFrame, covariate: str, lam: float = 10.0) -> DataFrame:
     return s.select("gene", "contrast", ((F.col("s2") * F.col("t0") - F.col("s1") * F.col("t1")) / F.col("det")).alias("b0"), ((F.col("s0") * F.col("t1") - F.col("s1") * F.col("t0")) / F.col("det")).alias("b1"))
 
 
+def ridge(rows: DataFrame, covariates: list[str], lam: float = 10.0, penalised: list[str] | None = None, prior: dict[str, float] | None = None) -> DataFrame:
+    """Weighted ridge of y on an intercept and covariates by their sufficient statistics: gene,
+    contrast, n, b (the intercept, then the covariates in order). The penalty pulls the penalised
+    ones (all, if none are named) towards their prior values (0 if not named); an intercept named
+    in `prior` as "1" is pulled too. Only sums of q x q numbers a group leave the scan; at most 32
+    covariates. Cells with a null covariate are left out; a singular system takes a little more
+    on its diagonal."""
+    if len(covariates) > 32:
+        raise ValueError("at most 32 covariates")
+    prior = prior or {}
+    pulled = ["1" in prior, *[penalised is None or c in penalised for c in covariates]]
+    centre = np.array([prior.get("1", 0.0), *[prior.get(c, 0.0) for c in covariates]])
+    penalty = np.where(pulled, lam, 0.0)
+    z, w, q = [F.lit(1.0), *[F.col(c).cast("double") for c in covariates]], F.col("w"), len(covariates) + 1
+    at = [(i, j) for i in range(q) for j in range(i, q)]
+
+    @pandas_udf("array<double>")
+    def solve(x: pd.Series, r: pd.Series) -> pd.Series:
+        out = []
+        for xs, rs in zip(x, r):
+            k = np.zeros((q, q))
+            for (i, j), v in zip(at, xs):
+                k[i, j] = k[j, i] = v
+            k, right = k + np.diag(penalty), np.asarray(rs, float) + penalty * centre
+            scale = max(float(np.trace(k)) / q, 1e-300)
+            extra = next((e for e in (0.0, 1e-8, 1e-6, 1e-4, 1e-2) if np.linalg.cond(k + np.eye(q) * e * scale) < 1e14), 1.0)
+            out.append(np.linalg.solve(k + np.eye(q) * extra * scale, right))
+        return pd.Series(out)
+
+    known = [F.col(c).isNotNull() for c in covariates]
+    used = rows.filter(reduce(lambda a, b: a & b, known, F.col("use")))
+    s = used.groupBy("gene", "contrast").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(w * z[i] * z[j]) for i, j in at]).alias("x"), F.array(*[F.sum(w * v * F.col("y")) for v in z]).alias("r"))
+    return s.select("gene", "contrast", "n", solve("x", "r").alias("b"))
+
+
+def adjusted(rows: DataFrame, fit: DataFrame, covariates: list[str], least: int = 5, alpha: float = ALPHA) -> DataFrame:
+    """Effects without the nuisance that covariates explain: rows with y_adj = y - sum b z (and
+    mu_adj alike where rows have mu; the intercept stays in both), t of the residual with the
+    intercept off too, two-sided p with max(n - q, 5) degrees, BH q over used cells and sig. Groups
+    of fewer than `least` used cells have null t. fit: as `ridge` gives it."""
+    nuisance = reduce(lambda a, b: a + b, [F.get("b", F.lit(k + 1)) * F.col(c) for k, c in enumerate(covariates)], F.lit(0.0))
+    r = rows.join(fit, ["gene", "contrast"], "left").withColumn("__n", nuisance).withColumn("y_adj", F.col("y") - F.col("__n"))
+    if "mu" in rows.columns:
+        r = r.withColumn("mu_adj", F.col("mu") - F.col("__n"))
+    r = r.withColumn("t", F.when(F.col("use") & (F.col("n") >= least), (F.col("y_adj") - F.get("b", F.lit(0))) * F.sqrt("w")))
+    r = r.withColumn("df", F.greatest(F.col("n") - len(covariates) - 1, F.lit(5)).cast("double"))
+    r = r.withColumn("p", F.when(F.col("t").isNotNull(), t_two_sided(F.col("t"), F.col("df"))))
+    return bh(r.drop("b", "__n"), ["gene", "contrast"]).withColumn("sig", F.coalesce(F.col("q") <= alpha, F.lit(False)))
+
+
+def trajectory_pretest(tests: DataFrame, lam: float = 25.0, least: int = 2, eps: float = 1e-8, df: float | None = None, alpha: float = ALPHA) -> DataFrame:
+    """Test of t smoothed along the ordered contrasts of each grid cell by second differences: z
+    solves (I + lam D'D + eps I) z = t over the cell's used contrasts, D'D being that of all
+    contrasts; cells with fewer than `least` used ones keep their t. p is two-sided normal, or
+    Student's with `df`; q and sig are by gene and contrast. tests: gene, contrast, ord, qid, t, use;
+    adds z, p, q, sig. A cell's series has a value a contrast, which bounds it."""
+    names = tests.groupBy("contrast").agg(F.min("ord").alias("ord"))  # a row a contrast
+    names = names.select("contrast", (F.row_number().over(Window.orderBy("ord", "contrast")) - 1).alias("__at"), F.count(F.lit(1)).over(Window.partitionBy()).alias("__m"))
+
+    @pandas_udf("array<double>")
+    def smooth(at: pd.Series, t: pd.Series, m: pd.Series) -> pd.Series:
+        seen, out = {}, []
+        for a, v, total in zip(at, t, m):
+            v = np.array(v, float)
+            ok = np.isfinite(v)
+            if ok.sum() >= least:
+                key = (total, *np.asarray(a)[ok].tolist())
+                if key not in seen:
+                    d = np.diff(np.eye(total), 2, axis=0) if total > 2 else np.zeros((0, total))
+                    here = list(key[1:])
+                    seen[key] = np.linalg.inv(np.eye(len(here)) * (1 + eps) + lam * (d.T @ d)[np.ix_(here, here)])
+                v[ok] = seen[key] @ v[ok]
+            out.append(v)
+        return pd.Series(out)
+
+    used = F.when(F.col("use"), F.col("t"))
+    series = tests.join(F.broadcast(names), "contrast").groupBy("gene", "qid").agg(F.array_sort(F.collect_list(F.struct("__at", "contrast", used.alias("t")))).alias("s"), F.max("__m").alias("m"))
+    z = series.select("gene", "qid", F.explode(F.arrays_zip(F.col("s.contrast").alias("contrast"), smooth("s.__at", "s.t", "m").alias("z"))).alias("e"))
+    r = tests.drop("p", "q", "sig").join(z.select("gene", "qid", "e.contrast", F.nanvl("e.z", F.lit(None)).alias("z")), ["gene", "contrast", "qid"])
+    p = 2 * normal(-F.abs("z")) if df is None else t_two_sided(F.col("z"), F.lit(float(df)))
+    r = bh(r.withColumn("p", F.when(F.col("z").isNotNull(), p)), ["gene", "contrast"])
+    return r.withColumn("sig", F.coalesce(F.col("q") <= alpha, F.lit(False)))
+
+
 def local_tests(rows: DataFrame, offsets: DataFrame, parameters: int = 1, alpha: float = ALPHA) -> DataFrame:
     """Residual t, two-sided p with max(n - parameters, 5) degrees, BH q over used cells, sig."""
-    r = rows.join(F.broadcast(offsets), ["gene", "contrast"]).withColumn("t", (F.col("y") - F.col("beta")) * F.sqrt("w"))
+    r = rows.join(offsets, ["gene", "contrast"]).withColumn("t", (F.col("y") - F.col("beta")) * F.sqrt("w"))
     df = F.greatest(F.col("n") - parameters, F.lit(5)).cast("double")
     r = r.withColumn("df", df).withColumn("p", F.when(F.col("use"), t_two_sided(F.col("t"), F.col("df"))))
     return bh(r, ["gene", "contrast"]).withColumn("sig", F.coalesce(F.col("use") & (F.col("q") <= alpha), F.lit(False)))

@@ -190,10 +190,10 @@ def density_filter(nn: DataFrame, labels: DataFrame, c: float = 3.0, least: int
     over the 90 % quantile); clusters under `least` points stay whole. labels: id, cluster."""
     mean = nn.filter("qid <> nid").groupBy("qid").agg(F.avg("d").alias("d")).withColumnRenamed("qid", "id").join(labels, "id")
     m = mean.groupBy("cluster").agg(F.median("d").alias("med"), F.percentile("d", F.lit(0.9)).alias("q90"), F.count(F.lit(1)).alias("n"))
-    rows = mean.join(F.broadcast(m), "cluster")
+    rows = mean.join(m, "cluster")
     mad = rows.groupBy("cluster").agg(F.median(F.abs(F.col("d") - F.col("med"))).alias("mad"))
     limit = F.when(F.col("mad") > 0, F.col("med") + c * F.col("mad")).otherwise(F.col("q90"))
-    return rows.join(F.broadcast(mad), "cluster").withColumn("kept", (F.col("n") < least) | (F.col("d") <= limit)).select("id", "cluster", "d", "kept")
+    return rows.join(mad, "cluster").withColumn("kept", (F.col("n") < least) | (F.col("d") <= limit)).select("id", "cluster", "d", "kept")
 
 
 def agreement(query: DataFrame, reference: DataFrame) -> DataFrame:

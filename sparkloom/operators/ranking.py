@@ -35,16 +35,16 @@ def gene_acat(tests: DataFrame) -> DataFrame:
 def mad_standardise(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """(x - median) / (1.4826 MAD) within groups; a scale under 1e-8 gives 0. Adds z."""
     med = df.groupBy(*by).agg(F.median(value).alias("__m"))
-    rows = df.join(F.broadcast(med), by)
+    rows = df.join(med, by)
     mad = rows.groupBy(*by).agg((1.4826 * F.median(F.abs(F.col(value) - F.col("__m")))).alias("__s"))
-    rows = rows.join(F.broadcast(mad), by)
+    rows = rows.join(mad, by)
     return rows.withColumn("z", F.when(F.col("__s") < 1e-8, F.lit(0.0)).otherwise((F.col(value) - F.col("__m")) / F.col("__s"))).drop("__m", "__s")
 
 
 def standardise(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """(x - mean) / sample deviation within groups; under 1e-8 or a single row gives 0. Adds z."""
     s = df.groupBy(*by).agg(F.avg(value).alias("__m"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("__s"))
-    return df.join(F.broadcast(s), by).withColumn("z", F.when(F.col("__s") < 1e-8, F.lit(0.0)).otherwise((F.col(value) - F.col("__m")) / F.col("__s"))).drop("__m", "__s")
+    return df.join(s, by).withColumn("z", F.when(F.col("__s") < 1e-8, F.lit(0.0)).otherwise((F.col(value) - F.col("__m")) / F.col("__s"))).drop("__m", "__s")
 
 
 def ecdf(df: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -52,12 +52,28 @@ def ecdf(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 
 def percent_rank_average(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Average rank over n, ascending."""
+    """Average rank over n, ascending. Without groups, ranks come from the counts of distinct values,
+    summed within and over ranges of values, so that no task holds all rows."""
+    if not by:
+        return _percent_rank_all(df, value)
     part = Window.partitionBy(*by)
     r = F.rank().over(part.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2
     return df.withColumn("pct", r / F.count(F.lit(1)).over(part))
 
 
+def _percent_rank_all(df: DataFrame, value: str, ranges: int = 200) -> DataFrame:
+    """percent_rank_average over all rows: null first, as a window orders it."""
+    cuts = df.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10000).alias("__cuts"))  # one row
+    per = df.groupBy(value).agg(F.count(F.lit(1)).alias("__c")).join(F.broadcast(cuts))
+    ranged = per.withColumn("__part", F.when(F.col(value).isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.coalesce("__cuts", F.array()), lambda x: x < F.col(value))))).drop("__cuts")
+    sizes = ranged.groupBy("__part").agg(F.sum("__c").alias("__n"))  # a row a range
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(sizes.select("__part", before.alias("__o"), F.sum("__n").over(Window.partitionBy()).alias("__all")))
+    within = F.coalesce(F.sum("__c").over(Window.partitionBy("__part").orderBy(F.asc_nulls_first(value)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = ranged.withColumn("__w", within).join(offsets, "__part").select(F.col(value).alias("__v"), ((F.col("__o") + F.col("__w") + 1 + (F.col("__c") - 1) / 2) / F.col("__all")).alias("pct"))
+    return df.join(ranks, F.col(value).eqNullSafe(F.col("__v"))).drop("__v")
+
+
 def top_k(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)
 
@@ -79,12 +95,34 @@ def entropy(df: DataFrame, by: str, batch: str) -> DataFrame:
 
 
 def isotonic(bins: DataFrame) -> DataFrame:
-    """Weighted nondecreasing fit by the max-min formula; bins (i, y, w) are at most a few dozen."""
-    b = F.broadcast(bins)
-    spans = bins.select(F.col("i").alias("j")).join(b.select(F.col("i").alias("k")), F.col("j") <= F.col("k"))
-    means = spans.join(b, F.col("i").between(F.col("j"), F.col("k"))).groupBy("j", "k").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("m"))
-    inner = bins.select("i").join(F.broadcast(means), (F.col("j") <= F.col("i")) & (F.col("k") >= F.col("i"))).groupBy("i", "j").agg(F.min("m").alias("m"))
-    return bins.join(inner.groupBy("i").agg(F.max("m").alias("fit")), "i")
+    """Weighted nondecreasing fit of bins (i, y, w), at most a few dozen, which one row holds in
+    order: a fold adds each bin as a block and joins blocks while the last is below the one before.
+    Adds fit; more than 4096 bins raise an error."""
+    held = F.array_sort(F.collect_list(F.struct("i", F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w"))))
+    few = F.when(F.count(F.lit(1)) > 4096, F.raise_error(F.lit("isotonic takes at most 4096 bins"))).otherwise(held)
+    block = "struct<first:int,s:double,w:double>"
+    last = lambda a: F.element_at(a, -1)
+    mean = lambda b: b["s"] / b["w"]
+    joined = lambda a, b: F.struct(a["first"].alias("first"), (a["s"] + b["s"]).alias("s"), (a["w"] + b["w"]).alias("w"))
+
+    def push(state, x):
+        """The blocks after bin x: walking back, x's block takes each block whose mean is not below
+        its own; `open` ends the walk."""
+        new = F.struct(x["at"].alias("first"), (x["y"] * x["w"]).alias("s"), x["w"].alias("w"))
+        start = F.struct(new.alias("b"), F.size(state).alias("keep"), F.lit(True).alias("open"))
+
+        def back(t, p):
+            take = t["open"] & (mean(p) >= mean(t["b"]))
+            return F.when(take, F.struct(joined(p, t["b"]).alias("b"), (t["keep"] - 1).alias("keep"), F.lit(True).alias("open"))).otherwise(F.struct(t["b"].alias("b"), t["keep"].alias("keep"), F.lit(False).alias("open")))
+
+        end = F.aggregate(F.reverse(state), start, back)
+        return F.concat(F.slice(state, F.lit(1), end["keep"]), F.array(end["b"]))
+
+    at = F.transform("__b", lambda x, k: F.struct(k.cast("int").alias("at"), x["y"].alias("y"), x["w"].alias("w")))
+    one = bins.agg(few.alias("__b")).select("__b", F.aggregate(at, F.array().cast(f"array<{block}>"), push).alias("__f"))
+    fits = one.select(F.posexplode("__b").alias("__k", "__x"), "__f")
+    fit = fits.select(F.col("__x.i").alias("i"), mean(last(F.filter("__f", lambda b: b["first"] <= F.col("__k")))).alias("fit"))
+    return bins.join(fit, "i")
 
 
 def second_difference(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..storage import cut
 
 
@@ -54,7 +57,7 @@ def overlaps(a: DataFrame, b: DataFrame, least: int = 1) -> DataFrame:
     both, na, nb, dice, iou."""
     both = a.withColumnRenamed("mask", "a").join(b.withColumnRenamed("mask", "b"), ["iy", "ix"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= least)
     na, nb = areas(a).toDF("a", "na"), areas(b).toDF("b", "nb")
-    r = both.join(F.broadcast(na), "a").join(F.broadcast(nb), "b")
+    r = both.join(na, "a").join(nb, "b")
     return r.withColumn("dice", 2 * F.col("both") / (F.col("na") + F.col("nb"))).withColumn("iou", F.col("both") / (F.col("na") + F.col("nb") - F.col("both")))
 
 
@@ -68,15 +71,33 @@ def boundary(masks: DataFrame, eight: bool = False) -> DataFrame:
     return masks.join(counts, ["mask", "iy", "ix"], "left_anti")
 
 
+def _fields(lines: DataFrame, box: DataFrame) -> DataFrame:
+    """Distance of every pixel in the box to each mask's line of pixels: mask, iy, ix, d. A mask is
+    one task on a raster of the box's size."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y0, x0, y1, x1 = (int(pdf[c].iloc[0]) for c in ("y0", "x0", "y1", "x1"))
+        off = np.ones((y1 - y0 + 1, x1 - x0 + 1), bool)
+        off[pdf["iy"] - y0, pdf["ix"] - x0] = False
+        y, x = np.indices(off.shape)
+        return pd.DataFrame({"mask": pdf["mask"].iloc[0], "iy": y.ravel() + y0, "ix": x.ravel() + x0, "d": kernels.distance(off).ravel()})
+
+    kind = lines.schema["mask"].dataType.simpleString()
+    return lines.join(F.broadcast(box)).groupBy("mask").applyInPandas(run, f"mask {kind}, iy int, ix int, d double")
+
+
 def boundary_distance(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """For listed pairs (a, b), each boundary pixel's distance to the other boundary: a, b, side,
-    d. Boundaries are lines of pixels; pairs are those that survived the overlap screen."""
-    pa = pairs.select("a", "b").join(a.select(F.col("mask").alias("a"), F.col("iy").alias("ay"), F.col("ix").alias("ax")), "a")
-    pb = b.select(F.col("mask").alias("b"), F.col("iy").alias("by"), F.col("ix").alias("bx"))
-    dy, dx = F.col("ay") - F.col("by"), F.col("ax") - F.col("bx")
-    all_ = pa.join(pb, "b").withColumn("d", F.sqrt((dy * dy + dx * dx).cast("double")))
-    one = all_.groupBy("a", "b", F.lit("a").alias("side"), F.col("ay").alias("iy"), F.col("ax").alias("ix")).agg(F.min("d").alias("d"))
-    two = all_.groupBy("a", "b", F.lit("b").alias("side"), F.col("by").alias("iy"), F.col("bx").alias("ix")).agg(F.min("d").alias("d"))
+    iy, ix, d. Each boundary's distance transform is made once and read at the pixels of those it is
+    paired with, so no pixel of one meets all pixels of the other."""
+    p = pairs.select("a", "b").distinct()
+    la = a.join(p.select(F.col("a").alias("mask")).distinct(), "mask", "left_semi")
+    lb = b.join(p.select(F.col("b").alias("mask")).distinct(), "mask", "left_semi")
+    box = la.select("iy", "ix").union(lb.select("iy", "ix")).agg(F.min("iy").alias("y0"), F.min("ix").alias("x0"), F.max("iy").alias("y1"), F.max("ix").alias("x1"))  # one row
+    pixels = lambda lines, end: p.join(lines.select(F.col("mask").alias(end), "iy", "ix"), end)
+    field = lambda lines, end: _fields(lines, box).withColumnRenamed("mask", end)
+    one = pixels(la, "a").join(field(lb, "b"), ["b", "iy", "ix"]).select("a", "b", F.lit("a").alias("side"), "iy", "ix", "d")
+    two = pixels(lb, "b").join(field(la, "a"), ["a", "iy", "ix"]).select("a", "b", F.lit("b").alias("side"), "iy", "ix", "d")
     return one.unionByName(two)
 
 
@@ -91,7 +112,7 @@ def surface(distances: DataFrame, d0: float = 25.0) -> DataFrame:
 def polar_signature(masks: DataFrame, bins: int = 72) -> DataFrame:
     """Greatest distance from the centroid in each angle bin, over its maximum."""
     c = masks.groupBy("mask").agg(F.avg("iy").alias("cy"), F.avg("ix").alias("cx"))
-    r = masks.join(F.broadcast(c), "mask").withColumn("a", F.atan2(F.col("iy") - F.col("cy"), F.col("ix") - F.col("cx"))).withColumn("r", F.hypot(F.col("iy") - F.col("cy"), F.col("ix") - F.col("cx")))
+    r = masks.join(c, "mask").withColumn("a", F.atan2(F.col("iy") - F.col("cy"), F.col("ix") - F.col("cx"))).withColumn("r", F.hypot(F.col("iy") - F.col("cy"), F.col("ix") - F.col("cx")))
     import math
 
     bin_ = F.least(F.lit(bins - 1), F.floor((F.col("a") + math.pi) / (2 * math.pi) * bins))
@@ -116,7 +137,22 @@ def mirrored_overlap(masks: DataFrame, size: int, axis: str = "ix") -> DataFrame
 
 def union_masks(masks: DataFrame, groups: DataFrame) -> DataFrame:
     """Pixels of grouped masks: groups (group, mask)."""
-    return masks.join(F.broadcast(groups), "mask").select(F.col("group").alias("mask"), "iy", "ix").distinct()
+    return masks.join(groups, "mask").select(F.col("group").alias("mask"), "iy", "ix").distinct()
+
+
+def common_masks(masks: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pixels that all masks of a group share. A mask named twice counts once."""
+    g = groups.select("group", "mask").distinct()
+    rows = masks.select("mask", "iy", "ix").distinct().join(g, "mask").groupBy("group", "iy", "ix").agg(F.count(F.lit(1)).alias("c"))
+    return rows.join(g.groupBy("group").agg(F.count(F.lit(1)).alias("n")), "group").filter("c = n").select(F.col("group").alias("mask"), "iy", "ix")
+
+
+def differing_masks(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pixels in one mask of each listed pair (a, b) and not in the other: a, b, iy, ix."""
+    p = pairs.select("a", "b").distinct()
+    one = p.join(a.select(F.col("mask").alias("a"), "iy", "ix").distinct(), "a").select("a", "b", "iy", "ix")
+    two = p.join(b.select(F.col("mask").alias("b"), "iy", "ix").distinct(), "b").select("a", "b", "iy", "ix")
+    return one.unionByName(two).groupBy("a", "b", "iy", "ix").agg(F.count(F.lit(1)).alias("c")).filter("c = 1").drop("c")
 
 
 def pair_unions(scores: DataFrame, k: int = 5) -> DataFrame:
@@ -132,14 +168,14 @@ def label_transfer(pts: DataFrame, raster: DataFrame, names: DataFrame, nx: int,
     name; label 0 or none is outside. pts: id, x, y in pixels; raster: iy, ix, label."""
     clip = lambda c, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.rint(c).cast("int")))
     p = pts.select("id", clip("x", nx).alias("ix"), clip("y", ny).alias("iy"))
-    return p.join(raster, ["iy", "ix"], "left").join(F.broadcast(names), "label", "left").select("id", F.coalesce("label", F.lit(0)).alias("label"), F.coalesce("name", F.lit("outside")).alias("name"))
+    return p.join(raster, ["iy", "ix"], "left").join(names, "label", "left").select("id", F.coalesce("label", F.lit(0)).alias("label"), F.coalesce("name", F.lit("outside")).alias("name"))
 
 
 def path_prefixes(paths: DataFrame, leaves: DataFrame, least: int = 2) -> DataFrame:
     """Every prefix of at least `least` steps of a hierarchy path, with the leaves under it.
     paths: id, path (/1/2/3/); leaves: id (present in the slice)."""
     parts = F.filter(F.split("path", "/"), lambda x: x != "")
-    rows = paths.join(F.broadcast(leaves), "id", "left_semi").withColumn("parts", parts).filter(F.size("parts") >= least)
+    rows = paths.join(leaves, "id", "left_semi").withColumn("parts", parts).filter(F.size("parts") >= least)
     pre = rows.withColumn("k", F.explode(F.sequence(F.lit(least), F.size("parts")))).select("id", F.concat(F.lit("/"), F.array_join(F.slice("parts", F.lit(1), F.col("k")), "/"), F.lit("/")).alias("prefix"))
     return pre.groupBy("prefix").agg(F.array_sort(F.collect_set("id")).alias("leaves"), F.count_distinct("id").alias("n"))
 
@@ -149,7 +185,7 @@ def candidates(overlap: DataFrame, sets: DataFrame, cluster_area: DataFrame, lab
     labels of each set (candidate, label): Dice, screened and the k best of a cluster."""
     both = overlap.join(sets, "label").groupBy("cluster", "candidate").agg(F.sum("both").alias("both"))
     size = sets.join(label_area, "label").groupBy("candidate").agg(F.sum("area").alias("ca"))
-    d = both.join(F.broadcast(size), "candidate").join(F.broadcast(cluster_area), "cluster").withColumn("dice", 2 * F.col("both") / (F.col("ca") + F.col("area")))
+    d = both.join(size, "candidate").join(cluster_area, "cluster").withColumn("dice", 2 * F.col("both") / (F.col("ca") + F.col("area")))
     w = Window.partitionBy("cluster").orderBy(F.desc("dice"), "candidate")
     return d.filter(F.col("dice") >= least).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("cluster", "candidate", "dice", "rank")
 

@@ -34,7 +34,7 @@ def prepare(pts: DataFrame, grid_n: int | None = None, radius: float | None = No
     occupied = pts.select(F.floor((F.col("x") - box["x0"]) / spacing).alias("gx"), F.floor((F.col("y") - box["y0"]) / spacing).alias("gy")).distinct()
     grid = occupied.select((F.col("gy") * (n + 1) + F.col("gx")).alias("id"), ((F.col("gx") + 0.5) * spacing + box["x0"]).alias("x"), ((F.col("gy") + 0.5) * spacing + box["y0"]).alias("y"))
     samples = pts.select("sample_id").distinct()
-    query = grid.join(F.broadcast(samples))
+    query = grid.join(F.broadcast(samples))  # a row a sample
     edges = neighbours.radius_edges(pts, query, r, most, ("sample_id",))
     return Prepared(grid, edges.select("sample_id", "qid", "nid", "d", "w"), r, spacing)
 

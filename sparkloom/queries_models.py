@@ -201,6 +201,20 @@ def mask_union(spark, d):
     return raster.areas(raster.union_masks(m, groups))
 
 
+@query("WITH m AS (SELECT DISTINCT p_type AS mask, floor((p_retailprice - 900) / 4)::INT AS iy, floor(p_size / 2.0)::INT AS ix FROM part), g AS (SELECT k, mask, count(*) OVER (PARTITION BY k) AS c FROM (SELECT DISTINCT left(mask, 1) AS k, mask FROM m WHERE mask < left(mask, 1) || 'R')) SELECT k AS mask, iy, ix FROM m JOIN g USING (mask) GROUP BY k, iy, ix HAVING count(*) = any_value(c)")
+def mask_intersection(spark, d):
+    m = masks(spark, d, "p_type")
+    k = F.substring("mask", 1, 1)
+    return raster.common_masks(m, m.select("mask").distinct().select(k.alias("group"), "mask").filter(F.col("mask") < F.concat(k, F.lit("R"))))
+
+
+@query("WITH a AS (SELECT DISTINCT p_type AS a, floor((p_retailprice - 900) / 4)::INT AS iy, floor(p_size / 2.0)::INT AS ix FROM part), b AS (SELECT DISTINCT p_brand AS b, floor((p_retailprice - 900) / 4)::INT AS iy, floor(p_size / 2.0)::INT AS ix FROM part), p AS (SELECT DISTINCT a.a, b.b FROM a, b), u AS (SELECT p.a, p.b, iy, ix FROM p JOIN a ON a.a = p.a UNION ALL SELECT p.a, p.b, iy, ix FROM p JOIN b ON b.b = p.b) SELECT a, b, count(*) AS area FROM (SELECT a, b, iy, ix FROM u GROUP BY ALL HAVING count(*) = 1) GROUP BY 1, 2")
+def mask_difference(spark, d):
+    a, b = masks(spark, d, "p_type"), masks(spark, d, "p_brand")
+    pairs = a.select(F.col("mask").alias("a")).distinct().join(b.select(F.col("mask").alias("b")).distinct())
+    return raster.differing_masks(pairs, a, b).groupBy("a", "b").agg(F.count(F.lit(1)).alias("area"))
+
+
 @query()
 def effective_t_quantile(spark, d):
     """The null scale of calibration for a few degrees of freedom."""

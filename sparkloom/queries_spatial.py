@@ -171,6 +171,33 @@ def ridge_covariate(spark, d):
     return inference.ridge_two(con(spark, d).withColumn("z", F.col("qid") / 25 - 1), "z")
 
 
+Z3 = "z AS (SELECT *, qid / 25.0 - 1 AS z1, (qid * 7 % 11) / 5.0 - 1 AS z2 FROM c WHERE use), s AS (SELECT gene, contrast, count(*) AS n, sum(1 / v) AS a, sum(z1 / v) AS b, sum(z2 / v) AS c, sum(z1 * z1 / v) + 10 AS d, sum(z1 * z2 / v) AS e, sum(z2 * z2 / v) + 10 AS f, sum(y / v) AS r0, sum(z1 * y / v) AS r1, sum(z2 * y / v) AS r2 FROM z GROUP BY 1, 2), k AS (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS det FROM s), o AS (SELECT gene, contrast, n, (r0 * (d * f - e * e) - b * (r1 * f - e * r2) + c * (r1 * e - d * r2)) / det AS b0, (a * (r1 * f - e * r2) - r0 * (b * f - e * c) + c * (b * r2 - r1 * c)) / det AS b1, (a * (d * r2 - r1 * e) - b * (b * r2 - r1 * c) + r0 * (b * e - d * c)) / det AS b2 FROM k)"
+
+
+def two_covariates(spark, d):
+    rows = con(spark, d).withColumn("z1", F.col("qid") / 25 - 1).withColumn("z2", (F.col("qid") * 7 % 11) / 5 - 1)
+    return rows, inference.ridge(rows, ["z1", "z2"])
+
+
+@query(f"WITH {CON}, {Z3} SELECT * FROM o", "b0 b1 b2", 5)
+def ridge_covariates(spark, d):
+    return two_covariates(spark, d)[1].select("gene", "contrast", "n", *[F.get("b", F.lit(k)).alias(f"b{k}") for k in range(3)])
+
+
+@query(f"WITH {CON}, {Z3} SELECT z.gene, z.contrast, qid, y - b1 * z1 - b2 * z2 AS y_adj, CASE WHEN n >= 5 THEN (y - b0 - b1 * z1 - b2 * z2) / sqrt(v) END AS t, greatest(n - 3, 5)::DOUBLE AS df FROM z JOIN o ON o.gene = z.gene AND o.contrast = z.contrast", "y_adj t", 4)
+def adjusted_effects(spark, d):
+    """Grid effects with the part that two covariates explain taken off."""
+    rows, fit = two_covariates(spark, d)
+    return inference.adjusted(rows, fit, ["z1", "z2"]).filter("use").select("gene", "contrast", "qid", "y_adj", "t", "df")
+
+
+@query()
+def trajectory_pretest(spark, d):
+    rows = con(spark, d)
+    tests = inference.local_tests(rows, inference.ridge_intercept(rows)).withColumn("ord", F.col("contrast"))
+    return inference.trajectory_pretest(tests).select("gene", "contrast", "qid", "z", "p", "q", "sig")
+
+
 @query()
 def local_t_p(spark, d):
     rows = con(spark, d)

@@ -305,6 +305,12 @@ def pava(spark, d):
     return ranking.isotonic(o.groupBy(F.floor(F.col("o_totalprice") / 50000).alias("i")).agg(F.avg(F.col("o_custkey") % 100).alias("y"), F.count(F.lit(1)).cast("double").alias("w")))
 
 
+@query("SELECT o_orderkey, (rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0) / count(*) OVER () AS pct FROM orders", "pct")
+def pct_rank_all(spark, d):
+    """Average rank over a whole table, by ranges of values."""
+    return ranking.percent_rank_average(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", []).select("o_orderkey", "pct")
+
+
 DAILY = "SELECT event_type AS g, CAST(ts AS DATE) AS t, avg(value) AS v FROM events GROUP BY 1, 2"
 
 

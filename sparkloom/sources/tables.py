@@ -111,7 +111,7 @@ def inference_table(coords: DataFrame, counts: DataFrame, least_spots: int = 1)
     contracts.require_empty(contracts.missing(coords, counts.select("sample_id", "barcode").distinct(), ["sample_id", "barcode"]), "aligned spots without expression")
     kept = counts.join(coords.select("sample_id", "barcode"), ["sample_id", "barcode"], "left_semi")
     support = kept.groupBy("gene").agg(F.count_if(F.col("value") > 0).alias("n")).filter(F.col("n") >= least_spots)
-    return coords, kept.join(F.broadcast(shared_genes(kept)), "gene", "left_semi").join(F.broadcast(support.select("gene")), "gene", "left_semi")
+    return coords, kept.join(shared_genes(kept), "gene", "left_semi").join(support.select("gene"), "gene", "left_semi")
 
 
 def attach_labels(points: DataFrame, labels: DataFrame, order: str) -> DataFrame:
