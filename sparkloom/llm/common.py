@@ -17,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A side of a join is broadcast only when its rows have been measured to be at most so large.
 BROADCAST_BYTES = 32 << 20
+#: Files of a table that is measured to be at most so large.
+FEW_FILES = 16
 #: Rows of one key that a single task ranks or solves, at least; their square root, if that is more.
 CHUNK = 256
 
@@ -42,6 +44,13 @@ def small(df: DataFrame, ok: bool | None = None) -> DataFrame:
     return F.broadcast(df) if (fits(df) if ok is None else ok) else df
 
 
+def cut_few(df: DataFrame, few: bool) -> DataFrame:
+    """cut, in at most FEW_FILES files if the caller has measured that its rows are few (`fits`, of
+    the table itself or of one that bounds it): a loop's small tables would else be as many
+    near-empty files as a shuffle has partitions."""
+    return cut(df.coalesce(FEW_FILES) if few else df)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores behind as no column of df has it."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fits, lean_batches, small, unused, with_row_id, without_rows
+from .common import cut, cut_few, fits, lean_batches, small, unused, with_row_id, without_rows
 from .hashing import column_words, mix
 
 ROWS, BANDS = 6, 45
@@ -119,11 +119,11 @@ def _sets(width: int):
     return run
 
 
-def attach(edges: DataFrame, sets: DataFrame, end: str, name: str) -> DataFrame:
+def attach(edges: DataFrame, sets: DataFrame, end: str, name: str, few: bool) -> DataFrame:
     """The edges with the set of the node at one end. The edges of a node of many are dealt into
-    pieces by their other end, each of which meets a copy of its set."""
+    pieces by their other end, each of which meets a copy of its set. few: the edges are few."""
     many = edges.groupBy(end).agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("pieces")).filter("pieces > 1")
-    many = cut(many)
+    many = cut_few(many, few)
     hot = small(many)
     dealt = edges.join(hot, end, "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("a", "b"), "pieces"), F.lit(0)).cast("int")).drop("pieces")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("pieces") - 1, F.lit(0)))).alias("piece")
@@ -131,42 +131,43 @@ def attach(edges: DataFrame, sets: DataFrame, end: str, name: str) -> DataFrame:
     return dealt.join(held, [end, "piece"]).drop("piece")
 
 
-def confirm(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """The edges (a, b) whose full sets reach PERCENT: 100 * both >= PERCENT * either."""
+def confirm(edges: DataFrame, sets: DataFrame, few: bool) -> DataFrame:
+    """The edges (a, b) whose full sets reach PERCENT: 100 * both >= PERCENT * either. few: they are few."""
     both = F.size(F.array_intersect("sa", "sb"))
-    tested = attach(attach(edges, sets, "b", "sb"), sets, "a", "sa")
+    tested = attach(attach(edges, sets, "b", "sb", few), sets, "a", "sa", few)
     return tested.filter(both * 100 >= (F.size("sa") + F.size("sb") - both) * PERCENT).select("a", "b")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, few: bool = False) -> DataFrame:
     """Connected components of links (a, b): node, comp (the smallest node). In each step a node
     points to its smallest neighbour or itself, pointers are followed once more, ends of links are
     replaced by where they point and links inside a point go; links shrink to none in a few steps,
-    so all steps together cost little more than the first."""
-    edges = cut(links.select("a", "b").filter("a <> b").distinct())
+    so all steps together cost little more than the first. few: the links are measured to be few."""
+    edges = cut_few(links.select("a", "b").filter("a <> b").distinct(), few)
+    few = few or fits(edges)
     labels = None
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a")).toDF("a", "b")
-        to = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p")))
+        to = cut_few(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p")), few)
         ok = fits(to)
-        to = cut(to.join(small(to.select(F.col("a").alias("p"), F.col("p").alias("q")), ok), "p").select("a", F.col("q").alias("p")))
+        to = cut_few(to.join(small(to.select(F.col("a").alias("p"), F.col("p").alias("q")), ok), "p").select("a", F.col("q").alias("p")), few)
         at = lambda c, d: small(to.select(F.col("a").alias(c), F.col("p").alias(d)), ok)
         if labels is None:
             labels = to.select(F.col("a").alias("node"), F.col("p").alias("comp"))
         else:
-            labels = cut(labels.join(at("comp", "p"), "comp", "left").select("node", F.coalesce("p", "comp").alias("comp")))
-        edges = cut(edges.join(at("a", "x"), "a").join(at("b", "y"), "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+            labels = cut_few(labels.join(at("comp", "p"), "comp", "left").select("node", F.coalesce("p", "comp").alias("comp")), few)
+        edges = cut_few(edges.join(at("a", "x"), "a").join(at("b", "y"), "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), few)
     return links.select(F.col("a").alias("node"), F.col("a").alias("comp")).limit(0) if labels is None else labels
 
 
-def stars(members: DataFrame, salt: int) -> DataFrame:
+def stars(members: DataFrame, salt: int, few: bool = False) -> DataFrame:
     """Edges (a, b) between each bucket's members and its two centres, the first and the last member
     in an order that depends on `salt` alone: at most two edges a member, and all pairs of up to
     three. Centres are written out before the join, so that Spark sees their size and can split a
-    hot bucket's members."""
+    hot bucket's members. few: the members are measured to be few."""
     comp = "comp" in members.columns
     order = F.struct(F.xxhash64(F.lit(salt), "node").alias("h"), "node", "n", *(["comp"] if comp else []))
-    ends = cut(members.groupBy("key").agg(F.min(order).alias("c"), F.max(order).alias("z")))
+    ends = cut_few(members.groupBy("key").agg(F.min(order).alias("c"), F.max(order).alias("z")), few)
     ends = small(ends.withColumn("c", F.explode(F.array("c", "z"))).select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("cn"), *([F.col("c.comp").alias("ccomp")] if comp else [])))
     pairs = members.join(ends, "key").filter("node <> centre")
     if comp:
@@ -239,30 +240,32 @@ def link(members: DataFrame, sets_of) -> DataFrame:
     outside a bucket's largest component, but rows of only two members a BLOCK of them."""
     comps = cut(members.select("node").distinct().withColumn("comp", F.col("node")))
     ok = fits(comps)
-    tested, salt, exact = None, 0, False
+    tested, salt, exact, held = None, 0, False, False  # held: the members are few
     while True:
         if salt:
             rows = members.join(small(comps, ok), "node")
             parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"))
             pairs = (F.col("m") * F.col("m") - F.col("s")) / 2
-            mixed = cut(parts.filter(pairs > 0).select("key", (pairs > CROSSING * F.col("m")).alias("large")))
-            rows = cut(rows.join(small(mixed), "key"))
+            mixed = cut_few(parts.filter(pairs > 0).select("key", (pairs > CROSSING * F.col("m")).alias("large")), held)
+            rows = cut_few(rows.join(small(mixed), "key"), held)
+            held = held or fits(rows)
             few, rows = rows.filter(~F.col("large")).drop("large"), rows.filter("large").drop("large")
             last = exact or rows.isEmpty()
-            edges = crossing(few) if last else crossing(few).union(stars(rows, salt)).distinct()
+            edges = crossing(few) if last else crossing(few).union(stars(rows, salt, held)).distinct()
             members = rows.drop("comp")
-            edges = cut(edges.join(tested, ["a", "b"], "left_anti"))
+            edges = cut_few(edges.join(tested, ["a", "b"], "left_anti"), held)  # at most CROSSING + 2 a member
         else:
             last, edges = False, cut(stars(members, salt))
         tested = edges if tested is None else tested.union(edges)
-        found = cut(confirm(edges, sets_of(edges)))
+        few = fits(edges)
+        found = cut(confirm(edges, sets_of(edges, few), few))
         if exact and not rows.isEmpty():
-            found = cut(found.union(blocks(rows, sets_of(rows.select(F.col("node").alias("a"), F.col("node").alias("b"))))))
+            found = cut(found.union(blocks(rows, sets_of(rows.select(F.col("node").alias("a"), F.col("node").alias("b")), False))))
         if not found.isEmpty():
             at = lambda c, d: small(comps.select(F.col("node").alias(c), F.col("comp").alias(d)), ok)
             between = found if not salt else found.join(at("a", "x"), "a").join(at("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-            merged = components(between).toDF("comp", "to")
-            comps = cut(comps.join(small(merged), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+            merged = components(between, few and not (exact and salt)).toDF("comp", "to")
+            comps = cut_few(comps.join(small(merged), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), ok)
         elif salt:
             exact = True
         if last:
@@ -284,16 +287,17 @@ def classes(docs: DataFrame, rid: str, width: int) -> DataFrame:
     shared = cut(banded.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"))
     members = cut(banded.join(small(shared), "key"))
 
-    def sets_of(edges: DataFrame) -> DataFrame:
-        wanted = cut(edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct().join(reps, "node"))
+    def sets_of(edges: DataFrame, few: bool) -> DataFrame:
+        wanted = cut_few(edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct().join(reps, "node"), few)
         rows = scan.select("rid", "text").join(small(wanted), "rid").select("node", "text")
         return cut(rows.mapInArrow(_sets(width), "node long, set array<bigint>"))
 
     comps = link(members, sets_of)
-    labelled = cut(nodes.join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    few = fits(nodes)
+    labelled = cut_few(nodes.join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node")), few)
     best = labelled.groupBy("comp").agg(F.min("rep").alias("best"), F.sum("rows").alias("size")).filter("size > 1")
-    best = cut(best.drop("size"))
-    verdict = cut(labelled.select("print", "comp").join(small(best), "comp").select("print", "best"))
+    best = cut_few(best.drop("size"), few)
+    verdict = cut_few(labelled.select("print", "comp").join(small(best), "comp").select("print", "best"), few)
     out = base.drop("keys").join(small(verdict), "print", "left")
     alone = F.col("best").isNull()
     return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"), (alone | (F.col("rid") == F.col("best.rid"))).alias("kept"))
