@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import clustering, contracts, geometry, neighbours, raster
 from sparkloom.plans import clustering as structure
+from sparkloom.operators import inference as rules
 from sparkloom.plans import alignment, inference
 from sparkloom.sources import tables
 
@@ -205,3 +206,41 @@ def test_ward_levels_keep_every_group(spark):
     assert queries_models.ward_cut(spark, c).select("sample_id").distinct().count() == 60
     with pytest.raises(ValueError, match="more than 59"):
         queries_models.ward_cut(spark, c, 59)
+
+
+def test_ridge_with_covariates_equals_numpy(spark):
+    rng = np.random.default_rng(5)
+    n = 60
+    z, y, w = rng.normal(size=(n, 3)), rng.normal(size=n), rng.random(n) + 0.5
+    rows = [("g", "c", i, float(y[i]), float(w[i]), True, *map(float, z[i])) for i in range(n)]
+    rows += [("g", "c", n, 99.0, 1.0, False, 0.0, 0.0, 0.0), ("g", "c", n + 1, 99.0, 1.0, True, None, 0.0, 0.0)]
+    rows += [("few", "c", i, 1.0, 1.0, True, 0.0, 0.0, 0.0) for i in range(4)]
+    df = spark.createDataFrame(rows, "gene string, contrast string, qid long, y double, w double, use boolean, z1 double, z2 double, z3 double")
+    names = ["z1", "z2", "z3"]
+    fit = rules.ridge(df, names, 4.0, ["z2", "z3"], {"z3": 0.5})
+    got = {r["gene"]: r for r in fit.collect()}
+    x = np.column_stack([np.ones(n), z])
+    b = np.linalg.solve(x.T @ (x * w[:, None]) + np.diag([0, 0, 4.0, 4.0]), x.T @ (w * y) + [0, 0, 0, 2.0])
+    assert got["g"]["n"] == n and np.allclose(got["g"]["b"], b)
+    out = rules.adjusted(df, fit, names).filter("gene = 'g' and use and z1 is not null").orderBy("qid").toPandas()
+    assert np.allclose(out["y_adj"], y - z @ b[1:]) and np.allclose(out["t"], (y - x @ b) * np.sqrt(w)) and (out["df"] == n - 4).all()
+    assert rules.adjusted(df, fit, names).filter("gene = 'few' and t is not null").count() == 0
+
+
+def test_trajectory_pretest_equals_numpy(spark):
+    rng = np.random.default_rng(6)
+    t, use = rng.normal(size=(7, 5)) * 3, rng.random((7, 5)) < 0.7
+    use[0], use[1] = True, [True, False, False, False, False]
+    rows = [("g", f"c{j}", j * 10, i, float(t[i, j]) if use[i, j] else None, bool(use[i, j])) for i in range(7) for j in range(5)]
+    df = spark.createDataFrame(rows, "gene string, contrast string, ord int, qid long, t double, use boolean")
+    got = {(r["qid"], r["contrast"]): r for r in rules.trajectory_pretest(df, 2.0).collect()}
+    d = np.diff(np.eye(5), 2, axis=0)
+    for i in range(7):
+        k = np.flatnonzero(use[i])
+        z = np.linalg.solve(np.eye(len(k)) * (1 + 1e-8) + 2.0 * (d.T @ d)[np.ix_(k, k)], t[i, k]) if len(k) > 1 else t[i, k]
+        for j in range(5):
+            r = got[i, f"c{j}"]
+            if use[i, j]:
+                assert np.isclose(r["z"], z[list(k).index(j)]) and 0 <= r["p"] <= r["q"] <= 1
+            else:
+                assert r["z"] is None and r["p"] is None and not r["sig"]
