@@ -61,15 +61,30 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether df is one scan of files, each read once, with projections and filters only: then a
+    file's name and a row's place in it are the row's alone. Joins, explodes and unions repeat them."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    roots = plan.relation().location().rootPaths()
+    at = sorted(roots.apply(i).toString().rstrip("/") + "/" for i in range(roots.size()))
+    return not any(b.startswith(a) for a, b in zip(at, at[1:]))
+
+
 def with_row_id(docs: DataFrame, name: str) -> DataFrame:
     """docs and, in column `name`, what tells its rows apart in every scan: the file a row stands in
-    (hashed) and its place there, however files are split into tasks. What is no scan of files is
-    written out first, with its ids."""
-    if "_metadata" not in (c.lower() for c in docs.columns):
+    (hashed) and its place there, however files are split into tasks. What is not a plain scan of
+    files (see `is_scan`) is written out first, with its ids."""
+    if "_metadata" not in (c.lower() for c in docs.columns) and is_scan(docs):
         f, r = F.xxhash64(F.col("_metadata.file_path")), F.col("_metadata.row_index")
         try:
             return docs.withColumn(name, F.struct(f.alias("f"), r.alias("r")))
-        except AnalysisException:
+        except AnalysisException:  # a format without row places
             pass
     return cut(docs.withColumn(name, F.struct(F.lit(0).cast("long").alias("f"), F.monotonically_increasing_id().alias("r"))))
 

@@ -39,32 +39,43 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return next(iter(_powers.values()))
 
 
-def _block(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    space = _SPACE[b]
+def _block(b: np.ndarray, gap: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    space = gap[b]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     power, inverse = _tables(len(b))
     sums = np.empty(len(b) + 1, dtype=np.uint64)
     sums[0] = 0
-    np.cumsum(_VALUE[_LOWER[b]] * power[: len(b)], out=sums[1:])
-    return starts, mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(values[_LOWER[b]] * power[: len(b)], out=sums[1:])
+    return starts, ends, mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each word (A-Z lower-cased) in a uint8 array."""
-    starts, hashes, at = [], [], 0
+def values_of(seed: int) -> np.ndarray:
+    """Byte values of another hash of the same kind, for words that this one does not tell apart."""
+    return np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def spans(data: np.ndarray, gap: np.ndarray = _SPACE, values: np.ndarray = _VALUE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of each word (A-Z lower-cased) in a uint8 array; gap: 256 flags, the bytes
+    that part words."""
+    found, at = [], 0
     while at < len(data):
         stop = min(len(data), at + BLOCK)
-        while stop < len(data) and not _SPACE[data[stop]]:
-            more = np.flatnonzero(_SPACE[data[stop : stop + BLOCK]])
+        while stop < len(data) and not gap[data[stop]]:
+            more = np.flatnonzero(gap[data[stop : stop + BLOCK]])
             stop += int(more[0]) if len(more) else len(data[stop : stop + BLOCK])
-        s, h = _block(data[at:stop])
-        starts.append(s + at)
-        hashes.append(h)
+        s, e, h = _block(data[at:stop], gap, values)
+        found.append((s + at, e + at, h))
         at = stop
-    if not starts:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
-    return np.concatenate(starts), np.concatenate(hashes)
+    if not found:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each word (A-Z lower-cased) in a uint8 array."""
+    starts, _, hashes = spans(data)
+    return starts, hashes
 
 
 def column_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

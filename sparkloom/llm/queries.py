@@ -69,8 +69,20 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(documents(spark, sf_dir))
 
 
+def op11_phrase_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import mine
+
+    return mine(documents(spark, sf_dir))
+
+
+def op12_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_dedup
+
+    return line_dedup(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_cube_mix, op2_anchor_pii, op3_weak_supervision, op4_byte_cnn, op5_signatures, op6_minhash, op7_best_fit, op8_differencing, op9_refinement, op10_kneser_ney)}
+    return {f.__name__: f for f in (op1_cube_mix, op2_anchor_pii, op3_weak_supervision, op4_byte_cnn, op5_signatures, op6_minhash, op7_best_fit, op8_differencing, op9_refinement, op10_kneser_ney, op11_phrase_growth, op12_line_runs)}
 
 
 #: Texts without white space; DuckDB regular expressions run on code points.
@@ -96,6 +108,35 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, k.component_id, d.doc_id = k.co
 FROM documents d LEFT JOIN n USING (doc_id) JOIN k USING (doc_id)
 """
 
+#: All phrases of up to three words by self-joins of their counts; lists of words are the keys.
+OP11 = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t),
+o AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+g AS (SELECT lang, m, w[i:i + m - 1] AS g, count(*) AS f FROM o, (SELECT unnest([1, 2, 3]) AS m) WHERE i + m - 1 <= len(w) GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM g WHERE m = 1 GROUP BY lang),
+c AS (SELECT * FROM g WHERE f >= 10),
+x AS (SELECT lang, g, f AS a, unnest(range(1, m)) AS k, m FROM c WHERE m > 1),
+s AS (SELECT x.lang, x.g, x.a, x.m, x.k, u.f AS l, v.f AS r, (1000000::HUGEINT * x.a * x.a) // (u.f::HUGEINT * v.f) AS score
+      FROM x JOIN c u ON u.lang = x.lang AND u.g = x.g[1:x.k] JOIN c v ON v.lang = x.lang AND v.g = x.g[x.k + 1:x.m]),
+b AS (SELECT lang, g, a, m, arg_min({'l': l, 'r': r, 'score': score}, {'score': score, 'k': k}) AS z FROM s GROUP BY ALL),
+q AS (SELECT lang, unnest([g[1:2], g[2:3]]) AS g, f FROM c WHERE m = 3),
+d AS (SELECT lang, g, max(f) AS f FROM q GROUP BY ALL),
+e AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, b.a, b.z.l AS l, b.z.r AS r, b.z.score AS score FROM b LEFT JOIN d ON d.lang = b.lang AND d.g = b.g WHERE d.f IS NULL OR 100 * d.f < 50 * b.a),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM e)
+SELECT k.lang, k.rank, k.phrase, k.a, k.l, k.r, n.n::BIGINT AS n, k.score::BIGINT AS score FROM k JOIN n USING (lang) WHERE k.rank <= 2000
+"""
+
+#: Lines of keys that ten documents share, left out.
+OP12 = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+i AS (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM d),
+l AS (SELECT doc_id, i, a[i] AS line, translate(trim(a[i], concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM i),
+f AS (SELECT k, true AS gone FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(f.gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.gone IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN f USING (k) GROUP BY doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minhash": OP6, "op9_refinement": OP9}
+    return {"op6_minhash": OP6, "op9_refinement": OP9, "op11_phrase_growth": OP11, "op12_line_runs": OP12}
