@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def gene_support(expr: DataFrame, genes: list[str] | None = None) -> DataFrame:
-    """Per gene the observations with a value over 0 and the total; requested genes keep order."""
-    out = expr.groupBy("gene").agg(F.count_if(F.col("value") > 0).alias("detected_spots"), F.sum("value").alias("total_counts"))
+def gene_support(expr: DataFrame, genes: list[str] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per gene (and `by`, such as the sample) the observations with a value over 0 and the total;
+    requested genes keep order."""
+    out = expr.groupBy(*by, "gene").agg(F.count_if(F.col("value") > 0).alias("detected_spots"), F.sum("value").alias("total_counts"))
     if genes is None:
         return out
     if len(set(genes)) != len(genes):
