@@ -32,7 +32,7 @@ LEAST_BITS, MOST_BITS = 16, 27
 #: Pairs or windows that a task gathers before it counts and hands them on.
 GATHER = 1 << 21
 #: Parts in which a language's candidates are ranked first.
-PARTS = 64
+PARTS = 16
 _GAP, _BREAK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
 _GAP[:] = _BREAK
@@ -102,17 +102,32 @@ def _pair(t: _Tokens, names: dict[str, int], at: np.ndarray) -> np.ndarray:
 
 
 def _words(values: np.ndarray):
+    """Of each batch the words, counted: lang, word, n. Here 128 bits tell them apart."""
+    other = values_of(1 << 20)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[str, int] = {}
         for batch in batches:
             t = _Tokens(names, batch, values)
-            order, first = _runs([t.hash, t.lang])
+            again = spans(np.frombuffer(t.data, dtype=np.uint8), _GAP, other)[2]
+            order, first = _runs([again, t.hash, t.lang])
             n = np.diff(np.append(first, len(order)))
             one = order[first]
             low = t.data.lower()  # of bytes: A-Z only
             words = [low[s:e] for s, e in zip(t.start[one].tolist(), t.end[one].tolist())]
             langs = pa.array(list(names), pa.string()).take(pa.array(t.lang[one]))
-            yield pa.RecordBatch.from_arrays([langs, pa.array(words, pa.binary()).cast(pa.string()), pa.array(t.hash[one].view(np.int64)), pa.array(n)], ["lang", "word", "h", "n"])
+            yield pa.RecordBatch.from_arrays([langs, pa.array(words, pa.binary()).cast(pa.string()), pa.array(n)], ["lang", "word", "n"])
+
+    return run
+
+
+def _hash_words(values: np.ndarray):
+    """lang, word, n to lang, word, h, n: the hash that the word has in texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = _Tokens({}, pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["lang", "word"]), values)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(t.hash.view(np.int64)), batch.column(2)], ["lang", "word", "h", "n"])
 
     return run
 
@@ -138,7 +153,9 @@ def _pairs(values: np.ndarray, words):
     return run
 
 
-def _windows(values: np.ndarray, words, pairs, longest: int):
+def _windows(values: np.ndarray, words, pairs, hot, longest: int):
+    """The places where a frequent pair begins, each with the words that may follow it (0: none does),
+    counted: lang, w1.., n, and whether the pair may have too many places for one task."""
     cols = [f"w{i + 1}" for i in range(longest)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,25 +164,27 @@ def _windows(values: np.ndarray, words, pairs, longest: int):
         def counted():
             columns = [np.concatenate(c) for c in zip(*held)]
             order, first = _runs(columns[::-1])
-            lang, *rest = (c[order[first]] for c in columns)
+            lang, large, *rest = (c[order[first]] for c in columns)
             n = np.diff(np.append(first, len(order)))
             langs = pa.array(list(names), pa.string()).take(pa.array(lang))
-            return pa.RecordBatch.from_arrays([langs, *[pa.array(c.view(np.int64)) for c in rest], pa.array(n)], ["lang", *cols, "n"])
+            return pa.RecordBatch.from_arrays([langs, *[pa.array(c.view(np.int64)) for c in rest], pa.array(n), pa.array(large)], ["lang", *cols, "n", "hot"])
 
         for batch in batches:
             t = _Tokens(names, batch, values)
             at = np.flatnonzero(t.joined(words.value))
-            at = at[_known(_pair(t, names, at), pairs.value)]
+            pair = _pair(t, names, at)
+            some = _known(pair, pairs.value)
+            at, pair = at[some], pair[some]
             go = np.zeros(len(t.hash) + 1, dtype=bool)  # a frequent pair begins here
             go[at] = True
-            out, open_ = [t.lang[at], t.hash[at], t.hash[at + 1]], np.ones(len(at), dtype=bool)
+            out, open_ = [t.lang[at], _known(pair, hot.value), t.hash[at], t.hash[at + 1]], np.ones(len(at), dtype=bool)
             for k in range(2, longest):
-                next_ = np.minimum(at + k, len(t.hash) - 1)
                 open_ = open_ & go[np.minimum(at + k - 1, len(t.hash))]
-                out.append(np.where(open_, t.hash[next_], np.uint64(0)) if len(at) else t.hash[at])
+                next_ = t.hash[np.minimum(at + k, len(t.hash) - 1)] if len(at) else t.hash[at]
+                out.append(np.where(open_, next_, np.uint64(0)))
             held.append(out)
             size += len(at)
-            if size >= GATHER:
+            if size >= GATHER // 4:
                 yield counted()
                 held, size = [], 0
         if size:
@@ -199,55 +218,65 @@ def extend(lang: np.ndarray, words: list[np.ndarray], n: np.ndarray, depth: int,
 
 
 def _grow(depth: int, longest: int, least: int):
+    """Grow the prefixes of one bucket. Rows marked hot are parts of a prefix that other buckets have
+    too; they are counted, and come out open."""
     cols = [f"w{i + 1}" for i in range(longest)]
 
     def run(table: pa.Table) -> pa.Table:
         langs = table.column("lang").combine_chunks().dictionary_encode()
         lang, words, n = langs.indices.to_numpy(), [table.column(c).to_numpy() for c in cols], table.column("n").to_numpy()
-        order = np.lexsort([*words[::-1], lang])
-        lang, words, n = lang[order], [w[order] for w in words], n[order]
-        found = extend(lang, words, n, depth, least)
+        hot = table.column("hot").to_numpy()
+        order, first = _runs([*words[::-1], lang, hot])
+        split = np.searchsorted(first, len(hot) - hot.sum())  # hot ones come last
+        same = np.add.reduceat(n[order], first) if len(first) else n[:0]
+        lang, words = lang[order[first]], [w[order[first]] for w in words]
+        found = extend(lang[:split], [w[:split] for w in words], same[:split], depth, least)
         row, size, f = (np.array(x, dtype=np.int64) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
-        out = [np.where(size > i, words[i][row], 0) for i in range(longest)]
-        return pa.table([langs.dictionary.take(pa.array(lang[row])), *[pa.array(c, pa.int64()) for c in out], pa.array(f, pa.int64())], ["lang", *cols, "f"])
+        out = [np.concatenate([np.where(size > i, words[i][row], 0), words[i][split:]]) for i in range(longest)]
+        names = langs.dictionary.take(pa.array(np.concatenate([lang[row], lang[split:]])))
+        return pa.table([names, *[pa.array(c, pa.int64()) for c in out], pa.array(np.concatenate([f, same[split:]]), pa.int64()), pa.array(np.arange(len(names)) >= len(f))], ["lang", *cols, "f", "open"])
 
     return run
 
 
-def grow(windows: DataFrame, longest: int, least: int, start: int = 2) -> DataFrame:
+def grow(windows: DataFrame, tasks: int, longest: int, least: int) -> DataFrame:
     """lang, w1.. (0 where a phrase has ended) and f of all phrases of at least two words found at
-    least `least` times, from the materialised windows (lang, w1.., n), each distinct."""
+    least `least` times, from windows (lang, w1.., n, hot). Windows are shuffled once, those of a
+    prefix to one task; a hot prefix's are dealt over all, counted there, and go on in rounds: what
+    Spark counts to be too many rows for one task is split by the next word."""
     cols = [f"w{i + 1}" for i in range(longest)]
-    shape = f"lang string, {', '.join(f'{c} long' for c in cols)}, f long"
-    out, rows, depth = [], windows, start
-    while True:
+    shape = f"lang string, {', '.join(f'{c} long' for c in cols)}, f long, open boolean"
+
+    def deal(rows: DataFrame, depth: int, tasks: int) -> DataFrame:
+        bucket = F.pmod(F.when(F.col("hot"), F.xxhash64("lang", *cols)).otherwise(F.xxhash64("lang", *cols[:depth])), F.lit(tasks))
+        return cut(rows.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_grow(depth, longest, least), shape))
+
+    first = deal(windows, 2, tasks)
+    grown, depth = first.filter("not open").drop("open"), 2
+    rows = first.filter("open").withColumnRenamed("f", "n").drop("open")
+    while not rows.isEmpty():
         prefix = ["lang", *cols[:depth]]
-        hot = cut(rows.groupBy(*prefix).agg(F.sum("n").alias("f"), F.count(F.lit(1)).alias("c")).filter(F.col("c") > PREFIX_ROWS).drop("c"))
-        none = hot.isEmpty()
-        tasks = max(1, -(-rows.count() // TASK_ROWS))
-        cold = rows if none else rows.join(small(hot), prefix, "left_anti")
-        bucket = F.pmod(F.xxhash64(*prefix), F.lit(tasks)).alias("bucket")
-        out.append(cut(cold.select("*", bucket).groupBy("bucket").applyInArrow(_grow(depth, longest, least), shape)))
-        if none or depth == longest:
+        large = cut(rows.groupBy(*prefix).agg(F.sum("n").alias("f"), F.count(F.lit(1)).alias("c")).filter(F.col("c") > PREFIX_ROWS).drop("c"))
+        cold = rows.join(small(large.drop("f")), prefix, "left_anti").withColumn("hot", F.lit(False))
+        grown = grown.unionByName(deal(cold, depth, max(1, -(-rows.count() // TASK_ROWS))).drop("open"))
+        grown = grown.unionByName(large.filter(F.col("f") >= least).select("lang", *[c if c in prefix else F.lit(0).cast("long").alias(c) for c in cols], "f"))
+        if depth == longest:  # every row is a phrase of its own
             break
-        out.append(hot.filter(F.col("f") >= least).select("lang", *[c if c in prefix else F.lit(0).cast("long").alias(c) for c in cols], "f"))
-        rows = cut(rows.join(small(hot.drop("f")), prefix, "left_semi").filter(F.col(cols[depth]) != 0))
+        rows = cut(rows.join(small(large.drop("f")), prefix, "left_semi").filter(F.col(cols[depth]) != 0))
         depth += 1
-    grown = out[0]
-    for x in out[1:]:
-        grown = grown.unionByName(x)
     return grown
 
 
 def count_words(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """The table of words (lang, word, h, n) and the byte values of their hash, by which no two words
-    of a language are alike: should two be, the words are counted anew with other values."""
+    of a language are alike: should two be, other values are taken."""
+    counted = texts.mapInArrow(_words(_VALUE), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     seed, values = 0, _VALUE
     while True:
-        raw = texts.mapInArrow(_words(values), "lang string, word string, h long, n long")
-        words = cut(raw.groupBy("lang", "word", "h").agg(F.sum("n").alias("n")))
+        words = cut(counted.mapInArrow(_hash_words(values), "lang string, word string, h long, n long"))
         if words.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty():
             return words, values
+        counted = words.select("lang", "word", "n")
         seed += 1
         values = values_of(seed)
 
@@ -260,12 +289,12 @@ def frequent(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tup
     words, values = count_words(texts)
     send = spark.sparkContext.broadcast
     known = send(bit_filter(cut(words.filter(F.col("n") >= least).select("h").distinct())))
-    pairs = texts.mapInArrow(_pairs(values, known), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    both = send(bit_filter(cut(pairs.filter(F.col("n") >= least).select("k"))))
+    pairs = cut(texts.mapInArrow(_pairs(values, known), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
+    both, hot = send(bit_filter(pairs.select("k"))), send(bit_filter(pairs.filter(F.col("n") > PREFIX_ROWS).select("k")))
+    places = pairs.agg(F.sum("n")).first()[0] or 0
     cols = [f"w{i + 1}" for i in range(longest)]
-    found = texts.mapInArrow(_windows(values, known, both, longest), f"lang string, {', '.join(f'{c} long' for c in cols)}, n long")
-    windows = cut(found.groupBy("lang", *cols).agg(F.sum("n").alias("n")))
-    grams = grow(windows, longest, least)
+    windows = texts.mapInArrow(_windows(values, known, both, hot, longest), f"lang string, {', '.join(f'{c} long' for c in cols)}, n long, hot boolean")
+    grams = grow(windows, max(1, -(-places // TASK_ROWS)), longest, least)
     return words, cut(grams.select("lang", F.filter(F.array(*cols), lambda x: x != 0).alias("g"), "f"))
 
 
