@@ -2,7 +2,8 @@
 
 An observation is a row of text with an id and a sample; its features are the text's words, counted
 as transcripts of genes are. The job follows a folder of Parquet files as a file stream with a
-checkpoint: a run takes the files that earlier runs have not seen, in batches, and ends. Written are
+checkpoint: a run takes the files that earlier runs have not seen, in batches, and ends. `documents`
+is a folder or a glob (of a single file too: file streams take no plain file). Written are
 
   counts/batch=.../sample_id=...         obs, gene, value
   observations/batch=.../sample_id=...   obs, counts, genes, control, kept (by quality control)

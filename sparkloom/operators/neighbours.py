@@ -1,70 +1,25 @@
-"""Neighbour joins over 2-D points by grid buckets, and the aggregates that ride on their edges.
+"""Neighbour joins over 2-D points, and the aggregates that ride on their edges.
 
-Points: id, x, y (and a `by` column, such as the sample, that neighbours must share). Buckets are
-joined to the nine cells around a query by equality, so no join is a product; the ranked window is
-limited to k rows a query, which Spark prunes before its shuffle."""
+Points: id, x, y (and a `by` column, such as the sample, that neighbours must share). Points are
+joined by the leaves of a quadtree (see `cells`), so no join is a product and a dense core is no hot
+key; the ranked window is limited to k rows a query, which Spark prunes before its shuffle."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import cut
-
-
-def _ring(df: DataFrame, side: float, reach: int = 1) -> DataFrame:
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
-    cells = F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: F.struct((F.floor(F.col("qx") / side) + i).alias("gx"), (F.floor(F.col("qy") / side) + j).alias("gy")))))
-    return df.withColumn("cell", F.explode(cells)).select("*", "cell.*").drop("cell")
-
-
-def _near(data: DataFrame, query: DataFrame, side: float, by: list[str]) -> DataFrame:
-    """All pairs whose cells touch, with d2."""
-    d = data.select(*by, F.col("id").alias("nid"), F.col("x").alias("nx"), F.col("y").alias("ny"), F.floor(F.col("x") / side).alias("gx"), F.floor(F.col("y") / side).alias("gy"))
-    q = _ring(query.select(*by, F.col("id").alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy")), side)
-    dx, dy = F.col("nx") - F.col("qx"), F.col("ny") - F.col("qy")
-    return q.join(d, [*by, "gx", "gy"]).withColumn("d2", dx * dx + dy * dy)
+from . import cells
 
 
 def knn(data: DataFrame, query: DataFrame, k: int, by: tuple[str, ...] = (), include_self: bool = True) -> DataFrame:
     """Exact k nearest data points of each query: by..., qid, nid, d, rank (1 nearest; ties by nid).
-
-    The first bucket side is what k points need at the mean density. A query is settled when its
-    k-th distance is within the side (nothing outside the nine cells can be nearer); the others go
-    on with wider cells, up to the whole extent. include_self=False leaves out nid = qid."""
-    by = list(by)
-    box = data.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1)), F.count_distinct(*by) if by else F.lit(1)).first()
-    if not box[4]:
-        return _near(data, query, 1.0, by).limit(0).select(*by, "qid", "nid", F.sqrt("d2").alias("d"), F.lit(1).alias("rank"))
-    far = query.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    far = far if far[0] is not None else box
-    extent = max(max(box[1], far[1]) - min(box[0], far[0]), max(box[3], far[3]) - min(box[2], far[2]), 1e-9)
-    width, height = max(box[1] - box[0], 1e-9), max(box[3] - box[2], 1e-9)
-    side = max(math.sqrt((k + 1) * width * height / max(box[4] / max(box[5], 1), 1)), extent * 1e-6)
-    w = Window.partitionBy(*by, "qid").orderBy("d2", "nid")
-    done, open_ = [], query.select(*by, "id", "x", "y")
-    while True:
-        pairs = _near(data, open_, side, by)
-        pairs = pairs if include_self else pairs.filter("nid <> qid")
-        # written out: the next round's queries depend on it twice
-        best = cut(pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(*by, "qid", "nid", F.sqrt("d2").alias("d"), "rank"))
-        if side >= extent:
-            done.append(best)
-            break
-        kth = cut(best.groupBy(*by, "qid").agg(F.max("d").alias("m"), F.count(F.lit(1)).alias("c")).filter((F.col("c") == k) & (F.col("m") <= side)).select(*by, "qid"))
-        done.append(best.join(kth, [*by, "qid"], "left_semi"))
-        open_ = cut(open_.join(kth.withColumnRenamed("qid", "id"), [*by, "id"], "left_anti"))
-        if open_.isEmpty():
-            break
-        side *= 2.5
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out
+    include_self=False leaves out nid = qid."""
+    found = cells.neighbours(data, query, list(by), k, include_self=include_self)
+    return found.select(*by, "qid", "nid", F.sqrt("d2").alias("d"), "rank")
 
 
 def knn_vectors(vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
@@ -100,10 +55,7 @@ def knn_vectors(vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
 def radius_edges(data: DataFrame, query: DataFrame, radius: float, most: int | None = None, by: tuple[str, ...] = (), scale: float | None = None) -> DataFrame:
     """Neighbours within the radius (inclusive), the nearest `most` of them, with Gaussian weight
     exp(-(d / scale)^2 / 2), scale the radius unless given: by..., qid, nid, d, w."""
-    pairs = _near(data, query, radius, list(by)).filter(F.col("d2") <= radius * radius)
-    if most is not None:
-        order = Window.partitionBy(*by, "qid").orderBy("d2", "nid")
-        pairs = pairs.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= most)
+    pairs = cells.neighbours(data, query, list(by), most, radius)
     h = scale or radius
     return pairs.select(*by, "qid", "nid", F.sqrt("d2").alias("d"), F.exp(-0.5 * F.col("d2") / (h * h)).alias("w"))
 
@@ -154,13 +106,13 @@ def count_moments(edges: DataFrame, values: DataFrame) -> DataFrame:
 def shared_edges(nn: DataFrame, always: int = 3, least: int = 5) -> DataFrame:
     """Shared-nearest-neighbour graph of a kNN table (self included as rank 1): an edge stays if its
     rank is at most `always` or its ends share `least` neighbours; weight 1 / (1 + d); made
-    symmetric by the maximum: i < j, w."""
+    symmetric by the maximum: i < j, w. Ends are compared by their lists of k neighbours, so a hub
+    costs a list for each of its edges and no more."""
     a = nn.select(F.col("qid").alias("i"), F.col("nid").alias("j"), "d", "rank").filter("i <> j")
-    left = nn.select(F.col("qid").alias("i"), F.col("nid").alias("m"))
-    right = nn.select(F.col("qid").alias("j"), F.col("nid").alias("m"))
-    shared = a.join(left, "i").join(right, ["j", "m"]).groupBy("i", "j").agg(F.count(F.lit(1)).alias("shared"))
-    kept = a.join(shared, ["i", "j"], "left").filter((F.col("rank") <= always) | (F.coalesce("shared", F.lit(0)) >= least))
-    return symmetric(kept.select("i", "j", (1 / (1 + F.col("d"))).alias("w")))
+    lists = nn.groupBy("qid").agg(F.collect_set("nid").alias("m"))
+    both = a.join(lists.toDF("i", "mi"), "i").join(lists.toDF("j", "mj"), "j", "left")
+    shared = F.coalesce(F.size(F.array_intersect("mi", "mj")), F.lit(0))
+    return symmetric(both.filter((F.col("rank") <= always) | (shared >= least)).select("i", "j", (1 / (1 + F.col("d"))).alias("w")))
 
 
 def symmetric(edges: DataFrame, how: str = "max") -> DataFrame:
