@@ -16,7 +16,7 @@ KINDS = ("email", "ip", "card", "phone", "url", "account", "secret")
 BASE = KINDS[:4]
 SLICE = 512
 #: Identifier cues and the kind of what follows them.
-CUES = {"account": "account", "acct": "account", "iban": "account", "routing": "account", "passport": "account", "ssn": "account", "customer id": "account", "member id": "account", "token": "secret", "api key": "secret", "api_key": "secret", "apikey": "secret", "secret": "secret", "password": "secret", "passwd": "secret"}
+CUES = {"account": "account", "acct": "account", "iban": "account", "routing": "account", "passport": "account", "ssn": "account", "customer id": "account", "member id": "account", "token": "secret", "api key": "secret", "api_key": "secret", "apikey": "secret", "secret": "secret", "password": "secret", "passwd": "secret", "passphrase": "secret", "access key": "secret", "access_key": "secret", "private key": "secret", "bearer": "secret"}
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGITS = re.compile(r"[0-9]+")
@@ -25,7 +25,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE_RUN = re.compile(r"[\x20().0-9-]+")
 _URL_REST = re.compile(r"[^\s<>\"']+")
 _HEAD = r"(?:\s{0,2}(?:number|no\.?|id|key|code))?\s{0,3}[:=#]?\s{0,3}[\"']?"
-_BEFORE_RUN = re.compile(_HEAD + r"(?=[A-Za-z0-9][A-Za-z0-9_-]{5})")
+#: What stands between a secret's cue and the secret: the sign that gives it, and a quote.
+_BEFORE_SECRET = re.compile(r"(?:\s{0,2}(?:number|no\.?|id|key|code|value))?[\"'`]?(?:\s{0,3}(:=|=>|[:=]|\bis\b|#))?\s{0,3}([\"'`]?)(?=[A-Za-z0-9][A-Za-z0-9_-]{5})")
+#: How keys of well-known services begin.
+_KEY_PREFIX = re.compile(r"(?:sk|pk|rk)[-_][A-Za-z0-9]|gh[opsu]_|github_pat_|glpat-|xox[abeprs]-|AKIA|ASIA|AIza|eyJ")
 _BEFORE_GROUP = re.compile(_HEAD + r"(?=[A-Za-z0-9])")
 _RUN = re.compile(r"[A-Za-z0-9_-]+")
 #: Tokens go on over the marks of base64, of three-part tokens and of paths, but don't end on a stop.
@@ -85,6 +88,20 @@ def account(text: str, at: int) -> int:
     return m.end() if m and len(m[0]) >= 6 and sum(c in "0123456789" for c in m[0]) >= 4 else 0
 
 
+def secret(run: str, sign: str | None, quoted: bool) -> bool:
+    """Whether what follows a secret's cue looks like one, by the sign between and its shape: a key
+    prefix, four digits or more, or, behind a sign, what is quoted, mixes letters with digits or
+    cases from eight characters on, or is longer than words are. A word alone is none."""
+    digits = sum(c in "0123456789" for c in run)
+    if digits >= 4 or len(run) >= 16 and _KEY_PREFIX.match(run):
+        return True
+    if not sign:
+        return False
+    letters = [c for c in run if c.isalpha()]
+    mixed = any(c.isupper() for c in letters[1:]) and any(c.islower() for c in letters)
+    return quoted and sign != "is" or len(run) >= 8 and bool(digits or mixed) or len(run) >= 16 and sign != "is"
+
+
 #: What reads the identifier behind a cue; `account` behind all others of its kind.
 PARSERS = {"iban": iban, "ssn": ssn, "routing": routing, "passport": passport}
 
@@ -161,9 +178,9 @@ def find(text: str, auto) -> dict[str, list[tuple[int, int]]]:
                         out[kind].append((m.end(), stop))
                     elif what not in PARSERS:  # nor has any end of this run four digits
                         failed[kind] = _RUN.match(text, m.end()).end()
-            elif (m := _BEFORE_RUN.match(text, last + 1)) and m.end() >= failed[kind]:
+            elif (m := _BEFORE_SECRET.match(text, last + 1)) and m.end() >= failed[kind]:
                 run = _TOKEN.match(text, m.end())
-                if sum(c in "0123456789" for c in run[0]) >= 4:
+                if secret(run[0], m[1], bool(m[2]) and text[run.end() : run.end() + 1] == m[2]):
                     end[kind] = run.end()
                     out[kind].append(run.span())
                 else:
@@ -195,7 +212,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     of all kinds but url), a row per document; one scan without a shuffle.
 
     Null text counts as empty and has no spans; repeated rows are scanned like others; other
-    columns are ignored; an empty table gives an empty one."""
+    columns are ignored, whatever their names; an empty table gives an empty one."""
     lean_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, " + "".join(f"n_{k} long, " for k in KINDS) + "base_sha256 string, spans string"
@@ -205,7 +222,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 def redact(text: str, found: dict[str, list[tuple[int, int]]]) -> str:
     """The text with spans replaced by their kind in brackets. Spans that overlap are replaced as one,
-    by all their kinds, so that nothing of any span stays."""
+    by all their kinds, so that nothing of any span stays; an empty text stays empty."""
     out, at = [], 0
     for s, e, k in sorted((s, e, k) for k, xs in found.items() for s, e in xs):
         if out and s < at:

@@ -127,6 +127,23 @@ def test_pii_takes_whole_identifiers(before, what, after):
     assert what[-4:] not in pii.redact(text, pii.find(text, AUTO))
 
 
+SECRETS = ["api_key: hunter2hunter", "password: correcthorsebattery", "secret = 'aB3xY9kLm2'", "my Password is abc12345", 'the "api_key": "opensesame",', "Bearer eyJhbGciOiJub25lIn0.e30.x", "token ghp_abcdefghijklmnopqrst", "PASSWORD=Tr0ubadour"]
+NO_SECRETS = ["password policy", "token economy", "Token: Something", "the secret: because of", "password is required", "secretary: information", "a token of appreciation", "password: required", "Secret Intelligence", "api key rotation"]
+
+
+@pytest.mark.parametrize("text", SECRETS)
+def test_pii_secrets_by_shape(text):
+    found = pii.find(text, AUTO)
+    assert len(found["secret"]) == 1
+    start, end = found["secret"][0]
+    assert text[start:end] not in pii.redact(text, found) and not set(text[start:end]) & set("\"'")
+
+
+@pytest.mark.parametrize("text", NO_SECRETS)
+def test_pii_leaves_words_alone(text):
+    assert pii.find(text, AUTO)["secret"] == []
+
+
 def test_pii_runs_stay_linear():
     text = "token x_" + "token-secret_" * 100_000
     began = time.perf_counter()
