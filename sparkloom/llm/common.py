@@ -89,9 +89,46 @@ def with_row_id(docs: DataFrame, name: str) -> DataFrame:
     return cut(docs.withColumn(name, F.struct(F.lit(0).cast("long").alias("f"), F.monotonically_increasing_id().alias("r"))))
 
 
+def _bucket(rid: str) -> list[Column]:
+    return [F.col(f"{rid}.f").alias("__f"), F.bitmap_bucket_number(f"{rid}.r").alias("__b")]
+
+
+def row_bits(ids: DataFrame) -> DataFrame:
+    """The row ids in the one column of ids as bits: a row for each 32,768 rows of a file that have
+    one, at most 4 KiB, so an eighth of a byte for each row of the table."""
+    (rid,) = ids.columns
+    return ids.groupBy(*_bucket(rid)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(f"{rid}.r")).alias("__bits"))
+
+
+def _marked(docs: DataFrame, rid: str, bits: DataFrame) -> DataFrame:
+    """docs and, in __in, whether a row's id is among the (broadcast) bits."""
+    f, b = _bucket(rid)
+    place = F.bitmap_bit_position(f"{rid}.r")
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    set_ = F.getbit(byte, (place % 8).cast("int")) == 1
+    joined = docs.withColumns({"__rf": f, "__rb": b}).join(F.broadcast(bits), (F.col("__rf") == F.col("__f")) & (F.col("__rb") == F.col("__b")), "left")
+    return joined.withColumn("__in", F.coalesce(set_, F.lit(False))).drop("__rf", "__rb", "__f", "__b", "__bits")
+
+
+def only_rows(docs: DataFrame, rid: str, ids: DataFrame) -> DataFrame | None:
+    """docs (row ids in `rid`) with the rows whose ids are in the one column of ids, a materialised
+    table: by a broadcast of the ids or, where they are too many, of their bits. None where both are
+    too large to broadcast."""
+    if fits(ids):
+        return docs.join(F.broadcast(ids.toDF(rid)), rid, "left_semi")
+    bits = cut(row_bits(ids))
+    return _marked(docs, rid, bits).filter("__in").drop("__in") if fits(bits) else None
+
+
 def without_rows(docs: DataFrame, rid: str, gone: DataFrame) -> DataFrame:
-    """docs (with row ids in `rid`) without the rows whose ids are in the one column of `gone`."""
-    return docs.join(small(gone.toDF(rid)), rid, "left_anti").drop(rid)
+    """docs (with row ids in `rid`) without the rows whose ids are in the one column of `gone`, a
+    materialised table: by a broadcast of the ids or of their bits, else by a join that shuffles."""
+    if fits(gone):
+        return docs.join(F.broadcast(gone.toDF(rid)), rid, "left_anti").drop(rid)
+    bits = cut(row_bits(gone))
+    if fits(bits):
+        return _marked(docs, rid, bits).filter("NOT __in").drop("__in", rid)
+    return docs.join(gone.toDF(rid), rid, "left_anti").drop(rid)
 
 
 def lean_batches(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, cut, fits, small, unused, with_row_id, without_rows
+from .common import WS, cut, only_rows, small, unused, with_row_id, without_rows
 
 PREFIX = 256
 
@@ -21,8 +21,9 @@ def settle(docs: DataFrame, rid: str, digest: bool) -> tuple[DataFrame, DataFram
 
     The first scan writes the short rows; with `digest` they hold the full hash of every text.
     Without, only texts that share length and prefix hash with another are hashed, in a second scan
-    that finds them by their row ids. Where these ids are too many to broadcast, that scan hashes
-    every text rather than shuffle any, and the other hashes are dropped."""
+    that finds them by their row ids or, where these are many, by a bit for each row. Only where the
+    bits are too many to broadcast too (some 270 million rows), that scan hashes every text rather
+    than shuffle any, and the other hashes are dropped."""
     norm = normal("text")
     rows = docs.select(F.col(rid).alias("rid"), "doc_id", "text")
     cols = ["rid", "doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n"), F.length(norm).alias("m"), F.xxhash64(F.substring(norm, 1, PREFIX)).alias("p")]
@@ -32,11 +33,8 @@ def settle(docs: DataFrame, rid: str, digest: bool) -> tuple[DataFrame, DataFram
     shared = sig.join(small(alike), ["m", "p"], "left_semi")
     if not digest:
         shared = cut(shared)
-        ids, sha = shared.select("rid"), F.sha2(norm, 256).alias("text_sha256")
-        if fits(ids):
-            hashed = cut(rows.join(F.broadcast(ids), "rid").select("rid", sha))
-        else:
-            hashed = cut(rows.select("rid", sha))
+        alive = only_rows(rows, "rid", shared.select("rid"))
+        hashed = cut((rows if alive is None else alive).select("rid", F.sha2(norm, 256).alias("text_sha256")))
         shared = shared.join(hashed, "rid")
     same = ["m", "p", "text_sha256"]
     best = F.min(F.struct(-F.col("n"), F.col("doc_id").isNull().alias("x"), "doc_id", "rid"))

@@ -67,3 +67,27 @@ def test_other_callers(spark, at, way):
     assert mixing.take_mix(docs).count() == whole
     lines = line_dedup.line_dedup(docs, 2).collect()
     assert len(lines) == 62 and all(r["n_dropped"] == 1 for r in lines if r["doc_id"] != 99)
+
+
+def test_ids_as_bits(spark, tmp_path, monkeypatch):
+    """Where ids are too many to broadcast, their bits find the same rows; else all are hashed."""
+    rows = [(i, f"twice {i // 2}" if i < 4000 else f"once {i}") for i in range(5000)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    ids = common.cut(common.with_row_id(docs, "rid").filter("doc_id % 3 = 0").select("rid"))
+    want = sorted(r["doc_id"] for r in exact_dedup.drop_copies(docs).collect())
+    assert len(want) == 3000
+    for most, left in ((64 << 10, True), (1, False)):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+        assert not common.fits(ids) and common.fits(common.row_bits(ids)) == left
+        alive = common.only_rows(common.with_row_id(docs, "rid"), "rid", ids)
+        assert (alive is not None) == left
+        if left:
+            assert sorted(alive.columns) == ["doc_id", "rid", "text"]
+            assert sorted(r["doc_id"] for r in alive.collect()) == list(range(0, 5000, 3))
+            plan = alive._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+        gone = common.without_rows(common.with_row_id(docs, "rid"), "rid", ids)
+        assert sorted(r["doc_id"] for r in gone.collect()) == [i for i in range(5000) if i % 3]
+        assert sorted(r["doc_id"] for r in exact_dedup.drop_copies(docs).collect()) == want
+        assert sum(r["kept"] for r in exact_dedup.exact_dedup(docs).collect()) == 3000
