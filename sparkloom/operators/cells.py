@@ -155,6 +155,11 @@ def _groups(pdf: pd.DataFrame, by: list[str]) -> Iterator[tuple[tuple, np.ndarra
         yield (), np.arange(len(pdf))
 
 
+def _plain(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Strings as objects: rows that were picked and put together would be chunked arrays else."""
+    return pdf.astype({c: object for c in pdf.columns if pd.api.types.is_string_dtype(pdf[c].dtype)})
+
+
 def _kind(df: DataFrame, *columns: str) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
@@ -180,9 +185,9 @@ def _meet(points: DataFrame, queries: DataFrame, run, shape: str) -> DataFrame:
     parts = cut(_pieces(points, DATA, "np").join(_pieces(queries, QUERIES, "nq"), "leaf", "full_outer").fillna(1))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.coalesce(F.col(n), F.lit(1))).cast("int")
-    p = points.join(F.broadcast(parts), "leaf", "left").withColumns({"s": spread("nq")}).withColumn("t", deal("np")).drop("np", "nq")
-    q = queries.join(F.broadcast(parts), "leaf", "left").withColumns({"t": spread("np")}).withColumn("s", deal("nq")).drop("np", "nq")
-    return q.groupBy("leaf", "s", "t").cogroup(p.groupBy("leaf", "s", "t")).applyInPandas(run, shape)
+    p = points.join(F.broadcast(parts), "leaf", "left").withColumns({"__s": spread("nq")}).withColumn("__t", deal("np")).drop("np", "nq")
+    q = queries.join(F.broadcast(parts), "leaf", "left").withColumns({"__t": spread("np")}).withColumn("__s", deal("nq")).drop("np", "nq")
+    return q.groupBy("leaf", "__s", "__t").cogroup(p.groupBy("leaf", "__s", "__t")).applyInPandas(run, shape)
 
 
 def _nearest(q: pd.DataFrame, p: pd.DataFrame, k: int | None, include_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,7 +210,7 @@ def _nearest(q: pd.DataFrame, p: pd.DataFrame, k: int | None, include_self: bool
 
 
 def neighbours(data: DataFrame, query: DataFrame, by: list[str], k: int | None = None, radius: float | None = None, include_self: bool = True) -> DataFrame:
-    """Pairs by..., qid, nid, d2 of each query (by..., id, x, y) with its k nearest points of data in
+    """Pairs by..., qid, nid, d2 (and rank, with k) of each query (by..., id, x, y) with its k nearest points of data in
     its group, those within `radius` (inclusive), or both; ties by nid. Rows without a finite place
     or with a null group meet nothing.
 
@@ -217,7 +222,7 @@ def neighbours(data: DataFrame, query: DataFrame, by: list[str], k: int | None =
     shape = ", ".join([*kinds, f"qid {qid}", f"nid {nid}", "d2 double"])
     tree, most = build(data, by)
     if not tree:
-        return data.sparkSession.createDataFrame([], shape)
+        return data.sparkSession.createDataFrame([], shape if k is None else f"{shape}, rank int")
     sent = data.sparkSession.sparkContext.broadcast(tree)
     far = float("inf") if radius is None else float(radius) * float(radius)
     reach = None if k is None else k + (not include_self)
@@ -229,7 +234,7 @@ def neighbours(data: DataFrame, query: DataFrame, by: list[str], k: int | None =
                 t = sent.value[key]
                 part = pdf.iloc[at]
                 leaf[at] = t.first + t.locate(t.code(part["x"].to_numpy(), part["y"].to_numpy()))
-            yield pdf.assign(leaf=leaf)
+            yield _plain(pdf.assign(leaf=leaf))
 
     def look(pdf: pd.DataFrame, t: Leaves, but: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
         """The queries, once for each leaf that their circles reach (but one's own)."""
@@ -253,9 +258,9 @@ def neighbours(data: DataFrame, query: DataFrame, by: list[str], k: int | None =
                 own = t.locate(z) if reach is not None else np.full(len(part), -1)
                 part = part.assign(r2=far if reach is None else np.minimum(far, t.bound(x, y, z, reach)), own=own >= 0)
                 out.append(part[own >= 0].assign(leaf=t.first + own[own >= 0]))
-                yield from (x[[*by, "id", "x", "y", "r2", "own", "leaf"]] for x in look(part[own < 0], t))
+                yield from (_plain(x[[*by, "id", "x", "y", "r2", "own", "leaf"]]) for x in look(part[own < 0], t))
             if out:
-                yield pd.concat(out)[[*by, "id", "x", "y", "r2", "own", "leaf"]]
+                yield _plain(pd.concat(out)[[*by, "id", "x", "y", "r2", "own", "leaf"]])
 
     def meet(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -267,7 +272,7 @@ def neighbours(data: DataFrame, query: DataFrame, by: list[str], k: int | None =
             got = part.iloc[row][[*by, "id"]].rename(columns={"id": "qid"}).reset_index(drop=True)
             out.append(got.assign(nid=p["id"].to_numpy()[col], d2=e, x=np.nan, y=np.nan, r2=np.nan, leaf=-1))
             own = part["own"].to_numpy(bool)
-            if k is None or not own.any() or part["t"].iloc[0]:  # parts of one leaf's points would look alike
+            if k is None or not own.any() or part["__t"].iloc[0]:  # parts of one leaf's points would look alike
                 continue
             found = np.bincount(row, minlength=len(part))
             r2 = part["r2"].to_numpy().copy()
@@ -280,7 +285,7 @@ def neighbours(data: DataFrame, query: DataFrame, by: list[str], k: int | None =
             for more in look(part, t, part["leaf"].to_numpy() - t.first):
                 out.append(more[[*by, "id", "x", "y", "r2", "leaf"]].rename(columns={"id": "qid"}).assign(nid=none, d2=np.nan))
         cols = [*by, "qid", "nid", "d2", "x", "y", "r2", "leaf"]
-        return pd.concat([o[cols] for o in out], ignore_index=True) if out else pd.DataFrame({c: [] for c in cols})
+        return _plain(pd.concat([o[cols] for o in out], ignore_index=True)) if out else pd.DataFrame({c: pd.Series([], dtype=object) for c in cols})
 
     points = cut(data.mapInPandas(place, f"{_kind(data, *by, 'id', 'x', 'y')}, leaf long"))
     if k is not None:

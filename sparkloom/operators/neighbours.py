@@ -6,12 +6,9 @@ key; the ranked window is limited to k rows a query, which Spark prunes before i
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import cut
 from . import cells
 
 
@@ -22,36 +19,6 @@ def knn(data: DataFrame, query: DataFrame, k: int, by: tuple[str, ...] = (), inc
     return found.select(*by, "qid", "nid", F.sqrt("d2").alias("d"), "rank")
 
 
-def knn_vectors(vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """Exact k nearest vectors of each vector by Euclidean distance, itself first: qid, nid, d, rank
-    (ties by nid). vectors: id (long), v. Every block of queries meets every block of vectors in a
-    task of its own, so comparisons are quadratic and rows two times rows * blocks."""
-    rows = cut(vectors.select("id", "v"))
-    n = max(1, -(-rows.count() // block))
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("o")
-    dealt = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    query, data = dealt.select("b", every, "id", "v").toDF("s", "t", "id", "v"), dealt.select(every, "b", "id", "v").toDF("s", "t", "id", "v")
-
-    def nearest(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or x.empty:
-            return pd.DataFrame({"qid": [], "nid": [], "d2": []}).astype({"qid": "int64", "nid": "int64"})
-        x = x.sort_values("id")
-        a, b, ids = np.vstack(q["v"].to_numpy()), np.vstack(x["v"].to_numpy()), x["id"].to_numpy()
-        at, d2 = [], []
-        for i, v in zip(q["id"], a):
-            e = ((b - v) ** 2).sum(1)
-            e[ids == i] = -1.0
-            order = np.flatnonzero(e <= np.partition(e, min(k, len(e)) - 1)[min(k, len(e)) - 1])
-            order = order[np.argsort(e[order], kind="stable")][:k]
-            at.append(order)
-            d2.append(e[order])
-        return pd.DataFrame({"qid": np.repeat(q["id"].to_numpy(), [len(o) for o in at]), "nid": ids[np.concatenate(at)], "d2": np.concatenate(d2)})
-
-    found = query.groupBy("s", "t").cogroup(data.groupBy("s", "t")).applyInPandas(nearest, "qid long, nid long, d2 double")
-    w = Window.partitionBy("qid").orderBy("d2", "nid")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("qid", "nid", F.sqrt(F.greatest("d2", F.lit(0.0))).alias("d"), "rank")
-
-
 def radius_edges(data: DataFrame, query: DataFrame, radius: float, most: int | None = None, by: tuple[str, ...] = (), scale: float | None = None) -> DataFrame:
     """Neighbours within the radius (inclusive), the nearest `most` of them, with Gaussian weight
     exp(-(d / scale)^2 / 2), scale the radius unless given: by..., qid, nid, d, w."""

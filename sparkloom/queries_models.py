@@ -8,11 +8,13 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from .functions import kernels
-from .operators import clustering, geometry, inference, neighbours, pairing, raster, tissue
+from .operators import clustering, geometry, inference, metric, neighbours, pairing, raster, tissue
+from .operators import communities as groups
 from .plans import alignment, structures
 from .plans import clustering as structure
 from .plans import inference as de
 from .registry import query
+from .storage import cut
 from .sources import tables
 from .views import masks, parts, similar, table
 
@@ -117,7 +119,51 @@ def banksy_features(spark, d):
 @query()
 def communities(spark, d):
     p = parts(spark, d)
-    return clustering.communities(neighbours.shared_edges(neighbours.knn(p, p, 8)))
+    return groups.communities(cut(neighbours.shared_edges(neighbours.knn(p, p, 8))))
+
+
+LINKS = "SELECT DISTINCT l_orderkey AS i, 1000000000 + l_partkey AS j FROM lineitem WHERE l_quantity = 50"
+REACHED = "r AS (SELECT i AS id, i AS o FROM b UNION SELECT r.id, b.j FROM r JOIN b ON b.i = r.o)"
+
+
+def _links(spark, d):
+    """Orders and the parts that they take fifty of, as a graph of two kinds of nodes."""
+    li = table(spark, d, "lineitem").filter("l_quantity = 50")
+    return li.select(F.col("l_orderkey").alias("i"), (F.col("l_partkey") + 1000000000).alias("j")).distinct()
+
+
+@query(f"WITH RECURSIVE e AS ({LINKS}), b AS (SELECT i, j FROM e UNION SELECT j, i FROM e), {REACHED} SELECT id, min(o) AS label FROM r GROUP BY id")
+def graph_components(spark, d):
+    return groups.components(_links(spark, d))
+
+
+@query(f"WITH RECURSIVE e AS ({LINKS}), b AS (SELECT i, j FROM e UNION SELECT j, i FROM e), {REACHED}, c AS (SELECT id, min(o) AS c FROM r GROUP BY id) SELECT c AS component, count(*) AS nodes, 0::BIGINT AS across, 0::BIGINT AS in_pieces FROM c GROUP BY 1")
+def connected_communities(spark, d):
+    """Of each component of the graph its nodes, those whose community has members in another
+    component, and those that edges within their community do not reach from its smallest member."""
+    e = cut(_links(spark, d).withColumn("w", F.lit(1.0)))
+    found = cut(groups.communities(e))
+    whole, a, b = groups.components(e).toDF("id", "component"), found.toDF("i", "li"), found.toDF("j", "lj")
+    inner = groups.components(e.join(a, "i").join(b, "j").filter("li = lj")).toDF("id", "piece")
+    named = found.join(whole, "id").join(whole.toDF("label", "home"), "label").join(inner, "id", "left")
+    piece = F.coalesce("piece", "id")
+    return named.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("component") != F.col("home")).alias("across"), F.count_if(piece != F.col("label")).alias("in_pieces"))
+
+
+V = "SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings"
+
+
+@query(f"WITH v AS ({V}), p AS (SELECT a.id AS qid, b.id AS nid, CASE WHEN a.id = b.id THEN -1.0 ELSE list_distance(a.v, b.v) END AS d FROM v a CROSS JOIN v b), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, nid) AS rank FROM p) SELECT qid, nid, greatest(d, 0.0)::DOUBLE AS d, rank::INT AS rank FROM r WHERE rank <= 15", "d")
+def knn_embeddings(spark, d):
+    return metric.knn(vectors(spark, d).select("id", "v"), 15)
+
+
+@query()
+def metric_slices_met(spark, d):
+    """How many slices of the metric index each vector met, of how many."""
+    v = vectors(spark, d).select("id", "v").groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
+    _, met, index = metric.search(cut(v), 15)
+    return met.withColumn("slices", F.lit(len(index.pivot)))
 
 
 @query()

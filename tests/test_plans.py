@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import clustering, contracts, geometry, neighbours, raster
+from sparkloom.operators import clustering, communities, contracts, geometry, neighbours, raster
 from sparkloom.plans import clustering as structure
 from sparkloom.operators import inference as rules
 from sparkloom.plans import alignment, inference
@@ -54,9 +54,9 @@ def test_greedy_equals_sequential(spark):
 def test_communities_find_two_cliques(spark):
     e = [(i, j, 1.0) for g in (0, 10) for i in range(g, g + 6) for j in range(i + 1, g + 6)] + [(5, 10, 0.1)]
     edges = spark.createDataFrame(e, "i long, j long, w double")
-    labels = clustering.communities(edges)
+    labels = communities.communities(edges)
     assert {(r["id"] >= 10, r["label"]) for r in labels.collect()} == {(False, 0), (True, 10)}
-    assert clustering.modularity(edges, labels) > 0.45
+    assert communities.modularity(edges, labels) > 0.45
 
 
 def test_joint_labels_span_samples(spark):
@@ -74,13 +74,6 @@ def test_joint_labels_span_samples(spark):
     assert got.groupby("label")["right"].agg(lambda r: max(r.sum(), (~r).sum())).sum() > 0.9 * len(got)
 
 
-def test_knn_vectors_is_exact_across_blocks(spark):
-    x = np.random.default_rng(7).random((60, 3))
-    got = neighbours.knn_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>"), 5, 16).collect()
-    order = np.argsort(((x[:, None] - x[None]) ** 2).sum(2), axis=1)[:, :5]
-    assert {(r["qid"], r["rank"], r["nid"]) for r in got} == {(i, t + 1, int(j)) for i, o in enumerate(order) for t, j in enumerate(o)}
-
-
 def test_kmeans_pca_harmony(spark):
     rng = np.random.default_rng(2)
     x = np.vstack([rng.normal(c, 0.1, (30, 3)) for c in ((0, 0, 0), (5, 0, 0), (0, 5, 0))])
