@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.columns import inflate
-from ..functions.special import normal, t_two_sided
+from ..functions.special import normal, t_quantile, t_two_sided
 from .ranking import bh, isotonic
 
 #: Fixed values of the inference defaults.
@@ -23,7 +23,7 @@ BINS, LEAST_BIN, LAMBDA_CAP = 10, 200, 5e4
 
 
 def contrasts(stats: DataFrame, reference: str, neff_min: float) -> DataFrame:
-    """Every other sample against the reference: gene, contrast, qid, y = mu_A - mu_B, v, w, use.
+    """Every other sample against the reference: gene, contrast, qid, mu (mu_A), y = mu_A - mu_B, v, w, use.
 
     v = s2_A / neff_A + s2_B / neff_B, floored at FLOOR times its median over (gene, contrast);
     use: both effective numbers reach neff_min."""
@@ -33,7 +33,7 @@ def contrasts(stats: DataFrame, reference: str, neff_min: float) -> DataFrame:
     rows = rows.filter((F.col("neff") > 0) & (F.col("nr") > 0)).withColumn("v0", F.col("s2") / F.col("neff") + F.col("sr") / F.col("nr"))
     med = rows.groupBy("gene", "contrast").agg((FLOOR * F.median("v0")).alias("least"))
     rows = rows.join(med, ["gene", "contrast"]).withColumn("v", F.greatest("v0", "least"))
-    return rows.select("gene", "contrast", "qid", (F.col("mu") - F.col("mr")).alias("y"), "v", (1 / F.col("v")).alias("w"), (F.least("neff", "nr") >= neff_min).alias("use"))
+    return rows.select("gene", "contrast", "qid", "mu", (F.col("mu") - F.col("mr")).alias("y"), "v", (1 / F.col("v")).alias("w"), (F.least("neff", "nr") >= neff_min).alias("use"))
 
 
 def anchors(rows: DataFrame) -> DataFrame:
@@ -58,30 +58,32 @@ def ridge_two(rows: DataFrame, covariate: str, lam: float = 10.0) -> DataFrame:
     return s.select("gene", "contrast", ((F.col("s2") * F.col("t0") - F.col("s1") * F.col("t1")) / F.col("det")).alias("b0"), ((F.col("s0") * F.col("t1") - F.col("s1") * F.col("t0")) / F.col("det")).alias("b1"))
 
 
-def ridge(rows: DataFrame, covariates: list[str], lam: float = 10.0, penalised: list[str] | None = None, prior: dict[str, float] | None = None) -> DataFrame:
+def ridge(rows: DataFrame, covariates: list[str], lam: float = 10.0, penalised: list[str] | None = None, prior: dict[str, float] | DataFrame | None = None) -> DataFrame:
     """Weighted ridge of y on an intercept and covariates by their sufficient statistics: gene,
     contrast, n, b (the intercept, then the covariates in order). The penalty pulls the penalised
     ones (all, if none are named) towards their prior values (0 if not named); an intercept named
-    in `prior` as "1" is pulled too. Only sums of q x q numbers a group leave the scan; at most 32
+    in `prior` as "1" is pulled too. A table (gene, centre) as prior holds an array a gene, of the
+    intercept and the covariates in order; then the intercept is pulled too. Only sums of q x q numbers a group leave the scan; at most 32
     covariates. Cells with a null covariate are left out; a singular system takes a little more
     on its diagonal."""
     if len(covariates) > 32:
         raise ValueError("at most 32 covariates")
-    prior = prior or {}
-    pulled = ["1" in prior, *[penalised is None or c in penalised for c in covariates]]
-    centre = np.array([prior.get("1", 0.0), *[prior.get(c, 0.0) for c in covariates]])
+    by_gene = isinstance(prior, DataFrame)
+    given = {} if by_gene else prior or {}
+    pulled = [by_gene or "1" in given, *[penalised is None or c in penalised for c in covariates]]
+    centre = [float(given.get(c, 0.0)) for c in ("1", *covariates)]
     penalty = np.where(pulled, lam, 0.0)
     z, w, q = [F.lit(1.0), *[F.col(c).cast("double") for c in covariates]], F.col("w"), len(covariates) + 1
     at = [(i, j) for i in range(q) for j in range(i, q)]
 
     @pandas_udf("array<double>")
-    def solve(x: pd.Series, r: pd.Series) -> pd.Series:
+    def solve(x: pd.Series, r: pd.Series, c: pd.Series) -> pd.Series:
         out = []
-        for xs, rs in zip(x, r):
+        for xs, rs, cs in zip(x, r, c):
             k = np.zeros((q, q))
             for (i, j), v in zip(at, xs):
                 k[i, j] = k[j, i] = v
-            k, right = k + np.diag(penalty), np.asarray(rs, float) + penalty * centre
+            k, right = k + np.diag(penalty), np.asarray(rs, float) + penalty * np.asarray(cs, float)
             scale = max(float(np.trace(k)) / q, 1e-300)
             extra = next((e for e in (0.0, 1e-8, 1e-6, 1e-4, 1e-2) if np.linalg.cond(k + np.eye(q) * e * scale) < 1e14), 1.0)
             out.append(np.linalg.solve(k + np.eye(q) * extra * scale, right))
@@ -90,7 +92,9 @@ def ridge(rows: DataFrame, covariates: list[str], lam: float = 10.0, penalised:
     known = [F.col(c).isNotNull() for c in covariates]
     used = rows.filter(reduce(lambda a, b: a & b, known, F.col("use")))
     s = used.groupBy("gene", "contrast").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(w * z[i] * z[j]) for i, j in at]).alias("x"), F.array(*[F.sum(w * v * F.col("y")) for v in z]).alias("r"))
-    return s.select("gene", "contrast", "n", solve("x", "r").alias("b"))
+    middle = F.array(*map(F.lit, centre))
+    s = s.join(prior.select("gene", "centre"), "gene", "left") if by_gene else s.withColumn("centre", middle)
+    return s.select("gene", "contrast", "n", solve("x", "r", F.coalesce("centre", middle)).alias("b"))
 
 
 def adjusted(rows: DataFrame, fit: DataFrame, covariates: list[str], least: int = 5, alpha: float = ALPHA) -> DataFrame:
@@ -180,6 +184,48 @@ def calibrate(bins: DataFrame, null_scale: float = 1.0, cap: float = LAMBDA_CAP)
     return fit.agg(F.least(F.lit(cap), F.greatest(F.lit(0.0), lam)).alias("lambda"))
 
 
+def gene_bins(rows: DataFrame, bins: int = BINS) -> DataFrame:
+    """`risk_bins` of each gene: gene, bin, n, r, centre, scale and df. rows: gene, t, r01, df."""
+    breaks = rows.groupBy("gene").agg(F.array_sort(F.array_distinct(F.percentile("r01", F.array(*[F.lit(i / bins) for i in range(1, bins)])))).alias("b"))
+    r = rows.join(breaks, "gene").withColumn("bin", F.size(F.filter("b", lambda x: x < F.col("r01")))).drop("b")
+    m = r.groupBy("gene", "bin").agg(F.median("t").alias("centre"), F.avg("r01").alias("r"), F.count(F.lit(1)).alias("n"), F.max("df").alias("df"))
+    s = r.join(m.select("gene", "bin", "centre"), ["gene", "bin"]).groupBy("gene", "bin").agg((1.4826 * F.median(F.abs(F.col("t") - F.col("centre")))).alias("scale"))
+    return m.join(s, ["gene", "bin"])
+
+
+def calibrate_genes(bins: DataFrame, least_rows: int = 500, least_bins: int = 4, least: int = LEAST_BIN, cap: float = LAMBDA_CAP) -> DataFrame:
+    """`calibrate` for each gene of gene_bins: gene, lambda and mode. The null scale is that of a
+    Student's t with the gene's degrees of freedom. Genes with fewer than `least_rows` tests, or
+    fewer than `least_bins` bins of at least `least`, get 0. A gene has at most BINS rows."""
+
+    @pandas_udf("struct<lambda:double,mode:string>")
+    def solve(r: pd.Series, n: pd.Series, scale: pd.Series, df: pd.Series) -> pd.DataFrame:
+        out = []
+        for rs, ns, ss, d in zip(r, n, scale, df):
+            ns = np.asarray(ns, float)
+            if ns.sum() < max(least_rows, least_bins * least):
+                out.append((0.0, "too few tests"))
+                continue
+            ok = ns >= least
+            if ok.sum() < least_bins:
+                out.append((0.0, "too few bins"))
+                continue
+            r2, w = np.asarray(rs, float)[ok] ** 2, ns[ok]
+            excess = np.maximum((np.asarray(ss, float)[ok] / (1.4826 * t_quantile(0.75, d))) ** 2 - 1, 0.0)
+            blocks: list[list[float]] = []  # sum, weight, bins
+            for y, v in zip(excess, w):
+                blocks.append([y * v, v, 1])
+                while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
+                    last = blocks.pop()
+                    blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]
+            fit = np.concatenate([np.full(int(k), s / v) for s, v, k in blocks])
+            out.append((float(np.clip((w * r2 * fit).sum() / max((w * r2 * r2).sum(), 1e-12), 0.0, cap)), "calibrated"))
+        return pd.DataFrame(out, columns=["lambda", "mode"])
+
+    held = bins.groupBy("gene").agg(F.array_sort(F.collect_list(F.struct("bin", "r", "n", "scale"))).alias("s"), F.max("df").alias("df"))
+    return held.select("gene", solve("s.r", "s.n", "s.scale", "df").alias("c")).select("gene", "c.lambda", "c.mode")
+
+
 def inflated(rows: DataFrame, r01: DataFrame, lam: Column | float) -> DataFrame:
     return rows.join(r01.select("qid", "r01"), "qid").withColumn("v", inflate(F.col("v"), F.col("r01"), lam)).withColumn("w", 1 / F.col("v"))
 

@@ -150,7 +150,7 @@ def con(spark, d):
 
 @query(f"WITH {CON} SELECT gene, contrast, qid, y, v, 1 / v AS w, use FROM c", "y v w", 5)
 def contrast_vs_reference(spark, d):
-    return con(spark, d)
+    return con(spark, d).drop("mu")
 
 
 @query(f"WITH {CON}, t AS (SELECT *, abs(y) / sqrt(v) AS t0 FROM c WHERE use), q AS (SELECT *, quantile_cont(t0, 0.3) OVER (PARTITION BY gene, contrast) AS lim FROM t) SELECT gene, qid, avg((t0 <= lim)::INT) >= 0.6 AS anchor FROM q GROUP BY 1, 2")
@@ -191,6 +191,16 @@ def adjusted_effects(spark, d):
     return inference.adjusted(rows, fit, ["z1", "z2"]).filter("use").select("gene", "contrast", "qid", "y_adj", "t", "df")
 
 
+@query(f"WITH {CON}, {Z3.replace(') + 10 AS', ') AS')}, b AS (SELECT z.gene, z.contrast, z.qid, z.y - b1 * z1 - b2 * z2 AS y_adj, CASE WHEN n >= 5 THEN (z.y - b0 - b1 * z1 - b2 * z2) / sqrt(z.v) END AS t, greatest(n - 3, 5)::DOUBLE AS df FROM z JOIN o ON o.gene = z.gene AND o.contrast = z.contrast) SELECT *, 0.0::DOUBLE AS lam FROM b", "y_adj t lam", 4)
+def fitted_plan(spark, d):
+    """The inference plan with two free covariates and no risk."""
+    from .plans import inference as plan
+
+    stats = local(spark, d)
+    cells = stats.select("qid").distinct().select("qid", (F.col("qid") / 25 - 1).alias("z1"), ((F.col("qid") * 7 % 11) / 5 - 1).alias("z2"))
+    return plan.fit_stats(stats, "A", neff_min=12, covariates=cells).tests.filter("use").select("gene", "contrast", "qid", "y_adj", "t", "df", F.col("lambda").alias("lam"))
+
+
 @query()
 def trajectory_pretest(spark, d):
     rows = con(spark, d)

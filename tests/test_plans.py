@@ -123,7 +123,7 @@ def test_inference_finds_the_changed_gene(spark):
             expr.append((f"s{s}", n, "more", float(rng.poisson(20 + 20 * s * (x > 5)))))
     p = spark.createDataFrame(pts, "id long, sample_id string, x double, y double")
     e = spark.createDataFrame(expr, "sample_id string, nid long, gene string, value double")
-    tests, genes = inference.fit(inference.prepare(p, 10), e, "s0")
+    tests, genes, *_ = inference.fit(inference.prepare(p, 10), e, "s0")
     got = {r["gene"]: r["p"] for r in genes.collect()}
     assert got["more"] < 1e-4 < got["same"]
     assert tests.filter("gene = 'more' and sig").count() > 5
