@@ -24,8 +24,9 @@ ROWS, BANDS = 6, 45
 SLICE = 512
 PROBES = 48
 PERCENT = 80
-#: Pairs between components that a bucket may have for each member to be tested whole.
-CROSSING = 8
+#: Pairs between components that a bucket may have for each member to be tested as pairs, and to be
+#: tested whole in blocks; larger ones send stars first.
+CROSSING, WHOLE = 8, 512
 #: Members, and shingles of all members, that a block of a large bucket holds on average.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Edges of one node that meet its set in one piece.
@@ -232,12 +233,13 @@ def link(members: DataFrame, sets_of) -> DataFrame:
     """Components (node, comp) of the nodes of members (key, node, n).
 
     The first round tests each bucket's stars. A bucket that its links leave in several components
-    has pairs between them; where these are at most CROSSING a member, all are tested, so no link
-    is lost there. The rest, large buckets of mixed contents, send stars from fresh centres, round
-    by round, until a round finds no new link. Those still mixed then are tested whole, blocks
-    against blocks, so that no pair that shares a bucket stays untested across components. Every
-    round costs pairs linear in the members left; the blocks cost as many comparisons as pairs
-    outside a bucket's largest component, but rows of only two members a BLOCK of them."""
+    has pairs between them; where these are at most CROSSING a member, all are tested as pairs, and
+    where they are at most WHOLE a member, in blocks against blocks, so no link is lost there. The
+    rest, very large buckets of mixed contents, send stars from fresh centres, round by round, until
+    a round finds no new link or few enough pairs are left. Those still mixed then are tested whole
+    too, so that no pair that shares a bucket stays untested across components. Every round costs
+    pairs linear in the members left; the blocks cost as many comparisons as pairs outside a
+    bucket's largest component, but rows of only two members a BLOCK of them."""
     comps = cut(members.select("node").distinct().withColumn("comp", F.col("node")))
     ok = fits(comps)
     tested, salt, exact, held = None, 0, False, False  # held: the members are few
@@ -246,10 +248,11 @@ def link(members: DataFrame, sets_of) -> DataFrame:
             rows = members.join(small(comps, ok), "node")
             parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"))
             pairs = (F.col("m") * F.col("m") - F.col("s")) / 2
-            mixed = cut_few(parts.filter(pairs > 0).select("key", (pairs > CROSSING * F.col("m")).alias("large")), held)
+            kind = F.when(pairs <= CROSSING * F.col("m"), 0).when(F.lit(exact) | (pairs <= WHOLE * F.col("m")), 1).otherwise(2)
+            mixed = cut_few(parts.filter(pairs > 0).select("key", kind.alias("kind")), held)
             rows = cut_few(rows.join(small(mixed), "key"), held)
             held = held or fits(rows)
-            few, rows = rows.filter(~F.col("large")).drop("large"), rows.filter("large").drop("large")
+            few, whole, rows = (rows.filter(F.col("kind") == k).drop("kind") for k in range(3))
             last = exact or rows.isEmpty()
             edges = crossing(few) if last else crossing(few).union(stars(rows, salt, held)).distinct()
             members = rows.drop("comp")
@@ -259,12 +262,13 @@ def link(members: DataFrame, sets_of) -> DataFrame:
         tested = edges if tested is None else tested.union(edges)
         few = fits(edges)
         found = cut(confirm(edges, sets_of(edges, few), few))
-        if exact and not rows.isEmpty():
-            found = cut(found.union(blocks(rows, sets_of(rows.select(F.col("node").alias("a"), F.col("node").alias("b")), False))))
+        if salt and not whole.isEmpty():
+            nodes = whole.select(F.col("node").alias("a"), F.col("node").alias("b"))
+            found, few = cut(found.union(blocks(whole, sets_of(nodes, held)))), False
         if not found.isEmpty():
             at = lambda c, d: small(comps.select(F.col("node").alias(c), F.col("comp").alias(d)), ok)
             between = found if not salt else found.join(at("a", "x"), "a").join(at("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-            merged = components(between, few and not (exact and salt)).toDF("comp", "to")
+            merged = components(between, few).toDF("comp", "to")
             comps = cut_few(comps.join(small(merged), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), ok)
         elif salt:
             exact = True

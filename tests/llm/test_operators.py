@@ -331,6 +331,14 @@ def test_near_dedup(docs, rows, none, width):
     assert near_dedup.near_dedup(none, width).count() == 0 and near_dedup.drop_near(none, width).count() == 0
 
 
+def test_near_dedup_with_small_bounds(docs, rows, monkeypatch):
+    """Hot centres split, buckets that send stars for several rounds, and blocks at the end."""
+    for name, value in (("CROSSING", 0), ("WHOLE", 0), ("SPLIT", 2), ("BLOCK", 3)):
+        monkeypatch.setattr(near_dedup, name, value)
+    got = near_dedup.near_dedup(docs, 2).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter((r[0], *x) for r, x in zip(rows, brute_components(rows, 2)))
+
+
 def test_near_dedup_tests_large_mixed_buckets_whole(spark, tmp_path):
     """Versions of one text: 497 heavily edited ones that reach no other, three lightly edited that reach each other."""
     rng = np.random.default_rng(11)
