@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import logging
+import sys
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +37,7 @@ def main(job, doc: str, paths: list[str]) -> None:
     parser.add_argument("--config", help="JSON with settings that replace the job's own")
     args = vars(parser.parse_args())
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(name)s %(message)s")
-    spark = SparkSession.builder.appName(job.__module__).getOrCreate()
+    spark = SparkSession.builder.appName(Path(sys.argv[0]).stem).getOrCreate()
     try:
         given = json.loads("\n".join(r.value for r in spark.read.text(args["config"], wholetext=True).collect())) if args["config"] else None
         job(spark, **{p: args[p] for p in paths}, settings=given)

@@ -24,7 +24,7 @@ m AS (SELECT *, sum(w * qx) OVER s / sum(w) OVER s AS mx, sum(w * qy) OVER s / s
 s AS (SELECT sample_id, any_value(mx) AS mx, any_value(my) AS my, any_value(nx) AS nx, any_value(ny) AS ny, count(*) AS n,
       sum(w * ((qx - mx) * (rx - nx) + (qy - my) * (ry - ny))) AS a, sum(w * ((qx - mx) * (ry - ny) - (qy - my) * (rx - nx))) AS b, sum(w * ((qx - mx) ** 2 + (qy - my) ** 2)) AS v FROM m GROUP BY 1),
 f AS (SELECT *, sqrt(a * a + b * b) / v AS scale, atan2(b, a) AS theta FROM s WHERE n >= {R["least_clusters"]}),
-t AS (SELECT sample_id, n, scale, theta, nx - scale * (cos(theta) * mx - sin(theta) * my) AS tx, ny - scale * (sin(theta) * mx + cos(theta) * my) AS ty FROM f),
+t AS (SELECT sample_id, n, round(scale, 10) AS scale, round(theta, 10) AS theta, round(nx - scale * (cos(theta) * mx - sin(theta) * my), 10) AS tx, round(ny - scale * (sin(theta) * mx + cos(theta) * my), 10) AS ty FROM f),
 e AS (SELECT j.sample_id, sqrt(sum(w * ((qx - rx) ** 2 + (qy - ry) ** 2)) / sum(w)) AS rmse_before,
       sqrt(sum(w * ((scale * (cos(theta) * qx - sin(theta) * qy) + tx - rx) ** 2 + (scale * (sin(theta) * qx + cos(theta) * qy) + ty - ry) ** 2)) / sum(w)) AS rmse FROM j JOIN t USING (sample_id) GROUP BY 1)
 SELECT p.sample_id, p.cluster, p.x::DOUBLE AS x, p.y::DOUBLE AS y, CASE WHEN z THEN p.x ELSE scale * (cos(theta) * x - sin(theta) * y) + tx END AS x_aligned, CASE WHEN z THEN p.y ELSE scale * (sin(theta) * x + cos(theta) * y) + ty END AS y_aligned,

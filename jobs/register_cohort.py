@@ -35,7 +35,8 @@ def usable(points: DataFrame) -> DataFrame:
 
 def fits(points: DataFrame, reference: str, least_points: int, least_clusters: int, reflection: bool) -> DataFrame:
     """One row a sample: the similarity to the reference, weighted by the smaller cluster, and the
-    root mean square distance of shared centroids before and after. The reference is the identity."""
+    root mean square distance of shared centroids before and after. The reference is the identity.
+    Numbers are rounded to ten places, so that the order of a sum does not tell one run from another."""
     centres = geometry.centroids(points, least_points)
     r = centres.filter(F.col("sample_id") == reference).select("cluster", F.col("cx").alias("rx"), F.col("cy").alias("ry"), F.col("n").alias("rn"))
     q = centres.filter(F.col("sample_id") != reference).select("sample_id", "cluster", F.col("cx").alias("qx"), F.col("cy").alias("qy"), F.col("n").alias("qn"))
@@ -46,7 +47,7 @@ def fits(points: DataFrame, reference: str, least_points: int, least_clusters: i
     status = F.when(is_reference, "reference").when(F.col("scale").isNotNull(), "aligned").otherwise("too few clusters")
     one = {"scale": 1.0, "theta": 0.0, "tx": 0.0, "ty": 0.0, "mirror": 1.0, "rmse_before": 0.0, "rmse": 0.0}
     out = every.join(found, "sample_id", "left").withColumn("status", status)
-    return out.select("sample_id", "status", F.coalesce("n", F.lit(0)).cast("long").alias("clusters"), *[F.when(is_reference, F.lit(v)).otherwise(F.col(c)).alias(c) for c, v in one.items()])
+    return out.select("sample_id", "status", F.coalesce("n", F.lit(0)).cast("long").alias("clusters"), *[F.when(is_reference, F.lit(v)).otherwise(F.round(c, 10)).alias(c) for c, v in one.items()])
 
 
 def run(spark: SparkSession, points: str, output: str, settings: dict | None = None) -> None:

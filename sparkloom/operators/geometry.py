@@ -116,16 +116,18 @@ def ellipse(pts: DataFrame, by=("sample_id",)) -> DataFrame:
     return c.select(*by, "cx", "cy", (2 * F.sqrt(half + root)).alias("major"), (2 * F.sqrt(F.greatest(half - root, F.lit(0.0)))).alias("minor"), (0.5 * F.atan2(2 * F.col("vxy"), F.col("vx") - F.col("vy"))).alias("angle"))
 
 
-def iou_sweep(query: DataFrame, reference: DataFrame, cell: float, step: float, scales=(0.9, 0.95, 1.0, 1.05, 1.1)) -> DataFrame:
+def iou_sweep(query: DataFrame, reference: DataFrame, cell: float, step: float, scales=(0.9, 0.95, 1.0, 1.05, 1.1), grain: int | None = None) -> DataFrame:
     """IoU of occupied cells for each rotation and scale of the query about its own mean, moved to
-    the reference's mean: angle, scale, iou. Each candidate is one pass over the query's points;
-    occupied cells are few."""
+    the reference's mean: angle, scale, iou. Places that repeat are turned once; with `grain`, points
+    are first put in the middle of cells that many times finer, so what is turned is bounded by the
+    query's area and not by its points."""
     n = round(360 / step)
     spark = query.sparkSession
     cand = spark.range(n).select((F.col("id") * step).alias("angle")).withColumn("scale", F.explode(F.array(*map(F.lit, scales))))
     qm = query.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
     rm = reference.agg(F.avg("x").alias("rx"), F.avg("y").alias("ry"))
-    cells = query.select("x", "y").join(F.broadcast(qm)).join(F.broadcast(rm)).join(F.broadcast(cand))
+    places = query.select("x", "y") if grain is None else query.select(*[((F.floor(F.col(c) * grain / cell) + 0.5) * cell / grain).alias(c) for c in ("x", "y")])
+    cells = places.distinct().join(F.broadcast(qm)).join(F.broadcast(rm)).join(F.broadcast(cand))
     t = F.radians("angle")
     x, y = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
     px = F.floor((F.col("scale") * (F.cos(t) * x - F.sin(t) * y) + F.col("rx")) / cell)
@@ -165,7 +167,7 @@ def search_similarity(query: DataFrame, reference: DataFrame, cell: float, steps
     angle, scale, best = 0.0, 1.0, -1.0
     for i, step in enumerate(steps):
         turned = rotate(query, angle) if i else query
-        rows = iou_sweep(turned, reference, cell, step, (scale * 0.95, scale, scale * 1.05))
+        rows = iou_sweep(turned, reference, cell, step, (scale * 0.95, scale, scale * 1.05), grain=4)
         if i:  # only angles about the best so far
             near = 2 * steps[i - 1]
             rows = rows.filter((F.col("angle") <= near) | (F.col("angle") >= 360 - near))

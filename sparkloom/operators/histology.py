@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
+from . import agglomerate
 from .clustering import _matrix, _sums, kmeans, project
 from .raster import mirrored_overlap
 
@@ -37,6 +39,14 @@ def cluster_grid(grid: DataFrame, k: int = CLUSTERS, background: float | None =
     return v.join(labels, "id").select("iy", "ix", F.col("label").cast("string").alias("mask"))
 
 
+def merge_structures(pixels: DataFrame, count: int, linkage: str = "average") -> DataFrame:
+    """Structures of a raster (iy, ix, label, v) merged over their borders until `count` are left:
+    iy, ix, label (that of the smallest merged one)."""
+    adjacency = cut(agglomerate.region_adjacency(pixels))
+    found = agglomerate.regions(pixels.select(F.col("label").alias("id")), agglomerate.merges(adjacency, linkage), count)
+    return pixels.join(found.toDF("label", "merged"), "label").select("iy", "ix", F.col("merged").alias("label"))
+
+
 def symmetric_merges(masks: DataFrame, size: int, axis: str = "ix", merges: int = MERGES) -> pd.DataFrame:
     """Pairs (a, b) that mirror each other best, greedy over the few dozen structures, each structure
     once; a merge needs DICE_LEAST and a gain over either one's own symmetry."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.columns import composite, distance_gate, gate_factor
+from ..storage import cut
 from .raster import overlaps
 
 
@@ -39,6 +40,21 @@ HISTOLOGY = Scoring(0.20, 0.40, 0.15, 0.25, 0.00, 0.40, 30.0, 30.0)
 ATAC = Scoring(0.35, 0.25, 0.10, 0.30, 0.00, 0.25, float("inf"), 30.0, dice_least=0.01, pairs_most=20, intersection_least=1, distance_gated=True)
 
 
+def with_weights(how: Scoring, **weights: float) -> Scoring:
+    """A scoring with the user's own weights (sdf, chamfer, dice, area, thickness); those not named
+    stay. None may be under 0, and all must add up to 1."""
+    names = ("sdf", "chamfer", "dice", "area", "thickness")
+    if unknown := set(weights) - set(names):
+        raise ValueError(f"no such weights: {sorted(unknown)}")
+    out = replace(how, **{k: float(v) for k, v in weights.items()})
+    values = [getattr(out, n) for n in names]
+    if min(values) < 0 or not np.isfinite(values).all():
+        raise ValueError("weights must be finite and at least 0")
+    if abs(sum(values) - 1) > 1e-6:
+        raise ValueError(f"weights must sum to 1.0, not {sum(values):g}")
+    return out
+
+
 def bundle(a: np.ndarray, b: np.ndarray, d0: float, eight: bool = True) -> dict[str, float]:
     """All shape metrics of two masks on one raster."""
     both, na, nb = int((a & b).sum()), int(a.sum()), int(b.sum())
@@ -91,22 +107,23 @@ def score(metrics: DataFrame, how: Scoring) -> DataFrame:
 
 def disjoint_sets(scores: DataFrame) -> DataFrame:
     """Greedy by score: one candidate a cluster, candidates' label sets disjoint. scores: cluster,
-    candidate, labels (array), score, of the few hundred that a top-k left; one task."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: set = set()
-        clusters: set = set()
-        keep = []
-        for i, r in pdf.sort_values(["score", "cluster", "candidate"], ascending=[False, True, True]).iterrows():
-            labels = set(r["labels"])
-            if r["cluster"] not in clusters and not labels & seen:
-                keep.append(i)
-                clusters.add(r["cluster"])
-                seen |= labels
-        return pdf.loc[keep, ["cluster", "candidate", "labels", "score"]]
-
-    rows = scores.select("cluster", "candidate", "labels", "score")
-    return rows.withColumn("__g", F.lit(0)).groupBy("__g").applyInPandas(lambda p: run(p.drop(columns="__g")), rows.schema)
+    candidate, labels (array), score; ties by cluster, then candidate. In a round every row that is
+    the best of its cluster and of all its labels is taken, and what shares a cluster or a label with
+    it goes: what is taken is what one row at a time would take, and no task sees all rows."""
+    left = cut(scores.select("cluster", "candidate", "labels", "score").withColumn("id", F.monotonically_increasing_id()))
+    key = F.struct((-F.col("score")).alias("s"), "cluster", "candidate", "id")
+    claim = F.concat(F.array(F.struct(F.lit("c").alias("kind"), F.col("cluster").cast("string").alias("what"))), F.transform(F.array_distinct("labels"), lambda x: F.struct(F.lit("l").alias("kind"), x.cast("string").alias("what"))))
+    out = None
+    while not left.isEmpty():
+        claims = cut(left.select("id", key.alias("k"), F.explode(claim).alias("on")))
+        first = claims.groupBy("on").agg(F.min("k").alias("k"))
+        best = claims.join(first.withColumnRenamed("k", "first"), "on").groupBy("id").agg(F.bool_and(F.col("k.id") == F.col("first.id")).alias("ok")).filter("ok").select("id")
+        taken = cut(left.join(best, "id", "left_semi"))
+        out = taken if out is None else out.unionByName(taken)
+        held = claims.join(best, "id", "left_semi").select("on").distinct()
+        clash = claims.join(held, "on", "left_semi").select("id").distinct()
+        left = cut(left.join(clash, "id", "left_anti"))
+    return (left if out is None else out).select("cluster", "candidate", "labels", "score")
 
 
 def layers_then_rest(scores: DataFrame, layer: Column) -> DataFrame:

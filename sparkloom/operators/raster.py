@@ -71,34 +71,37 @@ def boundary(masks: DataFrame, eight: bool = False) -> DataFrame:
     return masks.join(counts, ["mask", "iy", "ix"], "left_anti")
 
 
-def _fields(lines: DataFrame, box: DataFrame) -> DataFrame:
-    """Distance of every pixel in the box to each mask's line of pixels: mask, iy, ix, d. A mask is
-    one task on a raster of the box's size."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y0, x0, y1, x1 = (int(pdf[c].iloc[0]) for c in ("y0", "x0", "y1", "x1"))
+def _read_fields(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """mask, iy, ix, d: distances of the wanted pixels (mask, iy, ix) to the mask's line of pixels. A
+    mask is one task, on a raster of the box of its own lines and wanted pixels; only these leave it."""
+
+    def run(line: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
+        if line.empty or want.empty:
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("mask", "iy", "ix", "d")})
+        y0, x0 = (min(line[c].min(), want[c].min()) for c in ("iy", "ix"))
+        y1, x1 = (max(line[c].max(), want[c].max()) for c in ("iy", "ix"))
         off = np.ones((y1 - y0 + 1, x1 - x0 + 1), bool)
-        off[pdf["iy"] - y0, pdf["ix"] - x0] = False
-        y, x = np.indices(off.shape)
-        return pd.DataFrame({"mask": pdf["mask"].iloc[0], "iy": y.ravel() + y0, "ix": x.ravel() + x0, "d": kernels.distance(off).ravel()})
+        off[line["iy"] - y0, line["ix"] - x0] = False
+        return want.assign(d=kernels.distance(off)[want["iy"] - y0, want["ix"] - x0])[["mask", "iy", "ix", "d"]]
 
     kind = lines.schema["mask"].dataType.simpleString()
-    return lines.join(F.broadcast(box)).groupBy("mask").applyInPandas(run, f"mask {kind}, iy int, ix int, d double")
+    return lines.select("mask", "iy", "ix").groupBy("mask").cogroup(wanted.groupBy("mask")).applyInPandas(run, f"mask {kind}, iy int, ix int, d double")
 
 
 def boundary_distance(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """For listed pairs (a, b), each boundary pixel's distance to the other boundary: a, b, side,
-    iy, ix, d. Each boundary's distance transform is made once and read at the pixels of those it is
-    paired with, so no pixel of one meets all pixels of the other."""
+    iy, ix, d. Each boundary's distance transform is made once, in the box of the pixels that are
+    asked of it, and read at these, so no pixel of one meets all pixels of the other."""
     p = pairs.select("a", "b").distinct()
-    la = a.join(p.select(F.col("a").alias("mask")).distinct(), "mask", "left_semi")
-    lb = b.join(p.select(F.col("b").alias("mask")).distinct(), "mask", "left_semi")
-    box = la.select("iy", "ix").union(lb.select("iy", "ix")).agg(F.min("iy").alias("y0"), F.min("ix").alias("x0"), F.max("iy").alias("y1"), F.max("ix").alias("x1"))  # one row
     pixels = lambda lines, end: p.join(lines.select(F.col("mask").alias(end), "iy", "ix"), end)
-    field = lambda lines, end: _fields(lines, box).withColumnRenamed("mask", end)
-    one = pixels(la, "a").join(field(lb, "b"), ["b", "iy", "ix"]).select("a", "b", F.lit("a").alias("side"), "iy", "ix", "d")
-    two = pixels(lb, "b").join(field(la, "a"), ["a", "iy", "ix"]).select("a", "b", F.lit("b").alias("side"), "iy", "ix", "d")
-    return one.unionByName(two)
+
+    def read(asked: DataFrame, lines: DataFrame, other: str, side: str) -> DataFrame:
+        asked = cut(asked)
+        wanted = asked.select(F.col(other).alias("mask"), "iy", "ix").distinct()
+        field = _read_fields(lines.toDF(*lines.columns), wanted).withColumnRenamed("mask", other)
+        return asked.join(field, [other, "iy", "ix"]).select("a", "b", F.lit(side).alias("side"), "iy", "ix", "d")
+
+    return read(pixels(a, "a"), b, "b", "a").unionByName(read(pixels(b, "b"), a, "a", "b"))
 
 
 def surface(distances: DataFrame, d0: float = 25.0) -> DataFrame:
@@ -155,6 +158,17 @@ def differing_masks(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     return one.unionByName(two).groupBy("a", "b", "iy", "ix").agg(F.count(F.lit(1)).alias("c")).filter("c = 1").drop("c")
 
 
+def difference_areas(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """a, b and area, the pixels in one mask of a listed pair and not in the other, by the areas and
+    what the masks share; no pixel meets a pair. Pairs that differ nowhere have 0; a mask that has no
+    pixels counts as empty."""
+    one, two = a.select("mask", "iy", "ix").distinct(), b.select("mask", "iy", "ix").distinct()
+    p = pairs.select("a", "b").distinct().join(areas(one).toDF("a", "na"), "a", "left").join(areas(two).toDF("b", "nb"), "b", "left")
+    r = p.join(overlaps(one, two).select("a", "b", "both"), ["a", "b"], "left")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    return r.select("a", "b", (n("na") + n("nb") - 2 * n("both")).alias("area"))
+
+
 def pair_unions(scores: DataFrame, k: int = 5) -> DataFrame:
     """Unordered pairs of the k best source masks of each target: b, a1, a2. scores: a, b, score."""
     w = Window.partitionBy("b").orderBy(F.desc("score"), "a")
@@ -171,6 +185,16 @@ def label_transfer(pts: DataFrame, raster: DataFrame, names: DataFrame, nx: int,
     return p.join(raster, ["iy", "ix"], "left").join(names, "label", "left").select("id", F.coalesce("label", F.lit(0)).alias("label"), F.coalesce("name", F.lit("outside")).alias("name"))
 
 
+def cluster_label_map(pts: DataFrame, pairs: DataFrame, unmatched: str = "unassigned") -> DataFrame:
+    """Each point (id, cluster) with the target of its cluster: label (the candidate's name, or
+    `unmatched`), labels (its label ids), pair_type, score and matched. pairs: cluster, candidate,
+    labels, score (and pair_type); of a cluster's pairs the best by score, then name, counts."""
+    kind = F.col("pair_type") if "pair_type" in pairs.columns else F.lit("")
+    best = pairs.groupBy("cluster").agg(F.min(F.struct((-F.col("score")).alias("k"), "candidate", "labels", kind.alias("pair_type"))).alias("p"))
+    rows = pts.select("id", "cluster").join(best, "cluster", "left")
+    return rows.select("id", "cluster", F.coalesce("p.candidate", F.lit(unmatched)).alias("label"), F.coalesce("p.labels", F.array().cast(pairs.schema["labels"].dataType)).alias("labels"), F.coalesce("p.pair_type", F.lit("")).alias("pair_type"), (-F.col("p.k")).alias("score"), F.col("p").isNotNull().alias("matched"))
+
+
 def path_prefixes(paths: DataFrame, leaves: DataFrame, least: int = 2) -> DataFrame:
     """Every prefix of at least `least` steps of a hierarchy path, with the leaves under it.
     paths: id, path (/1/2/3/); leaves: id (present in the slice)."""

@@ -16,6 +16,13 @@ def point_spread(reps: DataFrame) -> DataFrame:
     return s.withColumn("std_total", F.sqrt(F.col("var_x") + F.col("var_y")))
 
 
+def fixed_support(reps: DataFrame) -> DataFrame:
+    """The rows of points that every replicate has. reps: repeat, point, ..."""
+    n = reps.agg(F.count_distinct("repeat").alias("all"))
+    seen = reps.groupBy("point").agg(F.count_distinct("repeat").alias("has")).join(F.broadcast(n), F.col("has") == F.col("all")).select("point")
+    return reps.join(seen, "point", "left_semi")
+
+
 def modal_label(reps: DataFrame) -> DataFrame:
     """Most frequent label of a point, the smallest of equals. reps has label."""
     c = reps.groupBy("point", "label").agg(F.count(F.lit(1)).alias("c"))

@@ -3,18 +3,20 @@ force or by a known answer."""
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from .functions import kernels
-from .operators import clustering, geometry, inference, metric, neighbours, pairing, raster, tissue
+from .operators import agglomerate, clustering, geometry, inference, metric, neighbours, pairing, raster, tissue
 from .operators import communities as groups
 from .plans import alignment, structures
 from .plans import clustering as structure
 from .plans import inference as de
 from .registry import query
-from .storage import cut
+from .storage import cut, shared_dir
 from .sources import tables
 from .views import masks, parts, similar, table
 
@@ -158,6 +160,155 @@ def knn_embeddings(spark, d):
     return metric.knn(vectors(spark, d).select("id", "v"), 15)
 
 
+MOVED = "p_type AS cluster, 2 * p_retailprice - 1700 AS x, 50 - 3.0 * p_size AS y"
+REPLICATES = f"""
+WITH r AS (SELECT p_type AS cluster, avg(p_size::DOUBLE) AS rx, avg(p_retailprice) AS ry FROM part GROUP BY 1),
+d AS (SELECT k AS repeat, p_partkey AS id, {MOVED} FROM part, (SELECT unnest(range(6)) AS k) WHERE substr(md5('0:' || k || ':' || p_partkey), 1, 8) < 'cccccccd'),
+j AS (SELECT repeat, q.qx, q.qy, r.rx, r.ry FROM (SELECT repeat, cluster, avg(x) AS qx, avg(y) AS qy FROM d GROUP BY 1, 2) q JOIN r USING (cluster)),
+m AS (SELECT *, avg(qx) OVER s AS mx, avg(qy) OVER s AS my, avg(rx) OVER s AS nx, avg(ry) OVER s AS ny FROM j WINDOW s AS (PARTITION BY repeat)),
+s AS (SELECT repeat, any_value(mx) AS mx, any_value(my) AS my, any_value(nx) AS nx, any_value(ny) AS ny, sum((qx - mx) * (rx - nx) + (qy - my) * (ry - ny)) AS a, sum((qx - mx) * (ry - ny) - (qy - my) * (rx - nx)) AS b, sum((qx - mx) ** 2 + (qy - my) ** 2) AS v FROM m GROUP BY 1),
+f AS (SELECT *, sqrt(a * a + b * b) / v AS k, atan2(b, a) AS t FROM s),
+p AS (SELECT d.id, d.repeat, k * (cos(t) * (x - mx) - sin(t) * (y - my)) + nx AS x, k * (sin(t) * (x - mx) + cos(t) * (y - my)) + ny AS y, count(*) OVER (PARTITION BY id) AS c FROM d JOIN f USING (repeat)),
+w AS (SELECT *, avg(x) OVER g AS ux, avg(y) OVER g AS uy FROM p WHERE c = 6 WINDOW g AS (PARTITION BY id)),
+h AS (SELECT *, sqrt((x - ux) ** 2 + (y - uy) ** 2) AS e FROM w)
+SELECT id AS point, count(*) AS n, any_value(ux) AS mean_x, any_value(uy) AS mean_y, var_samp(x) AS var_x, var_samp(y) AS var_y, avg(e) AS dist_mean, max(e) AS dist_max FROM h GROUP BY 1
+"""
+
+
+@query(REPLICATES, "mean_x mean_y var_x var_y dist_mean dist_max", 4)
+def replicate_spread(spark, d):
+    """Six replicates of a turned and stretched copy of part against part, run in two goes."""
+    from .plans import replicates
+
+    ref = parts(spark, d).select("id", "cluster", "x", "y")
+    moved = ref.select("id", "cluster", (2 * F.col("y") - 1700).alias("x"), (50 - 3.0 * F.col("x")).alias("y"))
+    at = f"{shared_dir(spark)}/replicates-{uuid.uuid4().hex}"
+    replicates.run(spark, moved, ref, at, "part", 2)
+    found, _ = replicates.run(spark, moved, ref, at, "part", 6, each=3)
+    return replicates.spread(found).select("point", "n", "mean_x", "mean_y", "var_x", "var_y", "dist_mean", "dist_max")
+
+
+CELLS = "SELECT DISTINCT floor((p_retailprice - 900) / 8)::INT AS iy, (p_size // 4)::INT AS ix FROM part WHERE abs(p_size - 26) > 5 OR abs(p_retailprice - 950) > 20"
+SIDES = f"s AS (SELECT ix, iy FROM ({CELLS})), u AS (SELECT ix, iy, -1 AS d FROM s UNION ALL SELECT ix + 1, iy, 1 FROM s), v AS (SELECT ix, iy, sum(d) AS d FROM u GROUP BY 1, 2 HAVING count(*) = 1)"
+
+
+def _outline(spark, d):
+    """Cells of part without those around the middle."""
+    from .operators import polygons
+
+    p = table(spark, d, "part").filter("abs(p_size - 26) > 5 OR abs(p_retailprice - 950) > 20")
+    return polygons.boundary(p.select(F.floor((F.col("p_retailprice") - 900) / 8).cast("int").alias("iy"), F.floor(F.col("p_size") / 4).cast("int").alias("ix")))
+
+
+@query(f"WITH {SIDES}, q AS (SELECT o_orderkey AS id, (o_totalprice / 1000) % 14 AS x, (o_custkey % 137) / 10.0 AS y FROM orders) SELECT id, count(v.d) AS n, count(v.d) % 2 = 1 AS inside FROM q LEFT JOIN v ON v.iy <= q.y AND q.y < v.iy + 1 AND q.x < v.ix GROUP BY id")
+def points_in_outline(spark, d):
+    """How often the line from a point to the right crosses the outline."""
+    from .operators import polygons
+
+    q = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), ((F.col("o_totalprice") / 1000) % 14).alias("x"), ((F.col("o_custkey") % 137) / 10.0).alias("y"))
+    return polygons.crossings(q, _outline(spark, d))
+
+
+@query(f"WITH {SIDES} SELECT sum(d * ix)::DOUBLE AS area FROM v", "area")
+def outline_area(spark, d):
+    """The area of all rings, holes taken off."""
+    from .operators import polygons
+
+    return polygons.ring_areas(polygons.rings(_outline(spark, d))).agg(F.sum("area").alias("area"))
+
+
+@query()
+def outline_mass(spark, d):
+    """Kernel mass within the outline at the middles of its cells."""
+    from .operators import polygons
+
+    e = polygons.upright(_outline(spark, d))
+    return polygons.mass(polygons.grid_inside(e, 1.0), e, 1.5)
+
+
+NEAR = f"v AS ({V}), p AS (SELECT a.id AS i, b.id AS j, list_distance(a.v, b.v) AS d FROM v a JOIN v b ON a.id <> b.id), k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM p), e AS (SELECT i, j FROM k WHERE r <= 5 AND d <= 1.12), b AS (SELECT i, j FROM e UNION SELECT j, i FROM e), n AS (SELECT id FROM v), r AS (SELECT id, id AS o FROM n UNION SELECT r.id, b.j FROM r JOIN b ON b.i = r.o)"
+
+
+def _near(spark, d, k: int):
+    nn = metric.knn(vectors(spark, d).select("id", "v"), k + 1).filter("rank > 1")
+    return cut(nn.groupBy(F.least("qid", "nid").alias("i"), F.greatest("qid", "nid").alias("j")).agg(F.min("d").alias("d"), F.lit(1.0).alias("w")))
+
+
+@query(f"WITH RECURSIVE {NEAR} SELECT id, min(o) AS label FROM r GROUP BY id")
+def single_linkage(spark, d):
+    """Regions of the five-nearest graph of the vectors, merged while the nearest are within 1.12."""
+    near = _near(spark, d, 5)
+    return agglomerate.regions(vectors(spark, d).select("id"), agglomerate.merges(near, "single", 1.12))
+
+
+@query()
+def agglomerated(spark, d):
+    """Vectors merged over their eight-nearest graph to ten regions, by mean distance."""
+    return agglomerate.regions(vectors(spark, d).select("id"), agglomerate.merges(_near(spark, d, 8)), 10)
+
+
+@query("""WITH c AS (SELECT p_type AS cluster, p_brand AS candidate, sum(p_retailprice) AS score, list_sort(list(DISTINCT p_size % 7)) AS labels FROM part WHERE p_type <> 'SMALL' GROUP BY 1, 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, candidate) AS r FROM c)
+SELECT p_partkey AS id, coalesce(candidate, 'unassigned') AS label, coalesce(array_to_string(labels, ','), '') AS labels, candidate IS NOT NULL AS matched FROM part LEFT JOIN b ON b.cluster = p_type AND r = 1""")
+def cluster_labels(spark, d):
+    """Points named after the best candidate of their cluster; one cluster has none."""
+    p = table(spark, d, "part")
+    pairs = p.filter("p_type <> 'SMALL'").groupBy(F.col("p_type").alias("cluster"), F.col("p_brand").alias("candidate")).agg(F.sum("p_retailprice").alias("score"), F.array_sort(F.collect_set((F.col("p_size") % 7).cast("long"))).alias("labels"))
+    out = raster.cluster_label_map(p.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("cluster")), pairs)
+    return out.select("id", "label", F.array_join("labels", ",").alias("labels"), "matched")
+
+
+def _sql_levels(*levels: str) -> str:
+    """Greedy pairs of each level, a row at a time in the order of the scores."""
+    parts = []
+    for k, cluster in enumerate(levels):
+        parts.append(f"""c{k} AS (SELECT {cluster} AS cluster, p_brand AS candidate, [regexp_extract(p_brand, '[0-9]+')::INT % 11, regexp_extract(p_brand, '[0-9]+')::INT * 3 % 11] AS labels, count(*)::DOUBLE AS score FROM part GROUP BY ALL),
+o{k} AS (SELECT *, row_number() OVER (ORDER BY score DESC, cluster, candidate) AS r FROM c{k}),
+g{k} AS (SELECT 0::BIGINT AS r, []::VARCHAR[] AS cs, []::INT[] AS ls, false AS ok UNION ALL
+SELECT o.r, CASE WHEN list_contains(cs, cluster) OR list_has_any(ls, labels) THEN cs ELSE list_append(cs, cluster) END, CASE WHEN list_contains(cs, cluster) OR list_has_any(ls, labels) THEN ls ELSE list_concat(ls, labels) END, NOT (list_contains(cs, cluster) OR list_has_any(ls, labels)) FROM g{k} g JOIN o{k} o ON o.r = g.r + 1)""")
+    return f"WITH RECURSIVE {', '.join(parts)} " + " UNION ALL ".join(f"SELECT {k} AS stage, cluster, candidate, score FROM g{k} JOIN o{k} USING (r) WHERE ok" for k in range(len(levels)))
+
+
+@query(_sql_levels("p_type[1:1]", "p_type"), "score")
+def atlas_levels(spark, d):
+    """Pairs that two levels of clusters accept among label sets; the third stage brings no more."""
+    from .plans import levels
+
+    number = F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int")
+    sets = F.array(number % 11, number * 3 % 11)
+
+    def score(stage, level):
+        cluster = F.substring("p_type", 1, 1) if level == 0 else F.col("p_type")
+        return table(spark, d, "part").groupBy(cluster.alias("cluster"), F.col("p_brand").alias("candidate"), sets.alias("labels")).agg(F.count(F.lit(1)).cast("double").alias("score"))
+
+    return levels.run(score, 2).select("stage", "cluster", "candidate", "score")
+
+
+@query(f"""WITH v AS ({V}), l AS (SELECT vec_id AS id, label FROM embeddings), c AS (SELECT label, k, avg(x) AS m FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM v JOIN l USING (id)) GROUP BY 1, 2),
+m AS (SELECT label, list(m ORDER BY k) AS m FROM c GROUP BY 1), n AS (SELECT id, arg_min(label, (list_distance(v, m), label)) AS own FROM v, m GROUP BY 1),
+d AS (SELECT a.id, x.own AS own, y.own AS other, sum(list_distance(a.v, b.v) ** 2) AS s, count(*) AS c FROM v a JOIN n x ON x.id = a.id, v b JOIN n y ON y.id = b.id GROUP BY 1, 2, 3),
+e AS (SELECT id, max(CASE WHEN own = other AND c > 1 THEN s / (c - 1) END) AS a, min(CASE WHEN own <> other THEN s / c END) AS b FROM d GROUP BY 1)
+SELECT avg(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM e""", "silhouette")
+def silhouette_by_sums(spark, d):
+    """Mean silhouette of vectors, each with the label whose mean is nearest, without a pair of rows."""
+    from .operators import trajectories
+
+    e = table(spark, d, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("k", "x")).groupBy("label", "k").agg(F.avg("x").alias("m"))
+    rows = e.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("m")).orderBy("label").collect()  # a row a label
+    value = trajectories.silhouettes(vectors(spark, d).select("v"), [np.array([r["m"] for r in rows])])[0]
+    return spark.createDataFrame([(float(value),)], "silhouette double")
+
+
+@query()
+def trajectory_clusters(spark, d):
+    """Suppliers by the course of their mean quantity over the months, the number of clusters chosen."""
+    from .operators import trajectories
+
+    li = table(spark, d, "lineitem")
+    curves = li.groupBy(F.col("l_suppkey").alias("id"), F.month("l_shipdate").alias("ord")).agg(F.avg("l_quantity").alias("value"))
+    return trajectories.trajectory_clusters(curves, None, [2, 3, 4, 5, 6]).labels
+
+
 @query()
 def metric_slices_met(spark, d):
     """How many slices of the metric index each vector met, of how many."""
@@ -258,7 +409,7 @@ def mask_intersection(spark, d):
 def mask_difference(spark, d):
     a, b = masks(spark, d, "p_type"), masks(spark, d, "p_brand")
     pairs = a.select(F.col("mask").alias("a")).distinct().join(b.select(F.col("mask").alias("b")).distinct())
-    return raster.differing_masks(pairs, a, b).groupBy("a", "b").agg(F.count(F.lit(1)).alias("area"))
+    return raster.difference_areas(pairs, a, b).filter("area > 0")
 
 
 @query()

@@ -70,9 +70,21 @@ def paired_csv(spark: SparkSession, metadata: str, expression: str, sample: str
     return meta.withColumnRenamed("cell_id", "obs"), expr
 
 
-def paired_directory(spark: SparkSession, folder: str, samples: list[str]) -> tuple[DataFrame, DataFrame]:
-    """At least two samples, from cell_metadata_<id>.csv and cell_by_gene_<id>.csv; genes that a
-    sample lacks are zeros, which the long form leaves out."""
+def discover(spark: SparkSession, folder: str) -> list[str]:
+    """The samples of a folder of file pairs cell_metadata_<id>.csv and cell_by_gene_<id>.csv, found
+    by Spark's file listing; a file without its partner is an error, as are fewer than two pairs."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "cell_*.csv").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    found = {kind: {r[0] for r in files.select(F.regexp_extract("name", rf"^{kind}_(.+)\.csv$", 1).alias("s")).filter("s <> ''").collect()} for kind in ("cell_metadata", "cell_by_gene")}
+    meta, expr = found["cell_metadata"], found["cell_by_gene"]
+    if meta != expr or len(meta) < 2:
+        raise FileNotFoundError(f"at least two matched file pairs are needed; missing metadata for {sorted(expr - meta)}, missing expression for {sorted(meta - expr)}")
+    return sorted(meta)
+
+
+def paired_directory(spark: SparkSession, folder: str, samples: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """At least two samples, from cell_metadata_<id>.csv and cell_by_gene_<id>.csv; all of the folder
+    unless they are named. Genes that a sample lacks are zeros, which the long form leaves out."""
+    samples = discover(spark, folder) if samples is None else samples
     if len(samples) < 2:
         raise ValueError("two samples are needed")
     metas, exprs = zip(*(paired_csv(spark, f"{folder}/cell_metadata_{s}.csv", f"{folder}/cell_by_gene_{s}.csv", s) for s in sorted(samples)))

@@ -61,3 +61,34 @@ def test_column_functions(spark):
     assert [r[0] for r in inf] == [0.0, 0.75]
     with pytest.raises(ValueError):
         C.composite([(0.5, F.lit(1.0))])
+
+
+def test_directory_discovery(spark, tmp_path):
+    import pytest
+
+    from sparkloom.sources import tables
+
+    for name, gene in (("b", "g1"), ("a", "g2")):
+        (tmp_path / f"cell_metadata_{name}.csv").write_text("cell_id,x,y\n1,0,0\n2,1,1\n")
+        (tmp_path / f"cell_by_gene_{name}.csv").write_text(f"cell_id,{gene}\n2,5\n1,3\n")
+    (tmp_path / "notes.csv").write_text("x\n1\n")
+    assert tables.discover(spark, str(tmp_path)) == ["a", "b"]
+    meta, expr = tables.paired_directory(spark, str(tmp_path))
+    assert {(r["sample_id"], r["obs"]) for r in meta.collect()} == {("a", "a_1"), ("a", "a_2"), ("b", "b_1"), ("b", "b_2")}
+    assert {(r["obs"], r["gene"], r["value"]) for r in expr.collect()} == {("a_1", "g2", 3), ("a_2", "g2", 5), ("b_1", "g1", 3), ("b_2", "g1", 5)}
+    (tmp_path / "cell_metadata_c.csv").write_text("cell_id,x,y\n1,0,0\n")
+    with pytest.raises(FileNotFoundError, match=r"missing expression for \['c'\]"):
+        tables.discover(spark, str(tmp_path))
+
+
+def test_user_weights():
+    import pytest
+
+    from sparkloom.operators import pairing
+
+    own = pairing.with_weights(pairing.HISTOLOGY, sdf=0.25, chamfer=0.35, dice=0.20, area=0.15, thickness=0.05)
+    assert (own.sdf, own.thickness, own.score_least) == (0.25, 0.05, pairing.HISTOLOGY.score_least)
+    assert pairing.with_weights(pairing.ATAC) == pairing.ATAC
+    for bad, text in (({"sdf": 0.4}, "sum to 1.0"), ({"sdf": -0.1, "chamfer": 0.7}, "at least 0"), ({"colour": 1}, "no such")):
+        with pytest.raises(ValueError, match=text):
+            pairing.with_weights(pairing.ATAC, **bad)
