@@ -47,16 +47,20 @@ def procrustes_by(pairs: DataFrame, by: list[str], weight: Column | None = None,
     m = rows.groupBy(*by).agg(*[(F.sum(F.col("w") * F.col(k)) / F.sum("w")).alias(f"m_{k}") for k in ("qx", "qy", "rx", "ry")], F.count(F.lit(1)).alias("n"))
     x, y, X, Y, w = F.col("qx") - F.col("m_qx"), F.col("qy") - F.col("m_qy"), F.col("rx") - F.col("m_rx"), F.col("ry") - F.col("m_ry"), F.col("w")
     dx, dy = F.col("qx") - F.col("rx"), F.col("qy") - F.col("ry")
-    terms = {"a": x * X + y * Y, "b": x * Y - y * X, "am": x * X - y * Y, "bm": x * Y + y * X, "v": x * x + y * y, "u": X * X + Y * Y, "gap": dx * dx + dy * dy}
+    terms = {"a": x * X + y * Y, "b": x * Y - y * X, "am": x * X - y * Y, "bm": x * Y + y * X, "v": x * x + y * y, "gap": dx * dx + dy * dy}
     s = rows.join(m, by).groupBy(*by, "m_qx", "m_qy", "m_rx", "m_ry", "n").agg(*[F.sum(w * e).alias(k) for k, e in terms.items()], F.sum(w).alias("w"))
     mirrored = (F.hypot("am", "bm") > F.hypot("a", "b")) if reflection else F.lit(False)
     s = s.withColumn("mirror", F.when(mirrored, F.lit(-1.0)).otherwise(F.lit(1.0)))
     pa, pb = (F.when(F.col("mirror") < 0, F.col(f"{c}m")).otherwise(F.col(c)) for c in "ab")
     s = s.withColumn("norm", F.hypot(pa, pb)).withColumn("theta", F.atan2(pb, pa)).withColumn("scale", F.when(F.col("v") > 0, F.col("norm") / F.col("v")).otherwise(F.lit(1.0)))
     k, t, my = F.col("scale"), F.col("theta"), F.col("m_qy") * F.col("mirror")
-    # what is left of sum w |R|^2 when the fit of norm / v takes its share
-    left = F.when(F.col("v") > 0, F.col("u") - F.col("norm") * F.col("norm") / F.col("v")).otherwise(F.col("u"))
-    return s.select(*by, "scale", "theta", (F.col("m_rx") - k * (F.cos(t) * F.col("m_qx") - F.sin(t) * my)).alias("tx"), (F.col("m_ry") - k * (F.sin(t) * F.col("m_qx") + F.cos(t) * my)).alias("ty"), "mirror", "n", F.sqrt(F.col("gap") / F.col("w")).alias("rmse_before"), F.sqrt(F.greatest(left, F.lit(0.0)) / F.col("w")).alias("rmse"))
+    fit = s.select(*by, "scale", "theta", (F.col("m_rx") - k * (F.cos(t) * F.col("m_qx") - F.sin(t) * my)).alias("tx"), (F.col("m_ry") - k * (F.sin(t) * F.col("m_qx") + F.cos(t) * my)).alias("ty"), "mirror", "n", F.sqrt(F.col("gap") / F.col("w")).alias("rmse_before"))
+    # the pairs are moved for what is left: the closed form of it would lose its digits
+    qy = F.col("qy") * F.col("mirror")
+    ex = F.col("scale") * (F.cos("theta") * F.col("qx") - F.sin("theta") * qy) + F.col("tx") - F.col("rx")
+    ey = F.col("scale") * (F.sin("theta") * F.col("qx") + F.cos("theta") * qy) + F.col("ty") - F.col("ry")
+    left = rows.join(fit, by).groupBy(*by).agg(F.sqrt(F.sum(F.col("w") * (ex * ex + ey * ey)) / F.sum("w")).alias("rmse"))
+    return fit.join(left, by)
 
 
 def transform(pts: DataFrame, how: DataFrame, x: str = "x_prealigned", y: str = "y_prealigned") -> DataFrame:
