@@ -28,11 +28,12 @@ def draw(points: DataFrame, repeats: list[int], share: float, seed: int = 0) ->
 
 def align(query: DataFrame, reference: DataFrame, repeats: list[int], share: float, seed: int = 0, least: int = 1) -> tuple[DataFrame, DataFrame]:
     """Moved points (repeat, id, x, y) of each replicate, and its fit. query, reference: id, cluster,
-    x, y. Replicates with fewer than two shared clusters have neither."""
+    x, y. Replicates with fewer than two shared clusters have neither. Fits are rounded to ten places,
+    so that the order of a sum does not tell one run from another."""
     drawn = draw(query.select("id", "cluster", "x", "y"), repeats, share, seed)
     q = geometry.centroids(drawn, least, ("repeat", "cluster")).select("repeat", "cluster", F.col("cx").alias("qx"), F.col("cy").alias("qy"))
     r = geometry.centroids(reference, least, ("cluster",)).select("cluster", F.col("cx").alias("rx"), F.col("cy").alias("ry"))
-    fits = cut(geometry.procrustes_by(q.join(r, "cluster"), ["repeat"]).filter("n >= 2").select("scale", "theta", "tx", "ty", "mirror", F.col("n").alias("clusters"), "repeat"))
+    fits = cut(geometry.procrustes_by(q.join(r, "cluster"), ["repeat"]).filter("n >= 2").select(*[F.round(c, 10).alias(c) for c in ("scale", "theta", "tx", "ty")], "mirror", F.col("n").alias("clusters"), "repeat"))
     how = F.broadcast(fits.drop("clusters"))  # a row a replicate
     c, s = F.cos("theta"), F.sin("theta")
     x, y = F.col("scale") * (c * F.col("x") - s * F.col("y")) + F.col("tx"), F.col("scale") * (s * F.col("x") + c * F.col("y")) + F.col("ty")
