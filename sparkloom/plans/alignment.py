@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.registration import flow, register
 from ..operators import contracts, geometry, neighbours, raster
+from ..storage import cut
 
 
 @dataclass(frozen=True)
@@ -33,10 +34,10 @@ def prealign(pts: DataFrame, query: str, reference: str, manual: tuple[float, fl
     if manual is not None:
         fit = pts.sparkSession.createDataFrame([(*map(float, manual), 1.0)], "scale double, theta double, tx double, ty double, mirror double")
     else:
-        shared = geometry.shared_centroids(q, r)
+        shared = cut(geometry.shared_centroids(q, r))
         if shared.limit(2).count() < 2:
             raise ValueError("fewer than two shared clusters")
-        fit = geometry.procrustes(shared)
+        fit = cut(geometry.procrustes(shared))
     return geometry.transform(q, fit).unionByName(r.withColumn("x_prealigned", F.col("x")).withColumn("y_prealigned", F.col("y")))
 
 
@@ -57,12 +58,12 @@ def _match(config: Config):
     return run
 
 
-def align(pts: DataFrame, query: str, reference: str, config: Config = Config(), manual=None) -> tuple[DataFrame, DataFrame]:
-    """Aligned points (x_aligned, y_aligned; reference rows unchanged) and the 1-NN agreement before
-    and after. pts: id, sample_id, cluster, x, y.
+def move(pts: DataFrame, query: str, reference: str, config: Config = Config(), manual=None) -> DataFrame:
+    """Aligned points (x_aligned, y_aligned; reference rows unchanged). pts: id, sample_id, cluster, x, y.
 
-    Points are aggregated to pixels in Spark; the matching of a pair runs in one grouped task on
+    Points are materialised once and aggregated to pixels in Spark; the matching of a pair runs in one grouped task on
     its bounded raster; its velocity (a few hundred kB by config) is applied to points as they stream."""
+    pts = cut(pts)
     contracts.check_points(pts, query, reference)
     pre = prealign(pts, query, reference, manual)
     box = geometry.shared_box(pre.select(F.col("x_prealigned").alias("x"), F.col("y_prealigned").alias("y")), 1.0, config.expand).first()
@@ -71,20 +72,26 @@ def align(pts: DataFrame, query: str, reference: str, config: Config = Config(),
     sides = []
     for side, sample in (("query", query), ("reference", reference)):
         p = pre.filter(F.col("sample_id") == sample).select("cluster", F.col("x_prealigned").alias("x"), F.col("y_prealigned").alias("y"))
-        pixels = raster.blur(raster.histogram(p, x0, y0, dx, n, n).withColumn("v", F.col("v").cast("double")), config.sigma, n, n)
+        pixels = cut(raster.blur(cut(raster.histogram(p, x0, y0, dx, n, n).withColumn("v", F.col("v").cast("double"))), config.sigma, n, n))
         sides.append(raster.channels(pixels).withColumn("side", F.lit(side)))
     both = sides[0].unionByName(sides[1])
     keep = sides[0].select("channel").distinct().join(sides[1].select("channel").distinct(), "channel")
     fields = both.join(F.broadcast(keep), "channel").withColumn("pair", F.lit(f"{query}->{reference}")).groupBy("pair").applyInPandas(_match(config), "pair string, velocity binary, first_loss double, loss double").first()
     v = np.frombuffer(fields["velocity"]).reshape(config.steps, 2, n, n)
 
-    def move(batches):
+    def carry(batches):
         for pdf in batches:
             y, x = flow(v, (pdf["y_prealigned"] - y0) / dx - 0.5, (pdf["x_prealigned"] - x0) / dx - 0.5)
             q = pdf["sample_id"] == query
             yield pdf.assign(x_aligned=np.where(q, (x + 0.5) * dx + x0, pdf["x_prealigned"]), y_aligned=np.where(q, (y + 0.5) * dx + y0, pdf["y_prealigned"]))
 
-    out = pre.mapInPandas(move, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pre.schema) + ", x_aligned double, y_aligned double")
+    return pre.mapInPandas(carry, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pre.schema) + ", x_aligned double, y_aligned double")
+
+
+def align(pts: DataFrame, query: str, reference: str, config: Config = Config(), manual=None) -> tuple[DataFrame, DataFrame]:
+    """The points of `move`, and the 1-NN agreement before and after, which joins all points of both
+    samples at three stages."""
+    out = cut(move(pts, query, reference, config, manual))
     ref = out.filter(F.col("sample_id") == reference).select("id", "x", "y", "cluster")
     stage = lambda name, x, y: neighbours.agreement(out.filter(F.col("sample_id") == query).select("id", F.col(x).alias("x"), F.col(y).alias("y"), "cluster"), ref).withColumn("stage", F.lit(name))
     return out, stage("before", "x", "y").unionByName(stage("prealigned", "x_prealigned", "y_prealigned")).unionByName(stage("aligned", "x_aligned", "y_aligned"))
