@@ -3,11 +3,12 @@
 Adjacency: i < j, d (how unlike two regions are) and w (how much they touch). The distance of merged
 regions follows from that of their parts: the mean of d by w, its maximum or its minimum. None of these
 brings a region nearer than its parts were, so merging all pairs that are each other's nearest at once
-gives the merges that one at a time, the nearest first, would give."""
+gives the merges that one at a time, the nearest first, would give. By the minimum one region can take
+all others one by one, so `single` goes by a rule of its own (see `_single`)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import cut
@@ -33,7 +34,10 @@ def region_adjacency(pixels: DataFrame) -> DataFrame:
 def merges(adjacency: DataFrame, linkage: str = "average", stop: float | None = None) -> DataFrame:
     """All merges of the regions of a materialised adjacency (i, j, d, w): into, from (the larger id,
     which ends), height and round. Ends where no regions touch or the nearest are over `stop` apart.
-    Equal distances go by ids. The rounds are as many as the longest chain of ever nearer neighbours."""
+    Equal distances go by ids. The rounds are as many as the longest chain of ever nearer neighbours;
+    of `single` they are those of `_single`."""
+    if linkage == "single":
+        return _single(adjacency, stop)
     over, total = LINKAGES[linkage]
     held = F.col("d") * F.col("w") if linkage == "average" else F.col("d")
     edges = cut(adjacency.filter("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), held.cast("double").alias("s"), F.col("w").cast("double").alias("w")).groupBy("i", "j").agg(over("s").alias("s"), total("w").alias("w")))
@@ -57,6 +61,48 @@ def merges(adjacency: DataFrame, linkage: str = "average", stop: float | None =
     return adjacency.sparkSession.createDataFrame([], f"into {kind}, from {kind}, height double, round int") if out is None else out
 
 
+def _single(adjacency: DataFrame, stop: float | None) -> DataFrame:
+    """Merges by the minimum. A region ends at the least distance that joins it to a smaller id. Its
+    nearest edge is the first to join it to anything, so where that leads to a smaller id the region
+    ends there and its other edges, all longer, become those of that id. All such regions end in one
+    round, in chains too, as the nearest edges along a chain grow no longer. Equal distances go by the
+    ids of the adjacency; `round` tells their order. Ids in no order leave some log n rounds."""
+    rows = adjacency.filter("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.col("d").cast("double").alias("d"))
+    rows = rows if stop is None else rows.filter(F.col("d") <= stop)
+    edges = cut(rows.groupBy("i", "j").agg(F.min("d").alias("d")).select("i", "j", F.struct("d", "i", "j").alias("k")))
+    ended = None
+    while not edges.isEmpty():
+        ends = edges.unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "k"))
+        new = cut(ends.groupBy("i").agg(F.min(F.struct("k", "j")).alias("m")).filter("m.j < i").select(F.col("i").alias("from"), F.col("m.j").alias("into"), F.col("m.k").alias("k")))
+        ended = new if ended is None else ended.unionByName(new)
+        to = _followed(new.select("from", "into"))
+        a, b = to.toDF("i", "ti"), to.toDF("j", "tj")
+        moved = edges.join(a, "i", "left").join(b, "j", "left").select(F.coalesce("ti", "i").alias("x"), F.coalesce("tj", "j").alias("y"), "k").filter("x <> y")
+        edges = cut(moved.groupBy(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).agg(F.min("k").alias("k")))
+    kind = adjacency.schema["i"].dataType.simpleString()
+    if ended is None:
+        return adjacency.sparkSession.createDataFrame([], f"into {kind}, from {kind}, height double, round int")
+    # what a region joined may have ended before that: then it joined what that one had joined
+    ended, late = cut(ended), True
+    while late:
+        at = ended.select(F.col("from").alias("into"), F.col("into").alias("then"), F.col("k").alias("ko"))
+        early = F.coalesce(F.col("ko") < F.col("k"), F.lit(False))
+        ended = cut(ended.join(at, "into", "left").select("from", F.when(early, F.col("then")).otherwise(F.col("into")).alias("into"), "k", early.alias("late")))
+        late = not ended.filter("late").isEmpty()
+        ended = ended.drop("late")
+    order = Window.partitionBy("k.d").orderBy("k")
+    return ended.select("into", "from", F.col("k.d").alias("height"), (F.row_number().over(order) - 1).alias("round"))
+
+
+def _followed(to: DataFrame) -> DataFrame:
+    """from, into with into at the end of its chain; a step doubles what is followed."""
+    more = True
+    while more:
+        step = cut(to.join(to.toDF("into", "then"), "into", "left").select("from", F.coalesce("then", "into").alias("into"), F.col("then").isNotNull().alias("more")))
+        more, to = not step.filter("more").isEmpty(), step.drop("more")
+    return to
+
+
 def regions(nodes: DataFrame, merged: DataFrame, count: int | None = None) -> DataFrame:
     """id and label (the smallest id of its region) of nodes (id) after all merges, or after as many of
     the lowest as leave `count` regions, if the regions hang together so far."""

@@ -15,3 +15,19 @@ def test_aligned_points_need_no_neighbours(spark, monkeypatch):
     pts = spark.createDataFrame(rows, "id long, sample_id string, cluster string, x double, y double")
     out = alignment.move(pts, "a", "b", alignment.Config(cells=16, iterations=2)).collect()
     assert len(out) == 120 and all(r["x_aligned"] == r["x"] for r in out if r["sample_id"] == "b")
+
+
+def test_single_linkage_takes_few_rounds(spark, monkeypatch):
+    """One region that takes all others one by one costs no round each, and the merges are the same."""
+    from sparkloom.operators import agglomerate
+    from tests.test_agglomerate import one_at_a_time
+
+    # a path of ever longer steps, its ids in no order: mutual nearest pairs would be one a round
+    ids = [(i * 37) % 61 for i in range(61)]
+    adjacency = {tuple(sorted(p)): (1.0 + i, 1.0) for i, p in enumerate(zip(ids, ids[1:]))}
+    df = spark.createDataFrame([(i, j, d, w) for (i, j), (d, w) in adjacency.items()], "i long, j long, d double, w double")
+    cuts, cut = [], agglomerate.cut
+    monkeypatch.setattr(agglomerate, "cut", lambda x: cuts.append(1) or cut(x))
+    got = agglomerate.merges(df, "single").collect()
+    assert sorted((r["into"], r["from"], r["height"]) for r in got) == sorted(one_at_a_time(adjacency, "single"))
+    assert len(cuts) < 60
