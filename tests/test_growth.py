@@ -31,3 +31,29 @@ def test_single_linkage_takes_few_rounds(spark, monkeypatch):
     got = agglomerate.merges(df, "single").collect()
     assert sorted((r["into"], r["from"], r["height"]) for r in got) == sorted(one_at_a_time(adjacency, "single"))
     assert len(cuts) < 60
+
+
+def test_a_query_is_sent_to_blocks_not_to_slices(spark, monkeypatch):
+    """On vectors without clusters every slice is met, yet a query's vector goes to a few blocks only."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from sparkloom.operators import metric
+
+    for name, value in {"SLICE": 20, "QUERIES": 25, "MEMBERS": 15, "BLOCK": 150, "LEAST_QUERIES": 60}.items():
+        monkeypatch.setattr(metric, name, value)
+    x = np.random.default_rng(5).normal(size=(400, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    sent, cut = [], metric.cut
+    monkeypatch.setattr(metric, "cut", lambda t: (sent.append(out := cut(t)), out)[1])
+    found, met, index = metric.search(df, 7)
+    got = {(r["qid"], r["nid"], r["rank"]) for r in found.collect()}
+    want = set()
+    for i, a in enumerate(x):
+        d2 = ((x - a) ** 2).sum(1)
+        d2[i] = -1
+        want |= {(i, int(j), t + 1) for t, j in enumerate(np.lexsort((np.arange(400), d2))[:7])}
+    assert got == want
+    assert met.agg(F.avg("met")).first()[0] > 0.9 * len(index.pivot) > 10
+    most = max(t.filter("size(v) > 0").groupBy("qid").count().agg(F.max("count")).first()[0] for t in sent if "qid" in t.columns)
+    assert most <= 5
