@@ -57,3 +57,15 @@ def test_a_query_is_sent_to_blocks_not_to_slices(spark, monkeypatch):
     assert met.agg(F.avg("met")).first()[0] > 0.9 * len(index.pivot) > 10
     most = max(t.filter("size(v) > 0").groupBy("qid").count().agg(F.max("count")).first()[0] for t in sent if "qid" in t.columns)
     assert most <= 5
+
+
+def test_geometry_of_places_with_many_points(spark):
+    """Places that hold more than k points each have a geometry too, and copies count one by one."""
+    from sparkloom.operators import tissue
+
+    grid = [(60 * p + c, "s", float(p % 10), float(p // 10)) for p in range(100) for c in range(60)]
+    g = tissue.auto_geometry(spark.createDataFrame(grid, "id long, sample_id string, x double, y double"))
+    # most places have 299 others within 1, and within the radius that covers 18 of them the 60 of a place
+    assert abs(g["radius"] - (18 / 299) ** 0.5) < 1e-9 and (g["grid_n"], g["neff_min"], g["k_max"]) == (165, 25, 65)
+    one = [(i, "s", 1.0, 2.0) for i in range(9)]
+    assert tissue.auto_geometry(spark.createDataFrame(one, "id long, sample_id string, x double, y double"))["radius"] == 0.0
