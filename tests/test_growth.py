@@ -84,3 +84,15 @@ def test_fits_are_not_rounded(spark):
     assert fits.first()["scale"] == pytest.approx(1 / 3, rel=1e-15)
     got = points.join(ref.selectExpr("id", "x AS rx", "y AS ry"), "id").selectExpr("max(abs(x - rx)) AS x", "max(abs(y - ry)) AS y").first()
     assert got["x"] < 1e-11 and got["y"] < 1e-11
+
+
+def test_communities_broadcast_no_table(spark, monkeypatch):
+    """No join of the rounds sends a table of nodes through the driver, however small it is here."""
+    from sparkloom.operators import communities
+
+    plans, cut = [], communities.cut
+    monkeypatch.setattr(communities, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    e = [(i, j, 1.0) for g in (0, 10) for i in range(g, g + 5) for j in range(i + 1, g + 5)] + [(4, 10, 1.0)]
+    out = communities.communities(spark.createDataFrame(e, "i long, j long, w double"), levels=2, rounds=2)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 5 and not any("Broadcast" in p for p in plans)
