@@ -96,3 +96,30 @@ def test_communities_broadcast_no_table(spark, monkeypatch):
     out = communities.communities(spark.createDataFrame(e, "i long, j long, w double"), levels=2, rounds=2)
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert sum("SortMergeJoin" in p for p in plans) > 5 and not any("Broadcast" in p for p in plans)
+
+
+def test_regions_merge_in_blocks(spark, monkeypatch):
+    """A path of ever longer steps costs no round for each merge, and however small the blocks are the
+    merges are those of one at a time."""
+    import numpy as np
+
+    from sparkloom.operators import agglomerate
+    from tests.test_agglomerate import one_at_a_time
+
+    frame = lambda a: spark.createDataFrame([(i, j, d, w) for (i, j), (d, w) in a.items()], "i long, j long, d double, w double")
+    path = {(i, i + 1): (1.0 + i, 1.0) for i in range(40)}
+    cuts, cut = [], agglomerate.cut
+    monkeypatch.setattr(agglomerate, "cut", lambda x: cuts.append(1) or cut(x))
+    assert [(r["into"], r["from"]) for r in agglomerate.merges(frame(path)).orderBy("round").collect()] == [(0, i + 1) for i in range(40)]
+    assert len(cuts) < 10
+    monkeypatch.setattr(agglomerate, "BLOCK", 25)
+    rng = np.random.default_rng(8)
+    some = {(i, j): (float(rng.random()), float(rng.integers(1, 9))) for i in range(40) for j in range(i + 1, 40) if rng.random() < 0.12}
+    for linkage, stop in (("average", None), ("complete", 0.5)):
+        rows = agglomerate.merges(frame(some), linkage, stop).collect()
+        want = one_at_a_time(some, linkage, stop)
+        assert sorted((r["into"], r["from"], round(r["height"], 9)) for r in rows) == sorted(want)
+        first = {r["from"]: r["round"] for r in rows}
+        assert all(first[r["into"]] > r["round"] for r in rows if r["into"] in first)  # a region ends after what it took
+    left = {r["label"] for r in agglomerate.regions(spark.range(40), agglomerate.merges(frame(some)), 30).collect()}
+    assert len(left) == 30
