@@ -6,6 +6,7 @@ import argparse
 import json
 import logging
 import sys
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,11 +23,15 @@ def config_of(file: str, given: dict | None = None) -> dict:
     return config | (given or {})
 
 
-def replace(df: DataFrame, path: str, *by: str, files: int = 1) -> None:
+def replace(df: DataFrame, path: str, *by: str, files: int = 1, then: Callable[[DataFrame], DataFrame] | None = None, key: tuple[str, ...] = ()) -> None:
     """Write df partitioned by columns; a partition that is written again replaces the earlier one,
-    others stay. A partition's rows go to `files` files by a hash, so a large one is not one task."""
-    spread = F.pmod(F.xxhash64(*[c for c in df.columns if c not in by]), F.lit(files))
-    df.repartition(*by, spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    others stay. A partition's rows go to `files` files by a hash of the key (of all other columns
+    without one), so a large one is not one task. `then` makes the rows that are written of those
+    that are sent there."""
+    spread = F.pmod(F.xxhash64(*(key or [c for c in df.columns if c not in by])), F.lit(files))
+    dealt = df.repartition(*by, spread)
+    dealt = dealt if then is None else then(dealt)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def main(job, doc: str, paths: list[str]) -> None:

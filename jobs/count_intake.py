@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import sys
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,34 +41,51 @@ def table(spark: SparkSession, output: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{output}/{name}")
 
 
+def counted(rows: DataFrame, pattern: str) -> DataFrame:
+    """rows (sample_id, obs, text), text by its features: an array of gene and value, in the row itself.
+    The words of a text are sorted, so those that are equal are a run of places."""
+    words = F.sort_array(F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), AZ, az), F.lit(pattern), F.lit(0)))
+    rows = rows.select("sample_id", "obs", words.alias("words")).withColumn("n", F.size("words"))
+    places = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("first", F.filter(places, lambda i: (i == 0) | (F.get("words", i) != F.get("words", i - 1))))
+    after = F.concat(F.slice("first", 2, F.greatest(F.size("first"), F.lit(1))), F.array("n"))
+    runs = F.transform(F.arrays_zip(F.col("first").alias("a"), after.alias("b")), lambda r: F.struct(F.get("words", r["a"]).alias("gene"), (r["b"] - r["a"]).cast("double").alias("value")))
+    return rows.select("sample_id", "obs", F.when(F.col("n") > 0, runs).otherwise(F.slice(runs, 1, 0)).alias("features"))
+
+
 def count_features(rows: DataFrame, pattern: str) -> DataFrame:
     """sample_id, obs, gene, value of rows (sample_id, obs, text)."""
-    words = F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), AZ, az), F.lit(pattern), F.lit(0))
-    return rows.select("sample_id", "obs", F.explode(words).alias("gene")).groupBy("sample_id", "obs", "gene").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return long_form(counted(rows, pattern))
+
+
+def long_form(rows: DataFrame) -> DataFrame:
+    return rows.select(*[c for c in rows.columns if c != "features"], F.explode("features").alias("f")).select("*", "f.*").drop("f")
 
 
 def take(batch: DataFrame, number: int, c: dict, output: str) -> None:
-    """One batch: its new observations into the three tables."""
+    """One batch: its new observations into the three tables. An observation is one row until it is
+    written, so neither its counts nor its quality need a join or a shuffle of single counts."""
     spark = batch.sparkSession
     sample = F.coalesce(F.col(c["sample"]).cast("string"), F.lit("unknown"))
     rows = batch.select(sample.alias("sample_id"), F.col(c["observation"]).cast("string").alias("obs"), F.col(c["text"]).alias("text")).filter("obs IS NOT NULL")
     contracts.require_empty(contracts.duplicates(rows.select("obs"), "obs"), f"observations that repeat in batch {number}")
     known = table(spark, output, "observations").filter(F.col("batch") != number).select("obs")
-    fresh = rows.join(known, "obs", "left_anti")
-    mark = lambda df: df.withColumn("batch", F.lit(number).cast("long"))
-    replace(mark(count_features(fresh, c["feature"])), f"{output}/counts", "batch", "sample_id", files=c["files"])
-    counts = table(spark, output, "counts").filter(F.col("batch") == number)
-    control = F.col("gene").isin(*c["controls"])
-    passed = expression.quality_control(counts.withColumn("is_control", control), c["least_counts"], c["least_features"], c["most_control"]).select("obs", F.lit(True).alias("passed"))
-    measured = counts.groupBy("obs").agg(F.sum(F.when(~control, F.col("value"))).alias("counts"), F.count_if(~control).alias("genes"), F.sum(F.when(control, F.col("value"))).alias("control"))
-    seen = fresh.select("sample_id", "obs").join(measured, "obs", "left").join(passed, "obs", "left")
-    seen = seen.select("sample_id", "obs", *[F.coalesce(x, F.lit(0)).cast(t).alias(x) for x, t in (("counts", "double"), ("genes", "long"), ("control", "double"))], F.coalesce("passed", F.lit(False)).alias("kept"))
-    replace(mark(seen), f"{output}/observations", "batch", "sample_id", files=c["files"])
-    seen = table(spark, output, "observations").filter(F.col("batch") == number)
-    support = expression.gene_support(counts.join(seen.filter("kept").select("obs"), "obs", "left_semi"), by=("sample_id",))
-    replace(mark(support), f"{output}/support", "batch", "sample_id", files=c["files"])
-    n, kept = seen.agg(F.count(F.lit(1)), F.count_if("kept")).first()
-    log.info("count_intake batch %s: read %s rows, wrote %s observations (%s kept), %s counts", number, batch.count(), n, kept, counts.count())
+    total = lambda ok: F.aggregate(F.filter("features", lambda f: ok(f["gene"].isin(*c["controls"]))), F.lit(0.0), lambda s, f: s + f["value"])
+    fresh = counted(rows.join(known, "obs", "left_anti").repartition("obs"), c["feature"]).withColumn("batch", F.lit(number).cast("long"))
+    fresh = fresh.withColumns({"counts": total(lambda control: ~control), "control": total(lambda control: control), "genes": F.size(F.filter("features", lambda f: ~f["gene"].isin(*c["controls"]))).cast("long")})
+    passed = expression.passes("counts", "genes", "control", F.col("counts") + F.col("control"), c["least_counts"], c["least_features"], c["most_control"])
+    fresh = fresh.withColumn("kept", (F.size("features") > 0) & passed).persist(StorageLevel.DISK_ONLY)
+    try:
+        replace(fresh.select("sample_id", "obs", "features", "batch"), f"{output}/counts", "batch", "sample_id", files=c["files"], then=long_form, key=("obs",))
+        support = expression.gene_support(long_form(fresh.filter("kept").select("batch", "sample_id", "features")), by=("batch", "sample_id"))
+        replace(support, f"{output}/support", "batch", "sample_id", files=c["files"])
+        # last, as what is kept of fresh was read beside this table and ends when it changes
+        replace(fresh.drop("features"), f"{output}/observations", "batch", "sample_id", files=c["files"])
+    finally:
+        fresh.unpersist()
+    written = lambda name: table(spark, output, name).filter(F.col("batch") == number)
+    n, kept = written("observations").agg(F.count(F.lit(1)), F.count_if("kept")).first()
+    log.info("count_intake batch %s: read %s rows, wrote %s observations (%s kept), %s counts", number, batch.count(), n, kept, written("counts").count())
 
 
 def run(spark: SparkSession, documents: str, output: str, checkpoint: str, settings: dict | None = None) -> None:

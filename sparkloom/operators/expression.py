@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -89,4 +89,9 @@ def quality_control(expr: DataFrame, counts: float = 20, genes: int = 10, contro
     """Observations with enough counts and genes and few control counts. expr has is_control."""
     c = F.col("is_control")
     agg = expr.groupBy("obs").agg(F.sum(F.when(~c, F.col("value"))).alias("counts"), F.count_if(~c & (F.col("value") > 0)).alias("genes"), F.sum(F.when(c, F.col("value")).otherwise(0.0)).alias("control"), F.sum("value").alias("total"))
-    return agg.filter((F.col("counts") >= counts) & (F.col("genes") >= genes) & (F.col("control") <= control * F.col("total")))
+    return agg.filter(passes("counts", "genes", "control", F.col("total"), counts, genes, control))
+
+
+def passes(n: str, genes: str, control: str, total: Column, least: float, least_genes: int, most: float) -> Column:
+    """Whether columns of one observation pass quality control."""
+    return (F.col(n) >= least) & (F.col(genes) >= least_genes) & (F.col(control) <= most * total)

@@ -123,3 +123,14 @@ def test_settings(tmp_path):
     assert json.loads(json.dumps(common.config_of(register_cohort.__file__)))["reference"] == "A"
     with pytest.raises(ValueError, match="no such settings"):
         common.config_of(register_cohort.__file__, {"refrence": "B"})
+
+
+def test_intake_counts_within_a_row(spark):
+    """Counting the words of a text shuffles nothing, and equals a plain count."""
+    from collections import Counter
+
+    texts = {"a": "b a B c a a", "b": "", "c": None, "d": "12 !?", "e": "x", "f": "z y z y z"}
+    out = count_intake.count_features(spark.createDataFrame([("s", k, t) for k, t in texts.items()], "sample_id string, obs string, text string"), "[a-z]+")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    want = {(k, g, float(n)) for k, t in texts.items() for g, n in Counter(w for w in (t or "").lower().split() if w.isalpha()).items()}
+    assert {(r["obs"], r["gene"], r["value"]) for r in out.collect()} == want
