@@ -123,3 +123,37 @@ def test_regions_merge_in_blocks(spark, monkeypatch):
         assert all(first[r["into"]] > r["round"] for r in rows if r["into"] in first)  # a region ends after what it took
     left = {r["label"] for r in agglomerate.regions(spark.range(40), agglomerate.merges(frame(some)), 30).collect()}
     assert len(left) == 30
+
+
+def test_neighbours_are_found_once_for_features(spark):
+    """Neighbourhood features take their neighbours in one pass, and are those of a plain sum."""
+    import numpy as np
+
+    from sparkloom.operators import clustering
+
+    xy = {i: (float(i % 4), float(i * i % 7)) for i in range(12)}
+    pairs = [(i, j, float(np.hypot(xy[i][0] - xy[j][0], xy[i][1] - xy[j][1]))) for i in xy for j in ((i + 1) % 12, (i + 5) % 12, (i + 7) % 12)]
+    expr = {(i, g): float(i + 3 * k) for i in range(11) for k, g in enumerate("ab") if (i + k) % 3}
+    taken = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for pdf in batches:
+            taken.add(len(pdf))
+            yield pdf
+
+    nn = spark.createDataFrame(pairs, "qid long, nid long, d double").mapInPandas(seen, "qid long, nid long, d double")
+    points = spark.createDataFrame([(i, *p) for i, p in xy.items()], "id long, x double, y double")
+    got = {(r["id"], r["feature"]): r["value"] for r in clustering.banksy(nn, spark.createDataFrame([(*k, v) for k, v in expr.items()], "id long, gene string, value double"), points).collect()}
+    assert taken.value == len(pairs)
+    want = {}
+    for g in "ab":
+        own, mean, agf = np.zeros(12), np.zeros(12), np.zeros(12)
+        for i in xy:
+            own[i] = expr.get((i, g), 0.0)
+            near = [(j, d) for q, j, d in pairs if q == i]
+            w = np.exp(-0.5 * (np.array([d for _, d in near]) / np.median([d for _, d in near])) ** 2)
+            z = sum(a * expr.get((j, g), 0.0) * np.exp(1j * np.arctan2(xy[j][1] - xy[i][1], xy[j][0] - xy[i][0])) for a, (j, _) in zip(w / w.sum(), near))
+            mean[i], agf[i] = sum(a * expr.get((j, g), 0.0) for a, (j, _) in zip(w / w.sum(), near)), abs(z)
+        for name, v, c in (("own", own, 0.2), ("mean", mean, 1.6 / 3), ("agf", agf, 0.8 / 3)):
+            want |= {(i, f"{name}:{g}"): c**0.5 * (v[i] - v.mean()) / v.std() for i in xy}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
