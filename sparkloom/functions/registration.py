@@ -6,6 +6,8 @@ Fourier domain, semi-Lagrangian transport of both images, backtracking steps."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 from .kernels import bilinear
@@ -46,37 +48,55 @@ def jacobian(phi: np.ndarray) -> np.ndarray:
     return yy * xx - yx * xy
 
 
-def register(source: np.ndarray, target: np.ndarray, steps: int = 5, iterations: int = 60, a: float = 3.0, power: int = 1, sigma: float = 0.02, step: float = 0.5) -> tuple[Field, list[float]]:
-    """Match channels (C, H, W). The loss is energy / 2 + |moved source - target|^2 / (2 sigma^2);
-    a step that does not lower it is undone and halved, so the returned losses never rise."""
-    f = Field(source.shape[-2:], steps, a, power)
+def mismatch(source: np.ndarray, target: np.ndarray, back: list[np.ndarray], sigma: float) -> float:
+    """|moved source - target|^2 / (2 sigma^2), channels (C, H, W); a sum over channels."""
+    d = bilinear(source, *back[-1], "border") - target
+    return 0.5 * float((d * d).sum()) / sigma**2
 
-    def loss() -> tuple[float, list, list]:
-        back, ahead = f.maps()
-        d = bilinear(source, *back[-1], "border") - target
-        return 0.5 * f.energy() + 0.5 * float((d * d).sum()) / sigma**2, back, ahead
 
-    now, back, ahead = loss()
+def pull(source: np.ndarray, target: np.ndarray, back: list[np.ndarray], ahead: list[np.ndarray], sigma: float) -> np.ndarray:
+    """What the mismatch asks of the velocities (steps, 2, H, W), before smoothing; a sum over channels."""
+    out = []
+    for b, h in zip(back[:-1], ahead):
+        i, j = bilinear(source, *b, "border"), bilinear(target, *h, "border")
+        g = np.stack(np.gradient(i, axis=(-2, -1)), 1)  # (C, 2, H, W)
+        out.append((jacobian(h) * ((i - j)[:, None] * g)).sum(0) / sigma**2)
+    return np.stack(out)
+
+
+def descend(f: Field, look: Callable, iterations: int, step: float = 0.5) -> list[float]:
+    """Lower energy / 2 + mismatch in f. `look` gives the mismatch of a field and a function for its pull. A step that
+    does not lower the loss is undone and halved, so the returned losses never rise; it ends where no step lowers it."""
+    off, pulled = look(f)
+    now, grad = 0.5 * f.energy() + off, None
     losses = [now]
     for _ in range(iterations):
-        grad = np.empty_like(f.v)
-        for t in range(steps):
-            i, j = bilinear(source, *back[t], "border"), bilinear(target, *ahead[t], "border")
-            g = np.stack(np.gradient(i, axis=(-2, -1)), 1)  # (C, 2, H, W)
-            body = (jacobian(ahead[t]) * ((i - j)[:, None] * g)).sum(0) / sigma**2
-            grad[t] = f.v[t] - f.smooth(body)
+        if grad is None:
+            grad = f.v - f.smooth(pulled())
         size = np.abs(grad).max()
         if size < 1e-9 or step < 1e-4:
             break
-        was = f.v.copy()
+        was = f.v
         f.v = was - step / max(size, 1.0) * grad
-        new, back2, ahead2 = loss()
+        off, there = look(f)
+        new = 0.5 * f.energy() + off
         if new < now:
-            now, back, ahead, step = new, back2, ahead2, step * 1.2
+            now, pulled, grad, step = new, there, None, step * 1.2
         else:
             f.v, step = was, step / 2
         losses.append(now)
-    return f, losses
+    return losses
+
+
+def register(source: np.ndarray, target: np.ndarray, steps: int = 5, iterations: int = 60, a: float = 3.0, power: int = 1, sigma: float = 0.02, step: float = 0.5) -> tuple[Field, list[float]]:
+    """Match channels (C, H, W) in one process."""
+    f = Field(source.shape[-2:], steps, a, power)
+
+    def look(f: Field):
+        back, ahead = f.maps()
+        return mismatch(source, target, back, sigma), lambda: pull(source, target, back, ahead, sigma)
+
+    return f, descend(f, look, iterations, step)
 
 
 def flow(v: np.ndarray, y: np.ndarray, x: np.ndarray, inverse: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,19 +10,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.registration import flow, register
+from ..functions.registration import Field, descend, flow, mismatch, pull
 from ..operators import contracts, geometry, neighbours, raster
 from ..storage import cut
 
 
 @dataclass(frozen=True)
 class Config:
-    """Raster cells a side (bounded: one pair's channels are one task), blur and matching."""
+    """Raster, blur and matching. `spacing` is the side of a raster cell in the points' units, as many cells as their
+    extent takes; `cells`, where given, is a fixed number of cells a side instead. `iterations` is the most that a
+    matching takes; it ends before where no step lowers the loss. `sigma` and `smoothness` are in cells."""
 
-    cells: int = 64
+    spacing: float = 30.0
+    cells: int | None = None
     sigma: float = 1.5
     steps: int = 5
-    iterations: int = 40
+    iterations: int = 500
     smoothness: float = 3.0
     match_sigma: float = 0.02
     expand: float = 1.1
@@ -41,51 +45,87 @@ def prealign(pts: DataFrame, query: str, reference: str, manual: tuple[float, fl
     return geometry.transform(q, fit).unionByName(r.withColumn("x_prealigned", F.col("x")).withColumn("y_prealigned", F.col("y")))
 
 
-def _match(config: Config):
-    """Grouped map: pixels (pair, side, channel, iy, ix, v) to the velocity of a pair."""
+def rasters(pixels: DataFrame, n: int) -> DataFrame:
+    """Pixels (side, channel, iy, ix, v) as channel, query, reference: a row a channel that both sides have, with its
+    two rasters of n x n doubles, and a file a row, so that tasks share the channels."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(pdf["channel"].unique())
-        arrays = {}
-        for side in ("query", "reference"):
-            a = np.zeros((len(names), config.cells, config.cells))
-            s = pdf[pdf["side"] == side]
-            a[s["channel"].map(names.index).to_numpy(int), s["iy"].to_numpy(), s["ix"].to_numpy()] = s["v"].to_numpy()
-            arrays[side] = a
-        f, losses = register(arrays["query"], arrays["reference"], config.steps, config.iterations, config.smoothness, sigma=config.match_sigma)
-        return pd.DataFrame({"pair": [pdf["pair"].iloc[0]], "velocity": [f.v.astype("<f8").tobytes()], "first_loss": [losses[0]], "loss": [losses[-1]]})
-
-    return run
+        if pdf["side"].nunique() < 2:
+            return pd.DataFrame()
+        a = np.zeros((2, n, n))
+        a[(pdf["side"] == "reference").to_numpy(int), pdf["iy"].to_numpy(), pdf["ix"].to_numpy()] = pdf["v"].to_numpy()
+        q, r = (side.astype("<f8").tobytes() for side in a)
+        return pd.DataFrame({"channel": [pdf["channel"].iloc[0]], "query": [q], "reference": [r]})
+
+    rows = cut(pixels.groupBy("channel").applyInPandas(run, "channel string, query binary, reference binary"))
+    return cut(rows.repartitionByRange(max(rows.count(), 1), "channel"))
+
+
+def match(fields: DataFrame, n: int, config: Config) -> tuple[np.ndarray, list[float]]:
+    """The velocities (steps, 2, n, n) that carry the query's channels to the reference's, and the loss by iteration.
+
+    An iteration is a job: tasks take the velocities, add up mismatch and pull over their channels, and a second stage
+    adds these up by time step. The driver holds the velocities alone, which the raster bounds."""
+    sc, steps = fields.sparkSession.sparkContext, config.steps
+
+    def look(f: Field):
+        sent = sc.broadcast(f.v)
+
+        def share(batches):
+            now, total, pulled, first = Field((n, n), steps), 0.0, 0.0, None
+            for pdf in batches:
+                for name, *pair in zip(pdf["channel"], pdf["query"], pdf["reference"]):
+                    q, r = (np.frombuffer(side, "<f8").reshape(1, n, n) for side in pair)
+                    if first is None:
+                        first, now.v = name, sent.value
+                        back, ahead = now.maps()
+                    total += mismatch(q, r, back, config.match_sigma)
+                    pulled = pulled + pull(q, r, back, ahead, config.match_sigma)
+            if first is not None:
+                yield pd.DataFrame({"t": range(steps), "first": first, "off": [total] + [0.0] * (steps - 1), "pull": [p.astype("<f8").tobytes() for p in pulled]})
+
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("first")  # sums in one order, whatever comes first
+            p = sum(np.frombuffer(x, "<f8") for x in pdf["pull"])
+            return pd.DataFrame({"t": [pdf["t"].iloc[0]], "off": [pdf["off"].sum()], "pull": [p.astype("<f8").tobytes()]})
+
+        parts = fields.mapInPandas(share, "t int, first string, off double, pull binary")
+        rows = sorted(parts.repartition(steps, "t").groupBy("t").applyInPandas(add, "t int, off double, pull binary").collect(), key=lambda r: r["t"])
+        sent.destroy()
+        return sum(r["off"] for r in rows), lambda: np.stack([np.frombuffer(r["pull"], "<f8").reshape(2, n, n) for r in rows])
+
+    f = Field((n, n), steps, config.smoothness)
+    losses = descend(f, look, config.iterations)
+    return f.v, losses
 
 
 def move(pts: DataFrame, query: str, reference: str, config: Config = Config(), manual=None) -> DataFrame:
-    """Aligned points (x_aligned, y_aligned; reference rows unchanged). pts: id, sample_id, cluster, x, y.
+    """Aligned points (x_aligned, y_aligned; reference rows unchanged). pts: sample_id, cluster, x, y and more.
 
-    Points are materialised once and aggregated to pixels in Spark; the matching of a pair runs in one grouped task on
-    its bounded raster; its velocity (a few hundred kB by config) is applied to points as they stream."""
+    Points are materialised once and aggregated to pixels in Spark; channels are matched by all tasks; the velocities
+    are applied to the query's points as they stream."""
     pts = cut(pts)
     contracts.check_points(pts, query, reference)
     pre = prealign(pts, query, reference, manual)
     box = geometry.shared_box(pre.select(F.col("x_prealigned").alias("x"), F.col("y_prealigned").alias("y")), 1.0, config.expand).first()
-    dx = max(box["x1"] - box["x0"], box["y1"] - box["y0"]) / config.cells
-    x0, y0, n = box["x0"], box["y0"], config.cells
+    side = max(box["x1"] - box["x0"], box["y1"] - box["y0"])
+    n = config.cells or max(2, math.ceil(side / config.spacing))
+    x0, y0, dx = box["x0"], box["y0"], side / n if config.cells else config.spacing
     sides = []
-    for side, sample in (("query", query), ("reference", reference)):
+    for name, sample in (("query", query), ("reference", reference)):
         p = pre.filter(F.col("sample_id") == sample).select("cluster", F.col("x_prealigned").alias("x"), F.col("y_prealigned").alias("y"))
         pixels = cut(raster.blur(cut(raster.histogram(p, x0, y0, dx, n, n).withColumn("v", F.col("v").cast("double"))), config.sigma, n, n))
-        sides.append(raster.channels(pixels).withColumn("side", F.lit(side)))
-    both = sides[0].unionByName(sides[1])
-    keep = sides[0].select("channel").distinct().join(sides[1].select("channel").distinct(), "channel")
-    fields = both.join(F.broadcast(keep), "channel").withColumn("pair", F.lit(f"{query}->{reference}")).groupBy("pair").applyInPandas(_match(config), "pair string, velocity binary, first_loss double, loss double").first()
-    v = np.frombuffer(fields["velocity"]).reshape(config.steps, 2, n, n)
+        sides.append(raster.channels(pixels).withColumn("side", F.lit(name)))
+    v, _ = match(rasters(sides[0].unionByName(sides[1]), n), n, config)
 
     def carry(batches):
         for pdf in batches:
             y, x = flow(v, (pdf["y_prealigned"] - y0) / dx - 0.5, (pdf["x_prealigned"] - x0) / dx - 0.5)
-            q = pdf["sample_id"] == query
-            yield pdf.assign(x_aligned=np.where(q, (x + 0.5) * dx + x0, pdf["x_prealigned"]), y_aligned=np.where(q, (y + 0.5) * dx + y0, pdf["y_prealigned"]))
+            yield pdf.assign(x_aligned=(x + 0.5) * dx + x0, y_aligned=(y + 0.5) * dx + y0)
 
-    return pre.mapInPandas(carry, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pre.schema) + ", x_aligned double, y_aligned double")
+    moved = pre.filter(F.col("sample_id") == query).mapInPandas(carry, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pre.schema) + ", x_aligned double, y_aligned double")
+    still = pre.filter(F.col("sample_id") == reference)
+    return moved.unionByName(still.withColumn("x_aligned", F.col("x_prealigned")).withColumn("y_aligned", F.col("y_prealigned")))
 
 
 def align(pts: DataFrame, query: str, reference: str, config: Config = Config(), manual=None) -> tuple[DataFrame, DataFrame]:
