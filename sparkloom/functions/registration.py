@@ -1,8 +1,8 @@
 """Diffeomorphic registration of multi-channel rasters and flow of points, in numpy.
 
-Large-deformation matching by gradient descent on a time-dependent velocity (the variational form
-whose minimisers are the geodesics that shooting follows): a smooth kernel (id - a^2 laplacian)^-2p in the
-Fourier domain, semi-Lagrangian transport of both images, backtracking steps."""
+Large-deformation matching by L-BFGS on a time-dependent velocity (the variational form whose
+minimisers are the geodesics that shooting follows): a smooth kernel (id - a^2 laplacian)^-2p in the
+Fourier domain, semi-Lagrangian transport, gradients of the transport as it is computed, backtracking steps."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .kernels import bilinear
+from .kernels import bilinear, bilinear_slopes, bilinear_spread
 
 
 class Field:
@@ -23,23 +23,40 @@ class Field:
         self.kernel = 1 / (1 + a * a * lap) ** (2 * power)
         self.grid = np.mgrid[: shape[0], : shape[1]].astype(float)
 
-    def smooth(self, m: np.ndarray) -> np.ndarray:
-        return np.real(np.fft.ifft2(np.fft.fft2(m) * self.kernel))
+    def smooth(self, m: np.ndarray, power: float = 1.0) -> np.ndarray:
+        """The kernel to a power; 1/2 leads from coordinates in which the energy is a plain sum of squares."""
+        return np.real(np.fft.ifft2(np.fft.fft2(m) * self.kernel**power))
 
     def energy(self) -> float:
         return float(sum((np.abs(np.fft.fft2(v)) ** 2 / self.kernel).sum() / v[0].size for v in self.v) / len(self.v))
 
-    def maps(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """For every time: where a pixel was at time 0, and where it will be at time 1."""
+    def back(self) -> list[np.ndarray]:
+        """For every time: where a pixel was at time 0."""
         dt = 1 / len(self.v)
-        back, ahead = [self.grid.copy()], [self.grid.copy()]
+        back = [self.grid.copy()]
         for v in self.v:
             y, x = self.grid - dt * v
             back.append(np.stack([bilinear(back[-1][k] - self.grid[k], y, x, "border") + (y, x)[k] for k in (0, 1)]))
+        return back
+
+    def maps(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """`back`, and for every time where a pixel will be at time 1."""
+        dt = 1 / len(self.v)
+        ahead = [self.grid.copy()]
         for v in self.v[::-1]:
             y, x = self.grid + dt * v
             ahead.append(np.stack([bilinear(ahead[-1][k] - self.grid[k], y, x, "border") + (y, x)[k] for k in (0, 1)]))
-        return back, ahead[::-1]
+        return self.back(), ahead[::-1]
+
+    def through(self, back: list[np.ndarray], pull: np.ndarray) -> np.ndarray:
+        """From a loss's gradient by the last map (2, H, W), that by the velocities, over the length of a step."""
+        dt, out = 1 / len(self.v), np.empty_like(self.v)
+        for t in reversed(range(len(self.v))):
+            at = self.grid - dt * self.v[t]
+            by_y, by_x = bilinear_slopes(back[t] - self.grid, *at)
+            out[t] = -pull - np.stack([(pull * by_y).sum(0), (pull * by_x).sum(0)])
+            pull = bilinear_spread(pull, *at)
+        return out
 
 
 def jacobian(phi: np.ndarray) -> np.ndarray:
@@ -48,55 +65,64 @@ def jacobian(phi: np.ndarray) -> np.ndarray:
     return yy * xx - yx * xy
 
 
-def mismatch(source: np.ndarray, target: np.ndarray, back: list[np.ndarray], sigma: float) -> float:
-    """|moved source - target|^2 / (2 sigma^2), channels (C, H, W); a sum over channels."""
-    d = bilinear(source, *back[-1], "border") - target
-    return 0.5 * float((d * d).sum()) / sigma**2
+def mismatch(source: np.ndarray, target: np.ndarray, end: np.ndarray, sigma: float) -> tuple[float, np.ndarray]:
+    """|moved source - target|^2 / (2 sigma^2) for channels (C, H, W) read at the map `end`, and its gradient by that map
+    (2, H, W); both are sums over channels."""
+    d = (bilinear(source, *end, "border") - target) / sigma
+    return 0.5 * float((d * d).sum()), np.stack([(d * slope).sum(0) for slope in bilinear_slopes(source, *end)]) / sigma
 
 
-def pull(source: np.ndarray, target: np.ndarray, back: list[np.ndarray], ahead: list[np.ndarray], sigma: float) -> np.ndarray:
-    """What the mismatch asks of the velocities (steps, 2, H, W), before smoothing; a sum over channels."""
-    out = []
-    for b, h in zip(back[:-1], ahead):
-        i, j = bilinear(source, *b, "border"), bilinear(target, *h, "border")
-        g = np.stack(np.gradient(i, axis=(-2, -1)), 1)  # (C, 2, H, W)
-        out.append((jacobian(h) * ((i - j)[:, None] * g)).sum(0) / sigma**2)
-    return np.stack(out)
+def descend(f: Field, look: Callable, iterations: int, step: float = 0.5, tolerance: float = 1e-7, memory: int = 8) -> list[float]:
+    """Lower energy / 2 + mismatch in f by L-BFGS; `look` gives `mismatch` at a map. The first step is at most `step` pixels.
+    A step that does not lower the loss is undone and halved, so the returned losses never rise; it ends where a step
+    lowers the loss by less than `tolerance` of it, from new pairs too."""
 
+    def at(w: np.ndarray) -> tuple[float, np.ndarray]:
+        f.v = f.smooth(w, 0.5)
+        back = f.back()
+        off, pull = look(back[-1])
+        return 0.5 * float((w * w).sum()) / len(w) + off, w + f.smooth(f.through(back, pull), 0.5)
 
-def descend(f: Field, look: Callable, iterations: int, step: float = 0.5) -> list[float]:
-    """Lower energy / 2 + mismatch in f. `look` gives the mismatch of a field and a function for its pull. A step that
-    does not lower the loss is undone and halved, so the returned losses never rise; it ends where no step lowers it."""
-    off, pulled = look(f)
-    now, grad = 0.5 * f.energy() + off, None
-    losses = [now]
+    w = f.smooth(f.v, -0.5)
+    now, grad = at(w)
+    losses, pairs = [now], []
     for _ in range(iterations):
-        if grad is None:
-            grad = f.v - f.smooth(pulled())
-        size = np.abs(grad).max()
-        if size < 1e-9 or step < 1e-4:
-            break
-        was = f.v
-        f.v = was - step / max(size, 1.0) * grad
-        off, there = look(f)
-        new = 0.5 * f.energy() + off
-        if new < now:
-            now, pulled, grad, step = new, there, None, step * 1.2
+        d, parts = -grad, []
+        for s, y, sy in reversed(pairs):
+            parts.append((s * d).sum() / sy)
+            d = d - parts[-1] * y
+        if pairs:
+            s, y, sy = pairs[-1]
+            d = d * (sy / (y * y).sum())
+        for (s, y, sy), part in zip(pairs, reversed(parts)):
+            d = d + s * (part - (y * d).sum() / sy)
+        slope = float((d * grad).sum()) / len(w)
+        size, new = 1.0 if pairs else step / max(np.abs(f.smooth(d, 0.5)).max(), step), np.inf
+        while size > 1e-6 and slope < 0:
+            new, there = at(w + size * d)
+            if new <= now + 1e-4 * size * slope:
+                break
+            new, size = np.inf, size / 2
+        fell = now - new
+        if fell > 0:
+            pair = size * d, there - grad
+            w, now, grad = w + pair[0], new, there
+            losses.append(now)
+        if fell > tolerance * now:
+            if (sy := float((pair[0] * pair[1]).sum())) > 0:
+                pairs = [*pairs, (*pair, sy)][-memory:]
+        elif pairs:
+            pairs = []  # once more along the gradient alone
         else:
-            f.v, step = was, step / 2
-        losses.append(now)
+            break
+    f.v = f.smooth(w, 0.5)
     return losses
 
 
 def register(source: np.ndarray, target: np.ndarray, steps: int = 5, iterations: int = 60, a: float = 3.0, power: int = 1, sigma: float = 0.02, step: float = 0.5) -> tuple[Field, list[float]]:
     """Match channels (C, H, W) in one process."""
     f = Field(source.shape[-2:], steps, a, power)
-
-    def look(f: Field):
-        back, ahead = f.maps()
-        return mismatch(source, target, back, sigma), lambda: pull(source, target, back, ahead, sigma)
-
-    return f, descend(f, look, iterations, step)
+    return f, descend(f, lambda end: mismatch(source, target, end, sigma), iterations, step)
 
 
 def flow(v: np.ndarray, y: np.ndarray, x: np.ndarray, inverse: bool = False) -> tuple[np.ndarray, np.ndarray]:

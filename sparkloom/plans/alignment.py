@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.registration import Field, descend, flow, mismatch, pull
+from ..functions.registration import Field, descend, flow, mismatch
 from ..operators import contracts, geometry, neighbours, raster
 from ..storage import cut
 
@@ -19,7 +19,7 @@ from ..storage import cut
 class Config:
     """Raster, blur and matching. `spacing` is the side of a raster cell in the points' units, as many cells as their
     extent takes; `cells`, where given, is a fixed number of cells a side instead. `iterations` is the most that a
-    matching takes; it ends before where no step lowers the loss. `sigma` and `smoothness` are in cells."""
+    matching takes; it ends before where steps hardly lower the loss. `sigma` and `smoothness` are in cells."""
 
     spacing: float = 30.0
     cells: int | None = None
@@ -64,37 +64,34 @@ def rasters(pixels: DataFrame, n: int) -> DataFrame:
 def match(fields: DataFrame, n: int, config: Config) -> tuple[np.ndarray, list[float]]:
     """The velocities (steps, 2, n, n) that carry the query's channels to the reference's, and the loss by iteration.
 
-    An iteration is a job: tasks take the velocities, add up mismatch and pull over their channels, and a second stage
-    adds these up by time step. The driver holds the velocities alone, which the raster bounds."""
-    sc, steps = fields.sparkSession.sparkContext, config.steps
+    A step is a job: tasks take the map that the velocities make, add up mismatch and pull over their channels, and a
+    second stage adds these up. The driver holds the velocities of the last steps, which the raster bounds."""
+    sc = fields.sparkSession.sparkContext
 
-    def look(f: Field):
-        sent = sc.broadcast(f.v)
+    def look(end: np.ndarray) -> tuple[float, np.ndarray]:
+        sent = sc.broadcast(end)
 
         def share(batches):
-            now, total, pulled, first = Field((n, n), steps), 0.0, 0.0, None
+            total, pulled, first = 0.0, np.zeros((2, n, n)), None
             for pdf in batches:
                 for name, *pair in zip(pdf["channel"], pdf["query"], pdf["reference"]):
                     q, r = (np.frombuffer(side, "<f8").reshape(1, n, n) for side in pair)
-                    if first is None:
-                        first, now.v = name, sent.value
-                        back, ahead = now.maps()
-                    total += mismatch(q, r, back, config.match_sigma)
-                    pulled = pulled + pull(q, r, back, ahead, config.match_sigma)
+                    off, pull = mismatch(q, r, sent.value, config.match_sigma)
+                    total, pulled, first = total + off, pulled + pull, first or name
             if first is not None:
-                yield pd.DataFrame({"t": range(steps), "first": first, "off": [total] + [0.0] * (steps - 1), "pull": [p.astype("<f8").tobytes() for p in pulled]})
+                yield pd.DataFrame({"axis": [0, 1], "first": first, "off": [total, 0.0], "pull": [p.astype("<f8").tobytes() for p in pulled]})
 
         def add(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("first")  # sums in one order, whatever comes first
             p = sum(np.frombuffer(x, "<f8") for x in pdf["pull"])
-            return pd.DataFrame({"t": [pdf["t"].iloc[0]], "off": [pdf["off"].sum()], "pull": [p.astype("<f8").tobytes()]})
+            return pd.DataFrame({"axis": [pdf["axis"].iloc[0]], "off": [pdf["off"].sum()], "pull": [p.astype("<f8").tobytes()]})
 
-        parts = fields.mapInPandas(share, "t int, first string, off double, pull binary")
-        rows = sorted(parts.repartition(steps, "t").groupBy("t").applyInPandas(add, "t int, off double, pull binary").collect(), key=lambda r: r["t"])
+        parts = fields.mapInPandas(share, "axis int, first string, off double, pull binary").repartition(2, "axis")
+        rows = sorted(parts.groupBy("axis").applyInPandas(add, "axis int, off double, pull binary").collect(), key=lambda r: r["axis"])
         sent.destroy()
-        return sum(r["off"] for r in rows), lambda: np.stack([np.frombuffer(r["pull"], "<f8").reshape(2, n, n) for r in rows])
+        return sum(r["off"] for r in rows), np.stack([np.frombuffer(r["pull"], "<f8").reshape(n, n) for r in rows])
 
-    f = Field((n, n), steps, config.smoothness)
+    f = Field((n, n), config.steps, config.smoothness)
     losses = descend(f, look, config.iterations)
     return f.v, losses
 
